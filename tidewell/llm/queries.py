@@ -11,6 +11,7 @@ from .base import load
 from .bpe import round_trip
 from .quality_rules import quality_rules
 from .token_counts import length_histogram, suffix_sums
+from .token_files import token_files
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    got = token_files(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return got.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(load(spark, sf_dir, "documents"), *_byte_bpe()))
 
@@ -36,6 +44,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op7_token_files": op7_token_files,
     "op8_token_counts": op8_token_counts,
 }
 
