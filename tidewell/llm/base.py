@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Rows and bytes that one Arrow batch carries to Python; long texts make a batch of few rows.
 ARROW_ROWS, ARROW_BYTES = 4096, 8 << 20
@@ -78,3 +79,19 @@ def in_bitmap(bitmap, keys):
 
     at = keys & np.uint64(bitmap.size * 64 - 1)
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def running_start(df: DataFrame, size: str, out: str, bucket: str, order: list[str], within: list[str] = ()) -> DataFrame:
+    """Adds out: the sum of size over all rows before, for each value of within, by (bucket, order).
+
+    Sums run within a bucket and over the buckets' totals, so that no task holds all rows of a value of within. Null
+    values of within and bucket are values like others.
+    """
+    within = list(within)
+    cells = df.groupBy(*within, bucket).agg(F.sum(size).alias("_all"))
+    before = W.partitionBy(*within).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*within, bucket])), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*within, bucket])]
+    local = W.partitionBy(*within, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    counted = df.withColumn("_local", F.coalesce(F.sum(size).over(local), F.lit(0)))
+    return counted.join(cells, same).withColumn(out, F.col("_base") + F.col("_local")).drop("_local", "_base", *(f"_k{i}" for i in range(len(within) + 1)))

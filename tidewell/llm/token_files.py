@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from .base import arrow_limits, scratch_path
+from .base import arrow_limits, running_start, scratch_path
 from .words import Words, blocks
 
 MAGIC, HEAD = b"TWP1", struct.Struct("<4sBBIQ")
@@ -197,15 +196,6 @@ def _chunks(path: str, end_id: int | None, bits: bool, chunk_ids: int):
     return write
 
 
-def running_start(df: DataFrame, order: list[str], size: str, out: str, group: str) -> DataFrame:
-    """Adds out: the sum of size over all rows before, by order. Sums run within group, whose values rise with the
-    order, and over the groups' totals."""
-    before = W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)
-    totals = df.groupBy(group).agg(F.sum(size).alias("_all")).select(F.col(group).alias("_g"), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
-    within = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.join(totals, F.col(group) == F.col("_g")).withColumn(out, F.col("_base") + F.coalesce(F.sum(size).over(within), F.lit(0))).drop("_g", "_base")
-
-
 def write_token_files(docs: DataFrame, path: str, out: str, end_id: int | None = None, bits: bool = False, text: str = "text", key: str = "doc_id", range_bytes: int = RANGE_BYTES, chunk_ids: int = CHUNK_IDS) -> None:
     """Writes out/ids (the chunks) and out/index (part, chunk, start, n_ids, n_docs, n_bytes) for docs in ascending key order.
 
@@ -218,7 +208,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int | None =
     dealt = rows.repartitionByRange(max(1, -(-size // range_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_chunks(path, end_id, bits, chunk_ids), CHUNK).write.mode("overwrite").parquet(f"{out}/ids")
     chunks = docs.sparkSession.read.schema(CHUNK).parquet(f"{out}/ids").select("part", "chunk", "n_ids", F.size("doc_ids").alias("n_docs"), F.length("blob").alias("n_bytes"))
-    running_start(chunks, ["part", "chunk"], "n_ids", "start", "part").select("part", "chunk", "start", "n_ids", "n_docs", "n_bytes").write.mode("overwrite").parquet(f"{out}/index")
+    running_start(chunks, "n_ids", "start", "part", ["chunk"]).select("part", "chunk", "start", "n_ids", "n_docs", "n_bytes").write.mode("overwrite").parquet(f"{out}/index")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
