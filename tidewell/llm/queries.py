@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .base import load
 from .bpe import round_trip
+from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 from .token_counts import length_histogram, suffix_sums
@@ -31,6 +32,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(load(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
     "op7_token_files": op7_token_files,
     "op8_token_counts": op8_token_counts,
