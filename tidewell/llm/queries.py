@@ -12,6 +12,7 @@ from .bpe import round_trip
 from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .sharding import shard_documents
+from .substring_dedup import substring_dedup
 from .token_counts import length_histogram, suffix_sums
 from .token_files import token_files
 
@@ -51,6 +52,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(load(spark, sf_dir, "documents"), *_byte_bpe()))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op7_token_files": op7_token_files,
     "op8_token_counts": op8_token_counts,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _SKETCHED = "CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) END"
