@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .base import load
 from .bpe import round_trip
+from .decontamination import contaminated
 from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .sharding import shard_documents
@@ -28,6 +29,11 @@ def _byte_bpe() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", F.element_at("item_ids", 1).alias("item_id"), "item_ids", "n_item_words", "start", "n_overlap", "n_equal")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = round_trip(load(spark, sf_dir, "documents"), *_byte_bpe())
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -59,6 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,

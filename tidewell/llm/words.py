@@ -31,6 +31,9 @@ def _powers(base: int) -> np.ndarray:
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: ASCII letters and digits and all bytes of other code points: words without ASCII punctuation.
+PLAIN = np.zeros(256, bool)
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _OF_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 _LOWER = np.arange(256)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -44,7 +47,8 @@ class Words:
     data: the bytes; texts: n + 1 byte offsets; start, end: each word's bytes; of: n + 1 word offsets of the texts.
     """
 
-    def __init__(self, block: pa.Array):
+    def __init__(self, block: pa.Array, inside: np.ndarray | None = None):
+        """inside: a table of the bytes that make up words, if others than those of the pattern."""
         if pa.types.is_large_string(block.type) or not pa.types.is_string(block.type):
             block = block.cast(pa.string())
         block = block.fill_null("")
@@ -53,7 +57,7 @@ class Words:
         whole = block.buffers()[2]
         self.data = np.frombuffer(whole, np.uint8)[bounds[0] : bounds[-1]] if whole is not None else np.zeros(0, np.uint8)
         self.texts = bounds - bounds[0]
-        inside = _IS_WORD[self.data]
+        inside = (_IS_WORD if inside is None else inside)[self.data]
         before, after = np.zeros_like(inside), np.zeros_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         cuts = self.texts[self.texts < inside.size]
