@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .base import load
 from .bpe import round_trip
 from .decontamination import contaminated
+from .licenses import license_scan
 from .ngram_join import ngram_join
+from .quality_classifier import classify, train
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
@@ -47,6 +49,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license_scan(load(spark, sf_dir, "documents"))
+    return got.select("doc_id", "license", F.round("dice", 6).alias("dice"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,14 +70,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.kept", 256).alias("kept_sha256"))
 
 
+def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the labels: 0 poor, 1 toxic, 2 good."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return load(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    got = classify(docs, train(docs, grades(spark, sf_dir)), wanted=2)
+    return got.select("doc_id", F.round("graded.expected_grade", 6).alias("expected_grade"), F.round("graded.p_tail", 6).alias("p_tail"), F.col("graded.kept").alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
+    "op6_license_scan": op6_license_scan,
     "op7_token_files": op7_token_files,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
