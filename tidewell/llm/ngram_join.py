@@ -31,8 +31,8 @@ from .components import components
 from .words import Words, _mix, blocks, shingles
 
 SHINGLE, PERCENT = 4, 85
-#: A token is frequent from so many documents in all, counted where a task has it twice; bits of the filters.
-FREQUENT, FILTER_BITS, PARITY = 40, 23, 16
+#: A token is frequent from so many documents in all, counted where a task has it twice; bits of the filters, and of the smallest parity bitmap.
+FREQUENT, FILTER_BITS, LEAST_PARITY = 40, 23, 1024
 _SEED = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -51,10 +51,22 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def parity_bitmap(s: np.ndarray) -> np.ndarray:
-    """64 * PARITY bits, each the parity of the number of tokens that fall on it."""
-    bits = np.bincount((s >> np.uint64(17) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Bits, twice the set's size or more and a power of two, each the parity of the number of tokens that fall on it."""
+    size = LEAST_PARITY
+    while size < 2 * s.size:
+        size *= 2
+    bits = np.bincount((s >> np.uint64(17) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """The Hamming distance of two bitmaps (uint64), the larger one folded: no more than the tokens that only one set has."""
+    while a.size > b.size:
+        a = a[: a.size // 2] ^ a[a.size // 2 :]
+    while b.size > a.size:
+        b = b[: b.size // 2] ^ b[b.size // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def allowed_missing(n: int, percent: int) -> int:
@@ -107,7 +119,7 @@ def _int64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-SCAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType())), T.StructField("token", T.LongType()), T.StructField("n_docs", T.LongType())])
+SCAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("token", T.LongType()), T.StructField("n_docs", T.LongType())])
 
 
 def _scan(k: int):
@@ -118,8 +130,8 @@ def _scan(k: int):
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1].astype(np.int64)
             nothing = pa.nulls(tokens.size, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.list_(pa.int64())), *(pa.nulls(len(sets), pa.int64()),) * 2], names=SCAN.names)
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(tokens.size, pa.list_(pa.int64())), _int64(tokens), pa.array(counts)], names=SCAN.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.binary()), *(pa.nulls(len(sets), pa.int64()),) * 2], names=SCAN.names)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(tokens.size, pa.binary()), _int64(tokens), pa.array(counts)], names=SCAN.names)
 
     return scan
 
@@ -174,11 +186,17 @@ def _similar(percent: int):
     return F.arrow_udf(similar, "boolean")
 
 
-def _bound(percent: int) -> Column:
+def _bound(percent: int):
     """Whether the parity bitmaps allow the similarity: overlap <= (n_a + n_b - distance) / 2."""
-    distance = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    overlap = (F.col("na") + F.col("nb") - distance) / 2
-    return overlap * 100 >= (F.col("na") + F.col("nb") - overlap) * percent
+
+    def bound(pa_: pa.Array, pb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        out = []
+        for x, y, n in zip(pa_, pb, (na.to_numpy() + nb.to_numpy()).tolist()):
+            overlap = (n - parity_distance(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))) // 2
+            out.append(100 * overlap >= percent * (n - overlap))
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(bound, "boolean")
 
 
 class _Join:
@@ -189,9 +207,9 @@ class _Join:
         self.classes = written(self.rows.where("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("parity", "class").alias("parity")), "ngram-classes")
         often = scanned.where("token is not null").groupBy("token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= FREQUENT)
         index = self.texts.mapInArrow(_index(k, percent, as_bitmap(often, "token", FILTER_BITS)), "sig long, class long, n long")
-        heads = index.groupBy("sig").agg(F.min(F.struct("class", "n")).alias("head"), F.max("class").alias("last")).where(F.col("head.class") < F.col("last")).select("sig", "head")
+        heads = index.groupBy("sig").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head < last").select("sig", "head")
         #: Only entries with two classes at least.
-        self.entries = written(index.join(heads, "sig").select("sig", "class", "n", F.col("head.class").alias("head"), F.col("head.n").alias("head_n")).distinct(), "ngram-entries")
+        self.entries = written(index.join(heads, "sig").select("sig", "class", "n", "head").distinct(), "ngram-entries")
 
     def fits(self, a: str, b: str) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
@@ -200,7 +218,7 @@ class _Join:
         """Those of the pairs (a, na, b, nb) that are similar, as (a, b)."""
         bits = self.classes.select("class", "parity")
         near = pairs.join(bits.select(F.col("class").alias("a"), F.col("parity").alias("pa")), "a").join(bits.select(F.col("class").alias("b"), F.col("parity").alias("pb")), "b")
-        near = written(near.where(_bound(self.percent)).select("a", "b"), "ngram-near")
+        near = written(near.where(_bound(self.percent)("pa", "pb", "na", "nb")).select("a", "b"), "ngram-near")
         wanted = written(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ngram-wanted")
         sets = self.texts.mapInArrow(_whole(self.k, as_bitmap(wanted, "class", FILTER_BITS)), "class long, tokens binary")
         sets = written(sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens")), "ngram-sets")
@@ -208,8 +226,10 @@ class _Join:
         return written(both.where(_similar(self.percent)("ta", "tb")).select("a", "b"), "ngram-links")
 
     def run(self) -> DataFrame:
-        stars = self.entries.where(F.col("class") != F.col("head")).where(self.fits("n", "head_n"))
-        found = self.links(stars.select(F.col("head").alias("a"), F.col("head_n").alias("na"), F.col("class").alias("b"), F.col("n").alias("nb")).distinct())
+        stars = self.entries.where(F.col("class") != F.col("head")).select(F.col("head").alias("a"), F.col("class").alias("b"), F.col("n").alias("nb")).distinct()
+        stars = stars.join(self.classes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a")
+        stars = written(stars.where(self.fits("na", "nb")).select("a", "na", "b", "nb"), "ngram-stars")
+        found = self.links(stars)
         joined = written(components(found), "ngram-parts")
         part = F.coalesce("component", "class")
         placed = self.entries.join(joined.withColumnRenamed("node", "class"), "class", "left").select("sig", "class", "n", part.alias("part"))
@@ -218,8 +238,8 @@ class _Join:
         a, b = (mixed.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "part"))) for s in "ab")
         pairs = a.join(b, "sig").where(F.col("part_a") < F.col("part_b")).where(self.fits("n_a", "n_b"))
         pairs = pairs.select(F.col("class_a").alias("a"), F.col("n_a").alias("na"), F.col("class_b").alias("b"), F.col("n_b").alias("nb")).distinct()
-        tried = stars.select(F.col("head").alias("a"), F.col("class").alias("b"))
-        tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        tried = stars.select("a", "b")
+        tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = self.links(pairs.join(tried, ["a", "b"], "left_anti"))
         parts = written(components(found.unionByName(more)), "ngram-parts")
         whole = self.classes.join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "doc_id", part.alias("part"))
