@@ -25,7 +25,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _byte_bpe() -> tuple[str, str]:
+def byte_bpe() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -37,7 +37,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = round_trip(load(spark, sf_dir, "documents"), *_byte_bpe())
+    got = round_trip(load(spark, sf_dir, "documents"), *byte_bpe())
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -62,7 +62,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(load(spark, sf_dir, "documents"), *_byte_bpe()))
+    return suffix_sums(length_histogram(load(spark, sf_dir, "documents"), *byte_bpe()))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
