@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import arrow_limits, as_bitmap, in_bitmap, written
+from .base import arrow_limits, as_bitmap, broadcast_if_small, in_bitmap, written
 from .components import components
 from .words import Words, _mix, blocks, shingles
 
 SHINGLE, PERCENT = 4, 85
 #: A token is frequent from so many documents in all, counted where a task has it twice; bits of the filters, and of the smallest parity bitmap.
-FREQUENT, FILTER_BITS, LEAST_PARITY = 40, 23, 1024
+FREQUENT, FILTER_BITS, LEAST_PARITY, BROADCAST_ROWS = 40, 23, 1024, 500_000
 _SEED = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -119,19 +119,19 @@ def _int64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-SCAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("token", T.LongType()), T.StructField("n_docs", T.LongType())])
+SCAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("token", T.LongType()), T.StructField("n_docs", T.LongType())])
 
 
 def _scan(k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per document, and rows (token, n_docs) for tokens that a batch has in several documents."""
         for batch in batches:
-            sets = list(_sets(batch.column(1), k))
+            sets = list(_sets(batch.column(2), k))
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1].astype(np.int64)
             nothing = pa.nulls(tokens.size, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.binary()), *(pa.nulls(len(sets), pa.int64()),) * 2], names=SCAN.names)
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(tokens.size, pa.binary()), _int64(tokens), pa.array(counts)], names=SCAN.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.size for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.binary()), *(pa.nulls(len(sets), pa.int64()),) * 2], names=SCAN.names)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(tokens.size, pa.binary()), _int64(tokens), pa.array(counts)], names=SCAN.names)
 
     return scan
 
@@ -202,8 +202,8 @@ def _bound(percent: int):
 class _Join:
     def __init__(self, docs: DataFrame, text: str, key: str, k: int, percent: int):
         self.texts, self.k, self.percent = docs.select(F.col(text).alias("text")), k, percent
-        scanned = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan(k), SCAN), "ngram-scan")
-        self.rows = scanned.where("class is not null").select("doc_id", "n", "class", "parity")
+        scanned = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).mapInArrow(_scan(k), SCAN), "ngram-scan")
+        self.rows = scanned.where("class is not null").select("doc_id", "text_key", "n", "class", "parity")
         self.classes = written(self.rows.where("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("parity", "class").alias("parity")), "ngram-classes")
         often = scanned.where("token is not null").groupBy("token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= FREQUENT)
         index = self.texts.mapInArrow(_index(k, percent, as_bitmap(often, "token", FILTER_BITS)), "sig long, class long, n long")
@@ -244,9 +244,9 @@ class _Join:
         parts = written(components(found.unionByName(more)), "ngram-parts")
         whole = self.classes.join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "doc_id", part.alias("part"))
         lowest = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-        ids = written(whole.join(lowest, "part").select("class", "n", "component_id"), "ngram-ids")
-        out = self.rows.select("doc_id", "n", "class").join(ids, ["class", "n"], "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        ids = written(whole.join(lowest, "part").select("class", "n", "part", "component_id"), "ngram-ids")
+        out = self.rows.select("doc_id", "text_key", "n", "class").join(ids, ["class", "n"], "left")
+        return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "part")
 
 
 def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -259,4 +259,25 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text:
     no rows. Further columns aren't read. Shingles and sets are compared by 64-bit hashes.
     """
     arrow_limits(docs.sparkSession)
-    return _Join(docs, text, key, k, percent).run()
+    return _Join(docs, text, key, k, percent).run().select("doc_id", "n_shingles", "component_id")
+
+
+def near_copies_removed(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, all their columns, less those that links connect with another row that stays.
+
+    Each group keeps the row of its smallest key, of rows that share it the one whose text has the smallest hash, and of
+    rows that share both one. A null key counts as larger than any other. Texts without words are linked with nothing
+    and stay.
+    """
+    arrow_limits(docs.sparkSession)
+    rows = written(_Join(docs, text, key, k, percent).run().where("n_shingles > 0").select("doc_id", "text_key", "part"), "ngram-groups")
+    first = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first"))
+    ranked = rows.join(first, "part").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    named = written(ranked.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "stays"), "ngram-named")
+    keyed = docs.withColumn("_k", F.xxhash64(text))
+    same = F.col(key).cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t"))
+    out = keyed.join(broadcast_if_small(named.select("_d", "_t"), BROADCAST_ROWS), same, "left_anti")
+    repeated = named.where("stays").select("_d", "_t")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(broadcast_if_small(repeated, BROADCAST_ROWS), same, "left_semi").dropDuplicates([key, "_k"]))
+    return out.select(*docs.columns)
