@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from .base import running_start, written
 
-SHARDS, ROUNDS, CELL_ROWS = 40, 6, 20_000
+SHARDS, ROUNDS, CELL_ROWS = 40, 8, 5_000
 
 
 def _by_shard(values: list[int], shard: str) -> Column:
@@ -32,10 +32,13 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
 def propagate(state: DataFrame, quotas: list[int], buckets: int) -> tuple[DataFrame, int]:
     """One round on state (g, shard, n): the new state, and how many documents moved."""
     room = [q - n for q, n in zip(quotas, _loads(state, len(quotas)))]
-    rank = F.row_number().over(W.partitionBy("g").orderBy(F.desc("n"), "shard"))
-    ranked = state.withColumns({"rank": rank, "wanted": F.ceil(F.sum("n").over(W.partitionBy("g")) / F.lit(max(1, min(quotas))))})
-    homes = ranked.where(F.col("rank") <= F.col("wanted")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rank", "shard"))).alias("homes"))
-    away = ranked.where(F.col("rank") > F.col("wanted")).join(homes, "g")
+    order = W.partitionBy("g").orderBy(F.desc("n"), "shard")
+    free = F.greatest(_by_shard(room, "shard"), F.lit(0))
+    # A group's homes: the shards that hold most of it, as many as have room for all of it.
+    holds = F.coalesce(F.sum(F.col("n") + free).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = state.withColumns({"rank": F.row_number().over(order), "free": free, "home": holds < F.sum("n").over(W.partitionBy("g"))})
+    homes = ranked.where("home and free > 0").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rank", "shard"))).alias("homes"))
+    away = ranked.where("not home").join(homes, "g")
     moves = away.withColumn("to", F.element_at("homes", (F.col("rank") % F.size("homes") + 1).cast("int"))["shard"]).withColumn("cell", F.pmod(F.xxhash64("g"), F.lit(buckets)))
     moves = running_start(moves, "n", "before", "cell", ["g", "shard"], ["to"])
     moves = written(moves.withColumn("moved", F.greatest(F.least("n", _by_shard(room, "to") - F.col("before")), F.lit(0))).where("moved > 0").select("g", "shard", "to", "moved"), "shard-moves")
