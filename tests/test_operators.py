@@ -190,3 +190,15 @@ def test_stream_is_a_batch_upsert(spark, tmp_path):
     upsert.merge_files(spark, src, out, ck)
     upsert.merge_files(spark, src, out, ck)
     assert sorted((str(r["period_date"]), r["value"]) for r in upsert.current(spark, out).collect()) == [("2020-01-03", 5.0), ("2020-01-17", 3.0)]
+
+
+def test_registry(spark):
+    from tidewell.sources import registry
+
+    assert len(registry.SERIES) == 95
+    assert registry.get("cbrt_net_funding").unit_scale == 1e3 and registry.get("r_car").direction == "up_good"
+    assert registry.get("w_auto") == registry.Series("w_auto", "weekly", "1.0.5", "Auto")
+    with pytest.raises(KeyError, match="usd_try"):
+        registry.get("usdtry")
+    w = spark.createDataFrame([(d("2020-01-03"), "1.0.5", "10001", "TOTAL", 2.0), (d("2020-01-03"), "1.0.4", "10001", "TL", 3.0)], "period_date date, item_id string, bank_type_code string, currency string, value double")
+    assert [tuple(r) for r in registry.from_weekly(w, ["w_auto", "w_housing"]).collect()] == [(d("2020-01-03"), "Auto", 2.0)]
