@@ -457,3 +457,55 @@ def _(spark, sf):
 def _(spark, sf):
     d = daily(spark, sf)
     return align.stitched([d.where("date <= '2024-01-20'"), d.where("date >= '2024-01-10'").withColumn("value", F.col("value") * 2)], keys=["label"]).select("label", "date", "value")
+
+
+# Report derivations: several series at once, in one pass where they share a table.
+
+
+@query("npl_ratio_by_product", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, o_orderpriority AS product, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) / CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) * 100 AS npl_ratio FROM orders GROUP BY ALL")
+def _(spark, sf):
+    v = F.col("o_totalprice").cast("decimal(18,2)")
+    g = table(spark, sf, "orders").groupBy(E.month_of("o_orderdate").alias("period"), F.col("o_orderpriority").alias("product"))
+    return g.agg(F.sum(F.when(F.col("o_orderstatus") == "P", v)).alias("a"), F.sum(v).alias("b")).select("period", "product", E.guarded_ratio("a", "b", 100).alias("npl_ratio"))
+
+
+@query("ratio_of_differences", "SELECT period_date, round((R - N) / nullif(A - N, 0) * 100, 4) + 0.0 AS share FROM (SELECT period_date, sum(CASE WHEN item = 'R' THEN value END) AS R, sum(CASE WHEN item = 'N' THEN value END) AS N, sum(CASE WHEN item = 'A' THEN value END) AS A FROM w GROUP BY 1)", "w")
+def _(spark, sf):
+    p = shapes.pivot_sum(weekly(spark, sf), ["period_date"], "item", ["R", "N", "A"])
+    return p.select("period_date", (F.round(E.ratio(F.col("R") - F.col("N"), F.col("A") - F.col("N"), 100), 4) + F.lit(0.0)).alias("share"))
+
+
+@query("corridor_width", "SELECT max(CASE WHEN label = 'purchase' THEN value END) - max(CASE WHEN label = 'click' THEN value END) AS width FROM d WHERE date = (SELECT max(date) FROM d WHERE label IN ('purchase', 'click'))", "d")
+def _(spark, sf):
+    ends = shapes.latest(daily(spark, sf).where("label in ('purchase', 'click')"), "date")
+    return ends.agg((F.max(F.when(F.col("label") == "purchase", F.col("value"))) - F.max(F.when(F.col("label") == "click", F.col("value")))).alias("width"))
+
+
+@query("stack_total_latest", "SELECT date, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM d WHERE value IS NOT NULL GROUP BY date QUALIFY date = max(date) OVER ()", "d")
+def _(spark, sf):
+    total = daily(spark, sf).where("value is not null").groupBy("date").agg(F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("total"))
+    return shapes.latest(total, "date")
+
+
+@query("share_with_peak", "SELECT a.entity, max(a.fx / a.value * 100) AS peak, arg_max(a.period, a.fx / a.value * 100) AS peak_at FROM m a WHERE a.fx IS NOT NULL GROUP BY 1", "m")
+def _(spark, sf):
+    share = monthly(spark, sf).select("entity", "period", E.ratio("fx", "value", 100).alias("value"))
+    return ts.peaks(share, BY).select("entity", "peak", "peak_at")
+
+
+@query("yield_minus_cost", "SELECT period, entity, npl * 12.0 / month / nullif(value, 0) * 100 - tl * 12.0 / month / nullif(value, 0) * 100 AS spread FROM m", "m")
+def _(spark, sf):
+    year = lambda c: E.ratio(F.col(c) * F.lit(12.0) / F.col("month"), "value", 100)
+    return monthly(spark, sf).select("period", "entity", (year("npl") - year("tl")).alias("spread"))
+
+
+@query("threshold_flags", "SELECT period, entity, npl / nullif(value, 0) * 100 AS value, npl / nullif(value, 0) * 100 < 12 AS below_floor FROM m", "m")
+def _(spark, sf):
+    return monthly(spark, sf).select("period", "entity", E.ratio("npl", "value", 100).alias("value")).withColumn("below_floor", F.col("value") < 12)
+
+
+@query("change_vs_four_rows_ago", "SELECT item, period_date, value, value - p AS change FROM (SELECT *, lag(value, 4) OVER (PARTITION BY item ORDER BY period_date) AS p, row_number() OVER (PARTITION BY item ORDER BY period_date DESC) AS n FROM w) WHERE n = 1 AND p IS NOT NULL", "w")
+def _(spark, sf):
+    o = W.partitionBy("item").orderBy("period_date")
+    got = weekly(spark, sf).withColumns({"p": F.lag("value", 4).over(o), "n": F.row_number().over(W.partitionBy("item").orderBy(F.desc("period_date")))})
+    return got.where("n = 1 and p is not null").select("item", "period_date", "value", (F.col("value") - F.col("p")).alias("change"))
