@@ -11,8 +11,9 @@ and similar sets share one at least.
 
 Sets that meet are not all paired. Each index entry first pairs its members with its smallest member; pairs are bounded
 by a parity bitmap of the sets (the overlap is at most half of what the sizes exceed the Hamming distance by), the rest
-are verified on whole sets, and connected. Only entries whose members are in several components then pair members of
-different components, so that a thousand near copies cost a thousand verifications, and no link is lost.
+are verified on whole sets, and connected. Only entries whose members are in several components are then gone through once
+more, each set of members once and in blocks: bitmaps of all members of different components are compared in place, and
+only pairs that they allow become rows, in two rounds the nearest ones of each component, then all. So a thousand near copies cost a thousand verifications, and no link is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ from .words import Words, _mix, blocks, shingles
 SHINGLE, PERCENT = 4, 85
 #: A token is frequent from so many documents in all, counted where a task has it twice; bits of the filters, and of the smallest parity bitmap.
 FREQUENT, FILTER_BITS, LEAST_PARITY, BROADCAST_ROWS = 40, 23, 1024, 500_000
+#: Members of an index entry that are compared at a time.
+BLOCK_ROWS = 4000
+#: Pairs of each part in the rounds before all pairs are taken.
+NEAREST = (2, 2)
 _SEED = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -199,6 +204,90 @@ def _bound(percent: int):
     return F.arrow_udf(bound, "boolean")
 
 
+def near_pairs(class_: np.ndarray, n: np.ndarray, part: np.ndarray, side: np.ndarray, parity: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs of different parts whose sizes and parity bitmaps allow the similarity, and the overlap they allow.
+
+    side: 0 and 1 where only pairs of one 0 and one 1 count, else all 2. Members are sorted by size, so that a member's
+    partners are a run of those after it, and compared to the whole run at once.
+    """
+    order = np.lexsort((class_, n))
+    n, part, side = n[order], part[order], side[order]
+    width = np.array([len(parity[k]) // 8 for k in order])
+    upto = np.searchsorted(n * percent, n * 100, "right")
+    left, right, most = [], [], []
+    for w in np.unique(width):
+        low, high = int(np.searchsorted(width, w, "left")), int(np.searchsorted(width, 2 * w, "right"))
+        table = np.zeros((high - low, int(w)), np.uint64)
+        for k in range(low, high):
+            bits = np.frombuffer(parity[order[k]], np.uint64)
+            table[k - low] = bits if bits.size == w else bits[:w] ^ bits[w:]
+        for x in range(low, int(np.searchsorted(width, w, "right"))):
+            y = np.arange(x + 1, min(int(upto[x]), high))
+            y = y[(part[y] != part[x]) & ((side[y] != side[x]) | (side[y] == 2))]
+            for z in np.array_split(y, max(1, y.size * int(w) >> 22)) if y.size else ():
+                both = n[z] + n[x]
+                overlap = (both - np.bitwise_count(table[z - low] ^ table[x - low]).sum(axis=1, dtype=np.int64)) // 2
+                fits = 100 * overlap >= percent * (both - overlap)
+                z = z[fits]
+                left.append(np.full(z.size, x))
+                right.append(z)
+                most.append(overlap[fits] / (both - overlap)[fits])
+    none = [np.zeros(0, np.int64)]
+    return order[np.concatenate(none + left)], order[np.concatenate(none + right)], np.concatenate([np.zeros(0), *most])
+
+
+def nearest(part_x: np.ndarray, part_y: np.ndarray, near: np.ndarray, each: int) -> np.ndarray:
+    """Which pairs are among the ``each`` nearest ones of one of their parts."""
+    owner, pair = np.concatenate([part_x, part_y]), np.tile(np.arange(near.size), 2)
+    order = np.lexsort((pair, -near[pair], owner))
+    owner = owner[order]
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if owner.size else np.zeros(0, np.int64)
+    place = np.arange(owner.size) - np.repeat(first, np.diff(np.append(first, owner.size)))
+    return np.unique(pair[order[place < each]])
+
+
+PAIRS = "a long, na long, b long, nb long"
+
+
+def _pairs(percent: int, each: int | None):
+    """each: only so many nearest pairs of every part; None: all."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches in the order of (sig, i, j); a group may go on in the next batch."""
+        found: set[tuple[int, int]] = set()
+
+        def of(group: pa.Table) -> pa.RecordBatch:
+            class_, n, part, block, i, j = (group.column(c).to_numpy() for c in ("class", "n", "part", "block", "i", "j"))
+            side = np.full(n.size, 2) if i[0] == j[0] else (block == j).astype(np.int64)
+            x, y, near = near_pairs(class_, n, part, side, group.column("parity").to_pylist(), percent)
+            if each is not None:
+                some = nearest(part[x], part[y], near, each)
+                x, y = x[some], y[some]
+            new = [(p, q) for p, q in zip(x.tolist(), y.tolist()) if (class_[p], class_[q]) not in found]
+            if len(found) < 1 << 20:
+                found.update((class_[p], class_[q]) for p, q in new)
+            x, y = (np.array([e[k] for e in new], np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (class_[x], n[x], class_[y], n[y])], names=["a", "na", "b", "nb"])
+
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j"))))
+            start = 0
+            for k in range(1, len(keys) + 1):
+                if k == len(keys) or keys[k] != keys[start]:
+                    if held and keys[start] != key:
+                        yield of(pa.Table.from_batches(held))
+                        held = []
+                    key = keys[start]
+                    held.append(batch.slice(start, k - start))
+                    start = k
+        if held:
+            yield of(pa.Table.from_batches(held))
+
+    return pairs
+
+
 class _Join:
     def __init__(self, docs: DataFrame, text: str, key: str, k: int, percent: int):
         self.texts, self.k, self.percent = docs.select(F.col(text).alias("text")), k, percent
@@ -225,23 +314,33 @@ class _Join:
         both = near.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
         return written(both.where(_similar(self.percent)("ta", "tb")).select("a", "b"), "ngram-links")
 
+    def across(self, parts: DataFrame, each: int | None) -> DataFrame:
+        """Pairs (a, na, b, nb) of different parts that share an entry and that sizes and bitmaps allow."""
+        part = F.coalesce("component", "class")
+        placed = self.entries.join(parts.withColumnRenamed("node", "class"), "class", "left").select("sig", "class", "n", part.alias("part"))
+        # Entries with the same members would give the same pairs: one of them stands for all.
+        mixed = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
+        mixed = mixed.where("low < high").groupBy("members", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("blocks"))
+        members = placed.join(mixed, "sig").join(self.classes.select("class", "parity"), "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        dealt = members.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")})
+        dealt = dealt.select("sig", "i", "j", "block", "class", "n", "part", "parity").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        return dealt.mapInArrow(_pairs(self.percent, each), PAIRS).distinct()
+
     def run(self) -> DataFrame:
         stars = self.entries.where(F.col("class") != F.col("head")).select(F.col("head").alias("a"), F.col("class").alias("b"), F.col("n").alias("nb")).distinct()
         stars = stars.join(self.classes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a")
         stars = written(stars.where(self.fits("na", "nb")).select("a", "na", "b", "nb"), "ngram-stars")
-        found = self.links(stars)
-        joined = written(components(found), "ngram-parts")
+        parts = written(components(self.links(stars)), "ngram-parts")
+        sides = lambda pairs: pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = sides(stars)
+        # Parts are first joined by their nearest pairs, which leaves few of them; then all pairs that are left count.
+        for each in (*NEAREST, None):
+            pairs = written(self.across(parts, each).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+            if pairs.isEmpty():
+                continue
+            tried = tried.unionByName(sides(pairs))
+            parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(self.links(pairs))), "ngram-parts")
         part = F.coalesce("component", "class")
-        placed = self.entries.join(joined.withColumnRenamed("node", "class"), "class", "left").select("sig", "class", "n", part.alias("part"))
-        mixed = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
-        mixed = written(placed.join(mixed, "sig", "left_semi"), "ngram-mixed")
-        a, b = (mixed.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "part"))) for s in "ab")
-        pairs = a.join(b, "sig").where(F.col("part_a") < F.col("part_b")).where(self.fits("n_a", "n_b"))
-        pairs = pairs.select(F.col("class_a").alias("a"), F.col("n_a").alias("na"), F.col("class_b").alias("b"), F.col("n_b").alias("nb")).distinct()
-        tried = stars.select("a", "b")
-        tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = self.links(pairs.join(tried, ["a", "b"], "left_anti"))
-        parts = written(components(found.unionByName(more)), "ngram-parts")
         whole = self.classes.join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "doc_id", part.alias("part"))
         lowest = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
         ids = written(whole.join(lowest, "part").select("class", "n", "part", "component_id"), "ngram-ids")
