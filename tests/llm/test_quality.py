@@ -77,7 +77,7 @@ def test_classifier_edges(spark, docs, empty, pairs):
     got = qc.classify(docs, model, wanted=1)
     assert got.count() == len(pairs) and got.columns == docs.drop("graded").columns + ["graded"]
     assert qc.classify(empty, model, wanted=1).count() == 0
-    one = qc.fit([np.array([1, 2], np.int32)] * 20, np.zeros(20, np.int64))
+    one = qc.fit(np.array([1, 2] * 20, np.int32), np.full(20, 2), np.zeros(20, np.int64))
     assert not one.weights.any()
     x = list(qc.features(pa.array([None, "", "A b"])))
     assert (x[0] == x[1]).all() and len(x[2]) > len(x[0])

@@ -79,31 +79,35 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, l1: float = L1, steps: int = STEPS) -> Model:
-    """A model from feature rows and grades 0..K-1.
+def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, bits: int = BITS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, l1: float = L1, steps: int = STEPS) -> Model:
+    """A model from the rows' feature numbers one after another, their counts, and grades 0..K-1.
 
     Features of fewer than min_docs rows, or whose rows' mean grade is within min_z standard errors of the overall mean,
     have no weight: among hundreds of thousands of features chance alone reaches nearly that, and noise summed over a long
-    text would outweigh what tells.
-
-    Without rows, or with one grade only, all weights are zero and the thresholds are the grades' log odds.
+    text would outweigh what tells. Without rows, or with one grade only, all weights are zero and the thresholds are the
+    grades' log odds.
     """
-    n, n_grades = len(rows), int(grades.max(initial=1)) + 1
+    n, n_grades = sizes.size, int(grades.max(initial=1)) + 1
     share = np.array([(grades > k).mean() if n else 0.5 for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     theta = np.sort(np.log((1 - share) / share))
     weights = np.zeros(1 << bits)
-    flat = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int64)
-    docs = np.bincount(flat, minlength=1 << bits)
-    centred = grades - grades.mean() if n else grades
-    z = np.bincount(flat, weights=np.repeat(centred, [x.size for x in rows]), minlength=1 << bits) / np.sqrt(np.maximum(docs, 1)) / max(float(centred.std()) if n else 1.0, 1e-9)
+    if not n or len(np.unique(grades)) < 2:
+        return Model(bits, theta, weights)
+    centred = grades - grades.mean()
+    docs, total = np.zeros(1 << bits, np.int64), np.zeros(1 << bits)
+    ends = np.cumsum(sizes)
+    for i in range(0, n, 1024):
+        part = flat[ends[i] - sizes[i] : ends[min(n, i + 1024) - 1]]
+        docs += np.bincount(part, minlength=1 << bits)
+        total += np.bincount(part, weights=np.repeat(centred[i : i + 1024], sizes[i : i + 1024]), minlength=1 << bits)
+    z = total / np.sqrt(np.maximum(docs, 1)) / centred.std()
     used = np.flatnonzero((docs >= min_docs) & (np.abs(z) >= min_z))
-    if not n or not used.size or len(np.unique(grades)) < 2:
+    if not used.size:
         return Model(bits, theta, weights)
-    column = np.full(1 << bits, -1)
+    column = np.full(1 << bits, -1, np.int32)
     column[used] = np.arange(used.size)
-    row = np.repeat(np.arange(n), [x.size for x in rows])
     keep = column[flat] >= 0
-    row, col = row[keep], column[flat][keep]
+    row, col = np.repeat(np.arange(n, dtype=np.int32), sizes)[keep], column[flat[keep]]
     # Each feature in its own scale: rare telling features would be slow otherwise.
     pace = 1 / np.sqrt(np.maximum(docs[used] / n, 1e-9))
     w = v = np.zeros(used.size)
@@ -151,10 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x in features(batch.column(1), bits)], pa.list_(pa.int32()))], names=["grade", "x"])
 
     got = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).join(F.broadcast(sample), F.col("_k") == F.col("_d")).select("_g", "_x").mapInArrow(rows, "grade int, x array<int>").toArrow()
-    x = [np.array(v, np.int32) for v in got["x"].to_pylist()]
-    y = np.array(got["grade"].to_pylist(), np.int64)
-    order = sorted(range(len(x)), key=lambda i: (y[i], x[i].tobytes()))
-    return fit([x[i] for i in order], y[order] if len(order) else np.zeros(0, np.int64), bits, **how)
+    lists = got["x"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return fit(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), got["grade"].to_numpy().astype(np.int64), bits, **how)
 
 
 def classify(docs: DataFrame, model: Model, wanted: int, least: float = 0.5, text: str = "text") -> DataFrame:
