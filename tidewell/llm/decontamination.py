@@ -80,9 +80,7 @@ STRETCH = "doc_id long, text_key long, first int, words binary, hits array<struc
 def _stretches(short: list[int], low: bytes, high: bytes, reach: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.frombuffer(low, np.uint64), np.frombuffer(high, np.uint64)
-        hit_type = pa.struct([("seed", pa.int64()), ("place", pa.int32())])
         for batch in batches:
-            rows, firsts, words, hits = [], [], [], []
             for first, block in blocks(batch.column(2)):
                 w = Words(block, PLAIN)
                 h = w.hashes(lower=True)
@@ -99,17 +97,15 @@ def _stretches(short: list[int], low: bytes, high: bytes, reach: int):
                 order = np.argsort(at, kind="stable")
                 values, at = values[order], at[order]
                 doc = np.searchsorted(w.of, at, "right") - 1
-                cuts = np.flatnonzero((np.diff(doc) > 0) | (np.diff(at) > reach)) + 1
-                for own, places in zip(np.split(values, cuts), np.split(at, cuts)):
-                    if places.size:
-                        k = int(np.searchsorted(w.of, places[0], "right") - 1)
-                        start, end = max(int(w.of[k]), int(places[0]) - reach), min(int(w.of[k + 1]), int(places[-1]) + SHORTEST + reach)
-                        rows.append(first + k)
-                        firsts.append(start - int(w.of[k]))
-                        words.append(h[start:end].tobytes())
-                        hits.append([{"seed": s, "place": int(p)} for s, p in zip(own.view(np.int64).tolist(), (places - start).tolist())])
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(firsts, pa.int32()), pa.array(words, pa.binary()), pa.array(hits, pa.list_(hit_type))], names=["doc_id", "text_key", "first", "words", "hits"])
+                cuts = np.concatenate([[0], np.flatnonzero((np.diff(doc) > 0) | (np.diff(at) > reach)) + 1, [at.size]]) if at.size else np.zeros(1, np.int64)
+                low_hit, high_hit, own = cuts[:-1], cuts[1:] - 1, doc[cuts[:-1]] if at.size else np.zeros(0, np.int64)
+                start = np.maximum(w.of[own], at[low_hit] - reach)
+                end = np.minimum(w.of[own + 1], at[high_hit] + SHORTEST + reach)
+                places = (at - np.repeat(start, np.diff(cuts))).astype(np.int32)
+                hits = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.StructArray.from_arrays([pa.array(values.view(np.int64)), pa.array(places)], names=["seed", "place"]))
+                rows = pa.array(own + first)
+                words = pa.array([h[x:y].tobytes() for x, y in zip(start, end)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start - w.of[own]).astype(np.int32)), words, hits], names=["doc_id", "text_key", "first", "words", "hits"])
 
     return find
 
