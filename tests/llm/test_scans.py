@@ -51,6 +51,37 @@ def test_best_overlap():
     assert dc.best_overlap(text, item, 30, 80) == (30, 0, 0)
 
 
+def test_best_overlap_by_brute_force():
+    r = random.Random(5)
+    for _ in range(400):
+        item = np.arange(r.randrange(1, 45), dtype=np.uint64)
+        text = np.concatenate([np.full(r.randrange(4), 99, np.uint64), item, np.full(r.randrange(4), 99, np.uint64)])
+        for _ in range(r.randrange(5)):
+            a = r.randrange(text.size)
+            text[a : a + r.randrange(1, 6)] = 77
+        d, percent = r.randrange(-2, 6), r.choice([60, 75, 80, 90])
+        equal = [0 <= p - d < item.size and text[p] == item[p - d] for p in range(text.size)]
+        fits = [(b - a, sum(equal[a:b]), -a) for a in range(text.size) for b in range(a + 1, text.size + 1) if equal[a] and equal[b - 1] and 100 * sum(equal[a:b]) >= percent * (b - a)]
+        got = dc.best_overlap(text, item, d, percent)
+        assert (got[1], got[2], -got[0]) == max(fits) if fits else got[1:] == (0, 0)
+
+
+def test_clustered_substitutions(spark):
+    patterns = ["=" * 8 + "x" * 3 + "=" * 9, "=" * 12 + "x" * 4 + "=====x" * 2 + "=" * 5]
+    items, rows = [], []
+    for i, pattern in enumerate(patterns):
+        words = prose(520 + i, len(pattern)).split()
+        items.append((i, " ".join(words)))
+        rows.append((i, prose(620 + i, 30) + " " + " ".join("zzz" if c == "x" else w for w, c in zip(words, pattern)) + " " + prose(720 + i, 30)))
+    # Twelve words at one place are too few; they must not hide eleven of thirteen at another.
+    words = prose(530, 30).split()
+    items.append((2, " ".join(words)))
+    near = [*words[17:22], "zzz", "zzz", *words[24:30]]
+    rows.append((2, " ".join([*words[:12], *prose(730, 40).split(), *near])))
+    got = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_ids"][0], r["n_overlap"], r["n_equal"]) for r in got} == {(0, 0, 20, 17), (1, 1, 33, 27), (2, 2, 13, 11)}
+
+
 def test_licences(spark, docs, empty, pairs):
     s = Scanner(TEMPLATES, LEAST)
     for name, t in TEMPLATES.items():

@@ -113,35 +113,34 @@ def _stretches(short: list[int], low: bytes, high: bytes, reach: int):
 def best_overlap(text: np.ndarray, item: np.ndarray, diagonal: int, percent: int) -> tuple[int, int, int]:
     """Place in text, length and equal words of the best stretch on a diagonal (text place less item place).
 
-    Best: the highest sum where an equal word counts 100 - percent and another -percent, so that every stretch of a sum
-    of 0 or more has the share of equal words; of equal sums the first.
+    Best: the longest stretch that begins and ends on equal words and has the share of equal words (an equal word counts
+    100 - percent, another -percent, and the sum is 0 or more); of the longest the one with most equal words, then the
+    first.
     """
     start, end = max(0, diagonal), min(text.size, diagonal + item.size)
     if end <= start:
         return start, 0, 0
     same = text[start:end] == item[start - diagonal : end - diagonal]
+    at = np.flatnonzero(same)
+    if not at.size:
+        return start, 0, 0
     sums = np.concatenate([[0], np.cumsum(np.where(same, 100 - percent, -percent))])
-    gain = sums - np.minimum.accumulate(sums)
-    stop = int(np.argmax(gain))
-    begin = int(np.argmin(sums[: stop + 1]))
-    # Take in what still keeps the share: the longest stretch around the best one whose sum is not negative.
-    while stop < same.size and sums[stop + 1] - sums[begin] >= 0:
-        stop += 1
-    while begin > 0 and sums[stop] - sums[begin - 1] >= 0:
-        begin -= 1
-    while stop > begin and not same[stop - 1]:
-        stop -= 1
-    while begin < stop and not same[begin]:
-        begin += 1
-    return start + begin, stop - begin, int(same[begin:stop].sum())
-
-
-def _verifier(percent: int):
+    # From the back, the highest sum at an end so far: the first that isn't below a begin's sum is its furthest end.
+    ends = np.maximum.accumulate(sums[at + 1][::-1])
+    last = at.size - 1 - np.searchsorted(ends, sums[at], "left")
+    length, equal = at[last] + 1 - at, last - np.arange(at.size) + 1
+    k = int(np.argmax(length * (at.size + 1) + equal))
+    return start + int(at[k]), int(length[k]), int(equal[k])
+
+
+def _verifier(percent: int, min_words: int):
     def verify(texts: pa.Array, items: pa.Array, diagonals: pa.Array, firsts: pa.Array) -> pa.Array:
         out = []
         for raw_text, raw_item, ds, first in zip(texts, items, diagonals.to_pylist(), firsts.to_pylist()):
             t, i = np.frombuffer(raw_text.as_buffer(), np.uint64), np.frombuffer(raw_item.as_buffer(), np.uint64)
-            place, length, equal = max((best_overlap(t, i, d, percent) for d in sorted(ds)), key=lambda x: (x[2], x[1], -x[0]))
+            least = min(i.size, min_words)
+            # A diagonal that is long enough goes before one that isn't, whatever their equal words.
+            place, length, equal = max((best_overlap(t, i, d, percent) for d in sorted(ds)), key=lambda x: (x[1] >= least, x[2], x[1], -x[0]))
             out.append({"start": first + place, "n_overlap": length, "n_equal": equal})
         return pa.array(out, pa.struct([("start", pa.int64()), ("n_overlap", pa.int64()), ("n_equal", pa.int64())]))
 
@@ -173,7 +172,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     same = [F.col(f"h.{c}").eqNullSafe(F.col(f"s.{c}")) for c in where]
     joined = hits.alias("h").join(stretches.select(*where, "words").alias("s"), same).select("h.*", F.col("s.words").alias("text_words"))
     joined = joined.join(broadcast_if_small(tests, BROADCAST_ROWS // 50), F.col("item") == F.col("kind"))
-    found = joined.withColumn("o", _verifier(percent)("text_words", "words", "diagonals", "first")).select("doc_id", "text_key", "kind", "item_ids", F.col("n_words").alias("n_item_words"), "o.*")
+    found = joined.withColumn("o", _verifier(percent, min_words)("text_words", "words", "diagonals", "first")).select("doc_id", "text_key", "kind", "item_ids", F.col("n_words").alias("n_item_words"), "o.*")
     found = found.where((F.col("n_overlap") >= F.least("n_item_words", F.lit(min_words))) & (F.col("n_equal") * 100 >= F.col("n_overlap") * percent))
     best = F.max_by(F.struct("item_ids", "n_item_words", "start", "n_overlap", "n_equal"), F.struct("n_equal", "n_overlap", -F.col("start"))).alias("b")
     return found.groupBy("doc_id", "text_key", "kind").agg(best).select("doc_id", "text_key", "b.*")
