@@ -202,3 +202,14 @@ def test_registry(spark):
         registry.get("usdtry")
     w = spark.createDataFrame([(d("2020-01-03"), "1.0.5", "10001", "TOTAL", 2.0), (d("2020-01-03"), "1.0.4", "10001", "TL", 3.0)], "period_date date, item_id string, bank_type_code string, currency string, value double")
     assert [tuple(r) for r in registry.from_weekly(w, ["w_auto", "w_housing"]).collect()] == [(d("2020-01-03"), "Auto", 2.0)]
+
+
+def test_amount_text_ties(spark):
+    """Ties go to even, by the double's exact value, as the reference's formatter has it."""
+    amounts = [0.5, 1.5, 2.5, 234.5, 999.5, -2.5, 100.0, 1050.0, 1250.0, 1350.0, 1450.0, -1250.0, 2000.0, 1.005e6, 1.125e6, 1.135e6, 1.375e6, -1.125e6]
+    got = spark.createDataFrame([(v,) for v in amounts], "v double").select("v", E.amount_text("v").alias("t")).collect()
+
+    def text(v):
+        return f"{v / 1e6:.2f}T TL" if abs(v) >= 1e6 else f"{v / 1e3:.1f}B TL" if abs(v) >= 1e3 else f"{v:,.0f}M TL"
+
+    assert {r["v"]: r["t"] for r in got} == {v: text(v) for v in amounts}

@@ -52,3 +52,9 @@ def test_entry(spark):
 def test_growth_scan_is_pruned(spark):
     plan = core.QUERIES["growth_yoy"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderpriority" not in plan and "c_acctbal" not in plan and "Python" not in plan
+
+
+def test_number_format_all_has_every_order(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    assert core.QUERIES["number_format_all"](spark, SF).select("o_orderkey").exceptAll(orders.select("o_orderkey")).isEmpty()
+    assert core.QUERIES["number_format_all"](spark, SF).count() == orders.count()

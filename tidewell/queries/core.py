@@ -400,6 +400,12 @@ def _(spark, sf):
     return table(spark, sf, "orders").where(~(cents % 100).isin(50, 0) & (cents % 10000 != 5000) & (cents % 1000000 != 500000)).select("o_orderkey", E.amount_text("o_totalprice").alias("amount"))
 
 
+@query("number_format_all", "SELECT o_orderkey, CASE WHEN abs(o_totalprice) >= 1e6 THEN format('{:.2f}T TL', o_totalprice / 1e6) WHEN abs(o_totalprice) >= 1e3 THEN format('{:.1f}B TL', o_totalprice / 1e3) ELSE format('{:,.0f}M TL', o_totalprice) END AS amount FROM orders")
+def _(spark, sf):
+    # Every order. Doubles are rounded by their exact binary value, true ties to even, on both sides.
+    return table(spark, sf, "orders").select("o_orderkey", E.amount_text("o_totalprice").alias("amount"))
+
+
 @query("upsert_latest", "SELECT user_id, event_type, day, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM (SELECT *, CAST(ts AS DATE) AS day FROM events) GROUP BY ALL")
 def _(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("day"), "value", "event_id")
