@@ -25,8 +25,8 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that near-copy links (0.85 of four-word shingles) connect, the one of the smallest id."""
-    return near_copies_removed(docs)
+    """Of each group of documents that near-copy links (0.8 of five-word shingles) connect, the one of the smallest id."""
+    return near_copies_removed(docs, k=5, percent=80)
 
 
 def passages_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import corpus_pipeline
 from tidewell.llm import queries
 from tidewell.llm.bpe import codec
 
+from .conftest import prose
 from .test_dedup import shingle_set
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -54,6 +55,30 @@ def test_stages(spark):
         docs = spark.createDataFrame([tuple(r) for r in rows.values()], out.schema)
 
 
+def test_near_copies_of_five_words(spark):
+    """Near copies by 0.8 of five-word shingles, though not by 0.85 of four-word ones, and a pair below both."""
+
+    def edited(words, places):
+        return " ".join(f"edit{i}" if i in places else w for i, w in enumerate(words))
+
+    one, two, three = (prose(seed, 1000).split() for seed in (40, 41, 42))
+    rows = [(0, " ".join(one)), (1, edited(one, range(400, 500))), (2, " ".join(two)), (3, edited(two, range(20, 964, 43))), (4, " ".join(three)), (5, edited(three, range(300, 460)))]
+    sets = {k: [shingle_set(t, k) for _, t in rows] for k in (4, 5)}
+    share = {k: [len(s[i] & s[i + 1]) / len(s[i] | s[i + 1]) for i in (0, 2, 4)] for k, s in sets.items()}
+    assert max(share[4]) < 0.85 and min(share[5][:2]) >= 0.8 > share[5][2]
+    out = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert {r["doc_id"] for r in out.collect()} == {0, 2, 4, 5}
+
+
+def test_near_copies_stage_leaves_no_five_word_pair(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = [shingle_set(r["text"], 5) for r in corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()]
+    for k, a in enumerate(sets):
+        for b in sets[:k]:
+            both = len(a & b)
+            assert not both or 100 * both < 80 * (len(a) + len(b) - both)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered(spark, name):
     got = queries.QUERIES[name](spark, SF)
