@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 
@@ -82,6 +83,21 @@ def test_clustered_substitutions(spark):
     assert {(r["doc_id"], r["item_ids"][0], r["n_overlap"], r["n_equal"]) for r in got} == {(0, 0, 20, 17), (1, 1, 33, 27), (2, 2, 13, 11)}
 
 
+def test_short_items_with_every_substitution(spark):
+    items, rows, want = [], [], set()
+    for n in range(5, 13):
+        words = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        for most in (n // 5, n // 5 + 1):
+            for places in combinations(range(n), most):
+                text = " ".join("zzz" if i in places else w for i, w in enumerate(words))
+                rows.append((len(rows), f"before it {text} after it"))
+                want |= {(len(rows) - 1, n)} if most == n // 5 else set()
+    got = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_ids"][0]) for r in got} == want
+    assert all((r["start"], r["n_overlap"]) == (2, r["n_item_words"]) for r in got)
+
+
 def test_licences(spark, docs, empty, pairs):
     s = Scanner(TEMPLATES, LEAST)
     for name, t in TEMPLATES.items():

@@ -11,6 +11,7 @@ Training hashes first pass a filter of fixed size that holds the test hashes; it
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ def _spaced(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
         return _mix(out)
 
 
-def _masks(short: list[int]) -> list[tuple[int, ...]]:
-    """The masks, and for each length of items too short for them all of its words."""
-    return [*MASKS, *(tuple(range(n)) for n in short)]
+def _masks(short: list[int], percent: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Item length (0: any) and mask: MASKS, and for each short length every choice of the words that must be equal."""
+    return [*((0, m) for m in MASKS), *((n, m) for n in short for m in combinations(range(n), max(1, -(-percent * n // 100))))]
 
 
 SHORTEST = 1 + max(m[-1] for m in MASKS)
@@ -61,12 +62,12 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(sizes, pa.int64()), pa.array(kinds, pa.int64())], names=["item_id", "words", "n_words", "kind"])
 
 
-def _item_seeds(short: list[int]):
+def _item_seeds(short: list[int], percent: int):
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = np.frombuffer(raw, np.uint64)
-                found = [(_spaced(h, m, i), i) for i, m in enumerate(_masks(short)) if i < len(MASKS) or m[-1] + 1 == h.size]
+                found = [(_spaced(h, m, i)[: 1 if n else None], i) for i, (n, m) in enumerate(_masks(short, percent)) if n in (0, h.size)]
                 values = np.concatenate([x for x, _ in found])
                 at = np.concatenate([np.arange(x.size) for x, _ in found])
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(values.size, kind, np.int64)), pa.array(at.astype(np.int32))], names=["seed", "item", "item_place"])
@@ -77,7 +78,7 @@ def _item_seeds(short: list[int]):
 STRETCH = "doc_id long, text_key long, first int, words binary, hits array<struct<seed:bigint,place:int>>"
 
 
-def _stretches(short: list[int], low: bytes, high: bytes, reach: int):
+def _stretches(short: list[int], percent: int, low: bytes, high: bytes, reach: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.frombuffer(low, np.uint64), np.frombuffer(high, np.uint64)
         for batch in batches:
@@ -85,7 +86,7 @@ def _stretches(short: list[int], low: bytes, high: bytes, reach: int):
                 w = Words(block, PLAIN)
                 h = w.hashes(lower=True)
                 values, at = [], []
-                for i, m in enumerate(_masks(short)):
+                for i, (_, m) in enumerate(_masks(short, percent)):
                     v = _spaced(h, m, i)
                     p = np.flatnonzero(in_bitmap(a, v))
                     p = p[in_bitmap(b, v[p] >> np.uint64(32))]
@@ -133,14 +134,22 @@ def best_overlap(text: np.ndarray, item: np.ndarray, diagonal: int, percent: int
     return start + int(at[k]), int(length[k]), int(equal[k])
 
 
+def whole_item(text: np.ndarray, item: np.ndarray, diagonal: int, percent: int) -> tuple[int, int, int]:
+    """As best_overlap, for an item that counts as a whole only; length 0 if it isn't all there or too few words are equal."""
+    if diagonal < 0 or diagonal + item.size > text.size:
+        return max(0, diagonal), 0, 0
+    equal = int((text[diagonal : diagonal + item.size] == item).sum())
+    return (diagonal, item.size, equal) if 100 * equal >= percent * item.size else (diagonal, 0, 0)
+
+
 def _verifier(percent: int, min_words: int):
     def verify(texts: pa.Array, items: pa.Array, diagonals: pa.Array, firsts: pa.Array) -> pa.Array:
         out = []
         for raw_text, raw_item, ds, first in zip(texts, items, diagonals.to_pylist(), firsts.to_pylist()):
             t, i = np.frombuffer(raw_text.as_buffer(), np.uint64), np.frombuffer(raw_item.as_buffer(), np.uint64)
-            least = min(i.size, min_words)
+            least, overlap = min(i.size, min_words), whole_item if i.size < min_words else best_overlap
             # A diagonal that is long enough goes before one that isn't, whatever their equal words.
-            place, length, equal = max((best_overlap(t, i, d, percent) for d in sorted(ds)), key=lambda x: (x[1] >= least, x[2], x[1], -x[0]))
+            place, length, equal = max((overlap(t, i, d, percent) for d in sorted(ds)), key=lambda x: (x[1] >= least, x[2], x[1], -x[0]))
             out.append({"start": first + place, "n_overlap": length, "n_equal": equal})
         return pa.array(out, pa.struct([("start", pa.int64()), ("n_overlap", pa.int64()), ("n_equal", pa.int64())]))
 
@@ -160,12 +169,12 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     wordy = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_words, "item_id long, words binary, n_words long, kind long")
     tests = wordy.where(F.col("n_words") >= MIN_ITEM_WORDS).groupBy("kind", "words", "n_words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     tests = written(tests, "test-items")
-    short = sorted(r["n_words"] for r in tests.where(F.col("n_words") < SHORTEST).select("n_words").distinct().collect())
-    seeds = written(tests.select("kind", "words").mapInArrow(_item_seeds(short), SEED).distinct(), "test-seeds")
+    short = sorted(r["n_words"] for r in tests.where(F.col("n_words") < min_words).select("n_words").distinct().collect())
+    seeds = written(tests.select("kind", "words").mapInArrow(_item_seeds(short, percent), SEED).distinct(), "test-seeds")
     low, high = as_bitmap(seeds, "seed", FILTER_BITS), as_bitmap(seeds.select(F.shiftrightunsigned("seed", 32).alias("seed")), "seed", FILTER_BITS)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    stretches = written(rows.mapInArrow(_stretches(short, low, high, REACH), STRETCH), "stretches")
+    stretches = written(rows.mapInArrow(_stretches(short, percent, low, high, REACH), STRETCH), "stretches")
     where = ["doc_id", "text_key", "first"]
     hits = stretches.select(*where, F.inline("hits")).join(broadcast_if_small(seeds, BROADCAST_ROWS), "seed")
     hits = hits.groupBy(*where, "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("diagonals"))
