@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, value: str, by: list[str] = (), out: str = "asof", skip_null: bool = False, salt_months: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: str, value: str, by: list[str] = (), out: str = "asof", skip_null: bool = False) -> DataFrame:
     """Every left row with the value of the last right row at or before its date; a null value counts unless skipped.
 
-    One union and one window: no range join. Right rows come before left ones of the same date.
+    One union and no range join. Rows are cut by month: each month's last quote is carried over a table of months, so a
+    window only spans a month of a series, and a long series isn't one task. Right rows come before left ones of the same
+    date.
     """
     by = list(by)
     tagged = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})
     quotes = right.select(*by, on, F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    mark = F.when(F.col("_side") == 0, F.struct(F.col("_v").alias("v")))
-    if skip_null:
-        mark = F.when((F.col("_side") == 0) & F.col("_v").isNotNull(), F.struct(F.col("_v").alias("v")))
-    w = W.partitionBy(*by).orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = tagged.unionByName(quotes, allowMissingColumns=True).withColumn("_m", F.last(mark, ignorenulls=True).over(w))
-    return both.where("_side = 1").withColumn(out, F.col("_m.v")).drop("_side", "_v", "_m")
+    counts = (F.col("_side") == 0) & F.col("_v").isNotNull() if skip_null else F.col("_side") == 0
+    both = tagged.unionByName(quotes, allowMissingColumns=True)
+    both = both.withColumns({"_mark": F.when(counts, F.struct(F.col("_v").alias("v"))), "_month": F.trunc(F.col(on).cast("date"), "month")})
+    months = both.groupBy(*by, "_month").agg(F.max_by("_mark", F.when(counts, F.col(on))).alias("_last"))
+    before = W.partitionBy(*by).orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
+    months = months.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_month"])), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    w = W.partitionBy(*by, "_month").orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("_m", F.last("_mark", ignorenulls=True).over(w)).where("_side = 1")
+    both = both.join(months, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_month"])], "left")
+    return both.withColumn(out, F.coalesce("_m", "_carried")["v"]).drop("_side", "_v", "_m", "_mark", "_month", "_carried", *(f"_k{i}" for i in range(len(by) + 1)))
 
 
 def fill_daily(df: DataFrame, start: str, end: str, by: list[str], date: str = "date", value: str = "value") -> DataFrame:
@@ -42,6 +48,14 @@ def spread(a: DataFrame, b: DataFrame, on: list[str], value: str = "value", out:
     return a.select(*on, F.col(value).alias("_a")).join(b.select(*on, F.col(value).alias("_b")), on).select(*on, (F.col("_a") - F.col("_b")).alias(out))
 
 
+def spread_of(df: DataFrame, name: str, a: str, b: str, on: list[str], value: str = "value", out: str = "spread") -> DataFrame:
+    """As spread, for two named series of one long table: one scan and one aggregation. A series with repeated rows for a
+    key counts with its largest value."""
+    of = lambda n: F.max(F.when(F.col(name) == n, F.col(value)))
+    wide = df.where(F.col(name).isin(a, b)).groupBy(*on).agg(of(a).alias("_a"), of(b).alias("_b"))
+    return wide.where("_a is not null and _b is not null").select(*on, (F.col("_a") - F.col("_b")).alias(out))
+
+
 def month_end(df: DataFrame, date: str = "date", value: str = "value", out: str = "rate") -> DataFrame:
     """The last value of each month that isn't null."""
     return df.where(F.col(value).isNotNull()).groupBy(F.trunc(F.col(date).cast("date"), "month").alias("period")).agg(F.max_by(value, date).alias(out))

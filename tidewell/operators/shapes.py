@@ -18,7 +18,7 @@ def latest(df: DataFrame, order: str = "period") -> DataFrame:
 def kpi(df: DataFrame, by: list[str], order: str = "period", value: str = "value") -> DataFrame:
     """Each entity's last row with the row before: previous, change, and percent of the previous value's size."""
     w = W.partitionBy(*by).orderBy(order)
-    got = df.withColumns({"previous": F.lag(value, 1).over(w), "_n": F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order)))}).where("_n = 1").drop("_n")
+    got = df.withColumns({"previous": F.lag(value, 1).over(w), "_next": F.lead(order, 1).over(w)}).where("_next is null").drop("_next")
     return got.withColumns({"change": F.col(value) - F.col("previous"), "change_percent": ratio(F.col(value) - F.col("previous"), F.abs("previous"), 100)})
 
 

@@ -103,10 +103,14 @@ def first_last_growth(df: DataFrame, rows: int, order: str, value: str, per_year
     return a.select("start", "end", "first", "last", F.bround(g * 100 * per_year / rows, 2).alias("simple"), F.bround((F.pow(1 + g, F.lit(per_year / rows)) - 1) * 100, 2).alias("compound"))
 
 
-def resample(df: DataFrame, unit: str, by: list[str], how: str, date: str = "date", value: str = "value") -> DataFrame:
-    """avg, min, max, first or last value of every week, month, quarter or year."""
+def resampled(df: DataFrame, unit: str, by: list[str], columns: dict[str, str], date: str = "date", value: str = "value") -> DataFrame:
+    """avg, min, max, first or last value of every week, month, quarter or year as columns, in one aggregation."""
     kinds = {"avg": lambda: F.avg(value), "min": lambda: F.min(value), "max": lambda: F.max(value), "first": lambda: F.min_by(value, date), "last": lambda: F.max_by(value, date)}
-    return df.groupBy(*by, F.trunc(F.col(date).cast("date"), unit).alias("period")).agg(kinds[how]().alias("value"))
+    return df.groupBy(*by, F.trunc(F.col(date).cast("date"), unit).alias("period")).agg(*(kinds[how]().alias(name) for name, how in columns.items()))
+
+
+def resample(df: DataFrame, unit: str, by: list[str], how: str, date: str = "date", value: str = "value") -> DataFrame:
+    return resampled(df, unit, by, {"value": how}, date, value)
 
 
 def since_first(df: DataFrame, by: list[str], order: str = "period", value: str = "value") -> DataFrame:

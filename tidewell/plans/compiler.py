@@ -13,6 +13,7 @@ from tidewell.plans import catalog
 from tidewell.plans.catalog import Metric, Where
 
 KEYS = ["year", "month", "bank_type_code"]
+STANDARD = ["year", "month", "period", "bank_type_code", "bank_type", "value"]
 
 
 def predicate(w: Where, entities: Column | None = None, or_precedence: bool = False) -> Column:
@@ -111,17 +112,26 @@ class Engine:
     def any(self, id: str) -> DataFrame:
         return self.ratio(id) if id in catalog.RATIOS else self.growth(id) if id in catalog.GROWTH else self.metric(id)
 
-    def every_metric(self) -> DataFrame:
+    def cells(self, wanted: Mapping[str, Metric], currency: str, name: str) -> DataFrame:
+        """KEYS, name, value: the columns of columns() as rows, one for each that has rows."""
+        wide = self.columns([(i, m, currency) for i, m in wanted.items()])
+        cells = F.explode(F.array(*(F.struct(F.lit(i).alias(name), F.col(f"`{i}`").cast("double").alias("value"), F.col(f"`_{i}`").alias("n")) for i in wanted))).alias("c")
+        return wide.select(*KEYS, cells).where("c.n > 0").select(*KEYS, f"c.{name}", "c.value")
+
+    def every_metric(self, currency: str = "TOTAL") -> DataFrame:
         """All base metrics as one long table (metric_id, ...), one scan per fact table."""
         out = None
         for table in dict.fromkeys(m.table for m in catalog.METRICS.values()):
-            ids = [m.id for m in catalog.METRICS.values() if m.table == table]
-            if table not in self.tables:
-                continue
-            wide = self.columns([(i, catalog.METRICS[i], "TOTAL") for i in ids])
-            cells = F.explode(F.array(*(F.struct(F.lit(i).alias("metric_id"), F.col(i).cast("double").alias("value"), F.col(f"_{i}").alias("n")) for i in ids))).alias("c")
-            long = self.shaped(wide.select(*KEYS, cells).where("c.n > 0").select(*KEYS, "c.metric_id", "c.value"))
-            out = long if out is None else out.unionByName(long)
+            if table in self.tables:
+                long = self.shaped(self.cells({m.id: m for m in catalog.METRICS.values() if m.table == table}, currency, "metric_id"))
+                out = long if out is None else out.unionByName(long)
+        return out
+
+    def everything(self) -> DataFrame:
+        """All metrics, ratios and growth rates as one long table."""
+        out = self.every_metric().select(*STANDARD, "metric_id")
+        for one in [self.ratio(i) for i in catalog.RATIOS] + [self.growth(i) for i in catalog.GROWTH]:
+            out = out.unionByName(one.select(*STANDARD, "metric_id"))
         return out
 
     def periods(self, table: str = "balance_sheet") -> DataFrame:

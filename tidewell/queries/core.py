@@ -15,9 +15,10 @@ from pyspark.sql import Window as W
 from tidewell.functions import expr as E
 from tidewell.operators import align, shapes
 from tidewell.operators import timeseries as ts
-from tidewell.plans.compiler import predicate
-from tidewell.plans.catalog import Where
-from tidewell.sources import ingest
+from tidewell.plans.catalog import CURRENCIES, Metric, Where
+from tidewell.plans.compiler import measure, predicate
+from tidewell.plans.extended import preset
+from tidewell.sources import ingest, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,8 +85,9 @@ def _(spark, sf):
 
 @query("metric_level_currency", "SELECT period, entity, currency, value FROM (SELECT period, entity, tl AS TL, fx AS FX, value AS TOTAL FROM m) UNPIVOT (value FOR currency IN (TL, FX, TOTAL))", "m")
 def _(spark, sf):
-    m = monthly(spark, sf).select("period", "entity", F.col("tl").alias("TL"), F.col("fx").alias("FX"), F.col("value").alias("TOTAL"))
-    return m.unpivot(["period", "entity"], ["TL", "FX", "TOTAL"], "currency", "value").where("value is not null")
+    by = Metric("level", "Level", "assets", "m", Where(), {"TL": ("tl",), "FX": ("fx",), "TOTAL": ("value",)})
+    m = monthly(spark, sf).select("period", "entity", *(measure(by, c).alias(c) for c in CURRENCIES))
+    return m.unpivot(["period", "entity"], list(CURRENCIES), "currency", "value").where("value is not null")
 
 
 @query("metric_multi_col_sum", "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period, l_returnflag AS entity, CAST(sum(CAST(l_quantity AS DECIMAL(18,2)) + nullif(CAST(l_tax AS DECIMAL(18,2)), 0)) AS DOUBLE) AS value FROM lineitem GROUP BY ALL")
@@ -147,21 +149,22 @@ def _(spark, sf):
     return ts.growth(monthly(spark, sf), 12, BY, calendar_months=True).select("period", "entity", "growth")
 
 
-_FILL = "h AS (SELECT period, entity, last_value(v IGNORE NULLS) OVER (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING) AS f FROM (SELECT *, CASE WHEN month <> 7 THEN value END AS v FROM m)), c AS (SELECT *, lag(f) OVER (PARTITION BY entity ORDER BY period) AS p FROM h)"
+_FILL = "h AS (SELECT period, entity, last_value(v IGNORE NULLS) OVER (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING) AS f FROM (SELECT *, npl AS v FROM m)), c AS (SELECT *, lag(f) OVER (PARTITION BY entity ORDER BY period) AS p FROM h)"
 
 
-def _gappy(spark, sf):
-    return monthly(spark, sf).withColumn("value", F.when(F.col("month") != 7, F.col("value")))
+def _partly(spark, sf):
+    """A part that months may lack: null there."""
+    return monthly(spark, sf).withColumn("value", F.col("npl"))
 
 
 @query("mom_ffill", "SELECT * FROM (WITH " + _FILL + " SELECT period, entity, (f - p) / p * 100 AS growth FROM c WHERE p IS NOT NULL)", "m")
 def _(spark, sf):
-    return ts.change_filled(_gappy(spark, sf), BY).select("period", "entity", "growth")
+    return ts.change_filled(_partly(spark, sf), BY).select("period", "entity", "growth")
 
 
 @query("mom_annualized", "SELECT * FROM (WITH " + _FILL + " SELECT period, entity, round((pow(1 + (f - p) / p * 100 / 100, 12) - 1) * 100, 4) AS growth FROM c WHERE p IS NOT NULL)", "m")
 def _(spark, sf):
-    return ts.annualised(_gappy(spark, sf), BY).select("period", "entity", F.round("growth", 4).alias("growth"))
+    return ts.annualised(_partly(spark, sf), BY).select("period", "entity", F.round("growth", 4).alias("growth"))
 
 
 @query("fees_yoy_same_month", "SELECT period, entity, (value - p) / p * 100 AS growth FROM (SELECT *, lag(value) OVER (PARTITION BY entity, month ORDER BY year) AS p FROM m) WHERE p IS NOT NULL", "m")
@@ -232,22 +235,21 @@ def _(spark, sf):
     return t.join(F.broadcast(last), "period").join(equity, "period", "left").select("period", "bucket", F.round(E.ratio("ttm", "mean", 100), 4).alias("share"))
 
 
-@query("asof_rate", "SELECT * FROM (WITH l AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events), r AS (SELECT date, value FROM d WHERE label = 'purchase' AND day(date) % 3 = 0) SELECT l.date, r.value AS rate FROM l ASOF LEFT JOIN r ON l.date >= r.date)", "d")
+@query("asof_rate", "SELECT * FROM (WITH l AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), r AS (SELECT period_date, value FROM w WHERE item = 'R') SELECT l.date, r.value AS rate FROM l ASOF LEFT JOIN r ON l.date >= r.period_date)", "w")
 def _(spark, sf):
-    left = table(spark, sf, "events").select(F.col("ts").cast("date").alias("date")).distinct()
-    right = daily(spark, sf).where("label = 'purchase' and day(date) % 3 = 0").select("date", "value")
+    left = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    right = weekly(spark, sf).where("item = 'R'").select(F.col("period_date").alias("date"), "value")
     return align.asof(left, right, "date", "value", out="rate").select("date", "rate")
 
 
-@query("calendar_ffill", "SELECT * FROM (WITH s AS (SELECT label, date, value FROM d WHERE day(date) % 4 <> 1 AND date BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'), k AS (SELECT label, CAST(unnest(range(DATE '2024-01-03', DATE '2024-01-26', INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT label FROM s)) SELECT k.label, k.date, s.value FROM k ASOF JOIN s ON s.label = k.label AND k.date >= s.date)", "d")
+@query("calendar_ffill", "SELECT * FROM (WITH s AS (SELECT item, period_date, value FROM w WHERE period_date BETWEEN DATE '1995-03-01' AND DATE '1996-02-28'), k AS (SELECT item, CAST(unnest(range(DATE '1995-03-01', DATE '1996-02-29', INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT item FROM s)) SELECT k.item, k.date, s.value FROM k ASOF JOIN s ON s.item = k.item AND k.date >= s.period_date)", "w")
 def _(spark, sf):
-    return align.fill_daily(daily(spark, sf).where("day(date) % 4 <> 1"), "2024-01-03", "2024-01-25", ["label"]).select("label", "date", "value")
+    return align.fill_daily(weekly(spark, sf).withColumnRenamed("period_date", "date"), "1995-03-01", "1996-02-28", ["item"]).select("item", "date", "value")
 
 
 @query("spread", "SELECT a.date, a.value - b.value AS spread FROM d a JOIN d b ON a.date = b.date WHERE a.label = 'purchase' AND b.label = 'click'", "d")
 def _(spark, sf):
-    d = daily(spark, sf)
-    return align.spread(d.where("label = 'purchase'"), d.where("label = 'click'"), ["date"])
+    return align.spread_of(daily(spark, sf), "label", "purchase", "click", ["date"])
 
 
 @query("lookup_month_end_rate", "SELECT * FROM (WITH q AS (SELECT CAST(l_shipdate AS DATE) AS date, min(l_discount) AS value FROM lineitem WHERE l_discount > 0 GROUP BY 1), r AS (SELECT CAST(date_trunc('month', date) AS DATE) AS period, arg_max(value, date) AS rate FROM q GROUP BY 1) SELECT m.period, m.entity, m.value, r.rate FROM m LEFT JOIN r USING (period))", "m")
@@ -263,12 +265,11 @@ def _(spark, sf):
     return got.select("period", "entity", F.round("growth_nominal", 4).alias("growth_nominal"), F.round("growth_adjusted", 4).alias("growth_adjusted"))
 
 
-@query("net_reserves", "SELECT * FROM (WITH a AS (SELECT date, value FROM d WHERE label = 'purchase'), l AS (SELECT date, value FROM d WHERE label = 'view'), r AS (SELECT date, value FROM d WHERE label = 'click' AND day(date) % 5 = 0), j AS (SELECT a.date, a.value - l.value AS net FROM a JOIN l USING (date)) SELECT j.date, round(net / r.value, 6) AS net FROM j ASOF JOIN r ON j.date >= r.date)", "d")
+@query("net_reserves", "SELECT * FROM (WITH a AS (SELECT date, value FROM d WHERE label = 'purchase'), l AS (SELECT date, value FROM d WHERE label = 'view'), r AS (SELECT date, value FROM d WHERE label = 'click'), j AS (SELECT a.date, a.value - l.value AS net FROM a JOIN l USING (date)) SELECT j.date, round(net / r.value, 6) AS net FROM j ASOF JOIN r ON j.date >= r.date)", "d")
 def _(spark, sf):
     d = daily(spark, sf)
-    net = align.spread(d.where("label = 'purchase'"), d.where("label = 'view'"), ["date"], out="net")
-    rate = d.where("label = 'click' and day(date) % 5 = 0").select("date", "value")
-    return align.asof(net, rate, "date", "value", out="rate").where("rate is not null").select("date", F.round(E.ratio("net", "rate"), 6).alias("net"))
+    net = align.spread_of(d, "label", "purchase", "view", ["date"], out="net")
+    return align.asof(net, d.where("label = 'click'").select("date", "value"), "date", "value", out="rate").where("rate is not null").select("date", F.round(E.ratio("net", "rate"), 6).alias("net"))
 
 
 @query("latest_snapshot", "SELECT year, month, period, entity, value FROM m WHERE period = (SELECT max(period) FROM m)", "m")
@@ -301,7 +302,7 @@ def _(spark, sf):
     return shapes.pivot_sum(weekly(spark, sf), ["period_date"], "item", ["R", "N"]).withColumn("share", F.round(E.ratio("R", "N", 100), 4))
 
 
-@query("leader_laggard", "SELECT period, arg_max(entity, value) AS leader, max(value) AS leader_value, arg_min(entity, value) AS laggard, min(value) AS laggard_value FROM m WHERE entity <> 'SECTOR' GROUP BY 1", "m")
+@query("leader_laggard", "SELECT period, min(CASE WHEN value = hi THEN entity END) AS leader, max(value) AS leader_value, min(CASE WHEN value = lo THEN entity END) AS laggard, min(value) AS laggard_value FROM (SELECT *, max(value) OVER (PARTITION BY period) AS hi, min(value) OVER (PARTITION BY period) AS lo FROM m WHERE entity <> 'SECTOR') GROUP BY 1", "m")
 def _(spark, sf):
     return shapes.leader_laggard(monthly(spark, sf).where("entity <> 'SECTOR'"), ["period"])
 
@@ -327,19 +328,15 @@ def _(spark, sf):
     return ts.since_first(monthly(spark, sf), BY)
 
 
-@query("peak_with_date", "SELECT entity, max(value) AS peak, arg_max(period, value) AS peak_at, min(value) AS low, arg_min(period, value) AS low_at FROM m GROUP BY 1", "m")
+@query("peak_with_date", "SELECT entity, max(value) AS peak, min(CASE WHEN value = hi THEN period END) AS peak_at, min(value) AS low, min(CASE WHEN value = lo THEN period END) AS low_at FROM (SELECT *, max(value) OVER (PARTITION BY entity) AS hi, min(value) OVER (PARTITION BY entity) AS lo FROM m) GROUP BY 1", "m")
 def _(spark, sf):
     return ts.peaks(monthly(spark, sf), BY)
 
 
-@query("resample_monthly", "SELECT label, CAST(date_trunc('week', date) AS DATE) AS period, max(value) AS largest, min(value) AS least, arg_max(value, date) AS last, arg_min(value, date) AS first FROM d GROUP BY ALL", "d")
+@query("resample_monthly", "SELECT label, CAST(date_trunc('week', date) AS DATE) AS period, max(value) AS largest, min(value) AS least, arg_max(value, date) AS last, arg_min(value, date) AS first, round(avg(value), 6) AS mean FROM d GROUP BY ALL", "d")
 def _(spark, sf):
-    d, on = daily(spark, sf), ["label", "period"]
-    out = None
-    for name, how in (("largest", "max"), ("least", "min"), ("last", "last"), ("first", "first")):
-        got = ts.resample(d, "week", ["label"], how).withColumnRenamed("value", name)
-        out = got if out is None else out.join(got, on)
-    return out
+    got = ts.resampled(daily(spark, sf), "week", ["label"], {"largest": "max", "least": "min", "last": "last", "first": "first", "mean": "avg"})
+    return got.withColumn("mean", F.round("mean", 6))
 
 
 _CAPTION = """WITH g AS (SELECT period, entity, (value - p) / p * 100 AS growth FROM (SELECT *, lag(value, 12) OVER (PARTITION BY entity ORDER BY period) AS p FROM m) WHERE p <> 0), k AS (SELECT entity, growth, lag(growth) OVER (PARTITION BY entity ORDER BY period) AS b, row_number() OVER (PARTITION BY entity ORDER BY period DESC) AS n FROM g)"""
@@ -378,7 +375,7 @@ def _(spark, sf):
 
 @query("json_extract", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    return table(spark, sf, "events").select("event_id", readers.json_number("props", "k").alias("k"))
 
 
 @query("date_parse_format", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, strftime(o_orderdate, '%Y-%m') AS ym, strftime(o_orderdate, '%d.%m.%Y') AS dmy FROM orders")
@@ -393,11 +390,10 @@ def _(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct().withColumn("saturday", E.last_saturday("d"))
 
 
-@query("number_format", "SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN format('{:.2f}T TL', o_totalprice / 1e6) WHEN o_totalprice >= 1e3 THEN format('{:.1f}B TL', o_totalprice / 1e3) ELSE format('{:.0f}M TL', o_totalprice) END AS amount FROM orders WHERE CAST(round(o_totalprice * 100) AS BIGINT) % 100 NOT IN (50, 0) AND CAST(round(o_totalprice * 100) AS BIGINT) % 10000 <> 5000 AND CAST(round(o_totalprice * 100) AS BIGINT) % 1000000 <> 500000")
+@query("number_format", "SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN format('{:.2f}T TL', o_totalprice / 1e6) WHEN o_totalprice >= 1e3 THEN format('{:.1f}B TL', o_totalprice / 1e3) ELSE format('{:.0f}M TL', o_totalprice) END AS amount FROM orders")
 def _(spark, sf):
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    # Ties of the last digit are told apart by each engine's own rounding; the amounts here have none.
-    return table(spark, sf, "orders").where(~(cents % 100).isin(50, 0) & (cents % 10000 != 5000) & (cents % 1000000 != 500000)).select("o_orderkey", E.amount_text("o_totalprice").alias("amount"))
+    # Doubles are rounded by their exact binary value, true ties to even, on both sides.
+    return table(spark, sf, "orders").select("o_orderkey", E.amount_text("o_totalprice").alias("amount"))
 
 
 @query("number_format_all", "SELECT o_orderkey, CASE WHEN abs(o_totalprice) >= 1e6 THEN format('{:.2f}T TL', o_totalprice / 1e6) WHEN abs(o_totalprice) >= 1e3 THEN format('{:.1f}B TL', o_totalprice / 1e3) ELSE format('{:,.0f}M TL', o_totalprice) END AS amount FROM orders")
@@ -416,9 +412,8 @@ def _(spark, sf):
 
 @query("eav_unpivot", "SELECT p_partkey, column_name, value_text, TRY_CAST(value_text AS DOUBLE) AS value_numeric FROM (SELECT p_partkey, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part) UNPIVOT (value_text FOR column_name IN (p_brand, p_type, p_size)) WHERE value_text <> ''")
 def _(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("string").alias("p_size"), "p_brand", "p_type")
-    long = p.unpivot(["p_partkey"], ["p_brand", "p_type", "p_size"], "column_name", "value_text").where("value_text <> ''")
-    return long.withColumn("value_numeric", F.col("value_text").try_cast("double"))
+    cells = F.create_map(*(x for c in ("p_name", "p_brand", "p_type", "p_size") for x in (F.lit(c), F.col(c).cast("string"))))
+    return readers.unpivoted(table(spark, sf, "part").select("p_partkey", cells.alias("cells")), ["p_name"])
 
 
 @query("sanity_filter", "SELECT event_id, value FROM events WHERE value IS NULL OR abs(value) < 50")
@@ -445,7 +440,7 @@ def _(spark, sf):
 @query("weekly_anchors", "SELECT CAST(unnest(generate_series(CAST(b AS TIMESTAMP), CAST(a AS TIMESTAMP), INTERVAL (-91) DAY)) AS DATE) AS anchor FROM (SELECT min(period_date) AS a, max(period_date) AS b FROM w)", "w")
 def _(spark, sf):
     ends = table(spark, sf, "lineitem").agg(E.friday_of(F.min("l_shipdate")).alias("a"), E.friday_of(F.max("l_shipdate")).alias("b"))
-    return ends.select(F.explode(F.sequence("b", "a", F.expr("interval -91 day"))).alias("anchor"))
+    return ends.select(F.explode(ingest.anchors("b", "a")).alias("anchor"))
 
 
 @query("code_remap", "SELECT s_suppkey, CASE code WHEN '10003' THEN '10007' WHEN '10004' THEN '10006' WHEN '10005' THEN '10009' WHEN '10006' THEN '10010' WHEN '10007' THEN '10008' WHEN '10008' THEN '10004' WHEN '10009' THEN '10005' WHEN '10010' THEN '10003' ELSE code END AS bank_type_code FROM (SELECT s_suppkey, CAST(10000 + s_suppkey % 12 AS VARCHAR) AS code FROM supplier)")
@@ -455,8 +450,7 @@ def _(spark, sf):
 
 @query("filter_from_preset", "SELECT period, entity, value FROM m WHERE period >= (SELECT max(period) FROM m) - INTERVAL 12 MONTH", "m")
 def _(spark, sf):
-    m = monthly(spark, sf).select("period", "entity", "value")
-    return m.join(F.broadcast(m.agg(F.max("period").alias("p"))), F.col("period") >= F.add_months("p", -12)).drop("p")
+    return preset(monthly(spark, sf).select("period", "entity", "value"), "1Y")
 
 
 @query("dedupe_keep_first", "SELECT label, date, value FROM (SELECT *, row_number() OVER (PARTITION BY label, date ORDER BY part) AS n FROM (SELECT 1 AS part, label, date, value FROM d WHERE date <= DATE '2024-01-20' UNION ALL SELECT 2, label, date, value * 2 FROM d WHERE date >= DATE '2024-01-10')) WHERE n = 1", "d")
@@ -493,7 +487,7 @@ def _(spark, sf):
     return shapes.latest(total, "date")
 
 
-@query("share_with_peak", "SELECT a.entity, max(a.fx / a.value * 100) AS peak, arg_max(a.period, a.fx / a.value * 100) AS peak_at FROM m a WHERE a.fx IS NOT NULL GROUP BY 1", "m")
+@query("share_with_peak", "SELECT entity, max(v) AS peak, min(CASE WHEN v = hi THEN period END) AS peak_at FROM (SELECT *, max(v) OVER (PARTITION BY entity) AS hi FROM (SELECT entity, period, fx / value * 100 AS v FROM m WHERE fx IS NOT NULL)) GROUP BY 1", "m")
 def _(spark, sf):
     share = monthly(spark, sf).select("entity", "period", E.ratio("fx", "value", 100).alias("value"))
     return ts.peaks(share, BY).select("entity", "peak", "peak_at")

@@ -7,9 +7,8 @@ import time
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidewell.functions.expr import in_range
 
@@ -46,8 +45,14 @@ def missing_months(have: DataFrame, first: str, last: str, period: str = "period
     return all_months.join(have.select(period).distinct(), period, "left_anti")
 
 
-def latest_of(df: DataFrame, period: str) -> DataFrame:
-    return df.agg(F.max(period).alias(period))
+def violations(df: DataFrame, value: str = "value", limit: float = 1e10) -> DataFrame:
+    """rows, dropped: how many rows sane() sees and leaves out; beside the load, in one aggregation."""
+    return df.agg(F.count("*").alias("rows"), F.count_if(~in_range(value, limit)).alias("dropped"))
+
+
+def anchors(last: str, oldest: str, step_weeks: int = 13) -> Column:
+    """Dates to request windows at, going back from the last one, as an array."""
+    return F.sequence(F.col(last), F.col(oldest), F.expr(f"interval -{7 * step_weeks} day"))
 
 
 def weekly_anchors(last: date, oldest: date, step_weeks: int = 13) -> list[date]:
@@ -88,7 +93,3 @@ def append_log(df: DataFrame, path: str) -> None:
 def compacted(df: DataFrame, path: str, by: list[str], rows_per_file: int = 5_000_000) -> None:
     """Rewrites a table in files of bounded size, dealt by its keys."""
     df.repartition(*by).sortWithinPartitions(*by).write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
-
-
-def numbered(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -42,16 +42,21 @@ def series_response(raw: DataFrame, code: str, body: str = "body") -> DataFrame:
     return raw.select(item).select(F.try_to_date(F.col("m")["Tarih"], "dd-MM-yyyy").alias("date"), value.try_cast("double").alias("value")).where("date is not null")
 
 
+def json_number(body: str, field: str, kind: str = "bigint") -> Column:
+    """A field of a JSON text as a number; null where it is none."""
+    return F.get_json_object(body, f"$.{field}").try_cast(kind)
+
+
 MONTHLY = "struct<colModels:array<struct<name:string>>,colNames:array<string>,data:struct<rows:array<struct<cell:array<string>>>>>"
 
 
 def monthly_rows(raw: DataFrame, body: str = "response_json", least_cells: int = 4) -> DataFrame:
-    """Monthly responses to one row per table row: the raw row's other columns, cells (name -> text), item_order. Rows of
-    fewer than least_cells cells are left out."""
+    """Monthly responses to one row per table row: the raw row's other columns, cells (name -> text), item_order (place
+    from 0). Rows of fewer than least_cells cells are left out and don't count."""
     j = F.from_json(F.get_json_object(body, "$.Json"), MONTHLY).alias("j")
     rest = [c for c in raw.columns if c != body]
-    rows = raw.select(*rest, j).select(*rest, F.col("j.colModels.name").alias("names"), F.posexplode("j.data.rows").alias("item_order", "row"))
-    rows = rows.where(F.size("row.cell") >= least_cells)
+    rows = F.filter("j.data.rows", lambda r: F.size(r["cell"]) >= least_cells)
+    rows = raw.select(*rest, j).select(*rest, F.col("j.colModels.name").alias("names"), F.posexplode(rows).alias("item_order", "row"))
     cells = F.map_from_entries(F.filter(F.arrays_zip(F.col("names").alias("k"), F.col("row.cell").alias("v")), lambda x: x["k"].isNotNull()))
     return rows.select(*rest, "item_order", cells.alias("cells"))
 
