@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +20,27 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df doesn't have, whatever the case: names, with underscores behind."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, set here only where it is unset."""
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors see: spark.checkpoint.dir; a local one only for a local master.
+
+    Raises ValueError where a cluster names none: each executor would write to its own disk.
+    """
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not own:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if set_before:
-            return set_before
-        own = "/tmp/tidewell-shared"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(own)
     return own
 

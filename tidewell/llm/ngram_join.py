@@ -11,9 +11,11 @@ and similar sets share one at least.
 
 Sets that meet are not all paired. Each index entry first pairs its members with its smallest member; pairs are bounded
 by a parity bitmap of the sets (the overlap is at most half of what the sizes exceed the Hamming distance by), the rest
-are verified on whole sets, and connected. Only entries whose members are in several components are then gone through once
-more, each set of members once and in blocks: bitmaps of all members of different components are compared in place, and
-only pairs that they allow become rows, in two rounds the nearest ones of each component, then all. So a thousand near copies cost a thousand verifications, and no link is lost.
+are verified on whole sets, and connected. Only entries whose members are in several components are then gone through
+again, each set of members once and in blocks of bounded size: bitmaps of members of different components are compared in
+place, and only pairs that they allow become rows. An entry with more of these than a few for each component gives the
+nearest ones first and comes again once those are linked, at last with all that are left. So a thousand near copies cost
+a thousand verifications, and no link is lost.
 """
 
 from __future__ import annotations
@@ -27,17 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import arrow_limits, as_bitmap, broadcast_if_small, in_bitmap, written
+from .base import arrow_limits, as_bitmap, broadcast_if_small, in_bitmap, unused, written
 from .components import components
 from .words import Words, _mix, blocks, shingles
 
 SHINGLE, PERCENT = 4, 85
-#: A token is frequent from so many documents in all, counted where a task has it twice; bits of the filters, and of the smallest parity bitmap.
+#: A token is frequent from so many documents in all, counted where a task has it twice; more of them where the filter would be over an eighth full.
 FREQUENT, FILTER_BITS, LEAST_PARITY, BROADCAST_ROWS = 40, 23, 1024, 500_000
-#: Members of an index entry that are compared at a time.
-BLOCK_ROWS = 4000
-#: Pairs of each part in the rounds before all pairs are taken.
-NEAREST = (2, 2)
+#: Tokens that a task counts before it hands the repeated ones on.
+COUNTED = 1 << 20
+#: Members of an index entry that are compared at a time, and bytes of their bitmaps.
+BLOCK_ROWS, BLOCK_BYTES = 4000, 8 << 20
+#: Pairs of each part in the rounds before all pairs are taken; pairs for each member that need no such rounds; pairs compared at a time.
+NEAREST, FEW, PAIR_ROWS = (4, 16), 4, 1 << 17
 _SEED = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -127,16 +131,34 @@ def _int64(x: np.ndarray) -> pa.Array:
 SCAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("token", T.LongType()), T.StructField("n_docs", T.LongType())])
 
 
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and their counts, from several such."""
+    tokens, counts = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+    order = np.argsort(tokens, kind="stable")
+    tokens, counts = tokens[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if tokens.size else np.zeros(0, np.int64)
+    return tokens[first], np.add.reduceat(counts, first) if first.size else counts
+
+
 def _scan(k: int):
+    def counts(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        tokens, n = _added([(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *held])
+        tokens, n = tokens[n > 1], n[n > 1]
+        nothing = pa.nulls(tokens.size, pa.int64())
+        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(tokens.size, pa.binary()), _int64(tokens), pa.array(n)], names=SCAN.names)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per document, and rows (token, n_docs) for tokens that a batch has in several documents."""
+        """A row per document, and rows (token, n_docs) for tokens that the task has in several documents."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             sets = list(_sets(batch.column(2), k))
-            tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-            tokens, counts = tokens[counts > 1], counts[counts > 1].astype(np.int64)
-            nothing = pa.nulls(tokens.size, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.size for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.binary()), *(pa.nulls(len(sets), pa.int64()),) * 2], names=SCAN.names)
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(tokens.size, pa.binary()), _int64(tokens), pa.array(counts)], names=SCAN.names)
+            if sets:
+                held.append(np.unique(np.concatenate(sets), return_counts=True))
+            if sum(x[0].size for x in held) > COUNTED:
+                yield counts(held)
+                held = []
+        yield counts(held)
 
     return scan
 
@@ -165,16 +187,18 @@ def _index(k: int, percent: int, bitmap: bytes):
 
 def _whole(k: int, bitmap: bytes):
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(bitmap, np.uint64)
+        wanted, seen = np.frombuffer(bitmap, np.uint64), set()
         for batch in batches:
-            for _, block in blocks(batch.column(0)):
-                ids, out, new = [], [], set()
-                for s in _sets(block, k):
-                    if s.size and (c := class_of(s)) not in new and in_bitmap(wanted, np.array([c], np.int64).view(np.uint64))[0]:
-                        new.add(c)
-                        ids.append(c)
-                        out.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["class", "tokens"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            some = []
+            for i in np.flatnonzero(in_bitmap(wanted, keys.view(np.uint64))).tolist():
+                if keys[i] not in seen:
+                    some.append(i)
+                    if len(seen) < 1 << 20:
+                        seen.add(keys[i])
+            for _, block in blocks(batch.column(1).take(pa.array(some, pa.int64()))):
+                sets = [s for s in _sets(block, k) if s.size]
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "tokens"])
 
     return whole
 
@@ -184,7 +208,8 @@ def _similar(percent: int):
         out = []
         for x, y in zip(left, right):
             a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = a.size + b.size - np.union1d(a, b).size
+            a, b = (a, b) if a.size < b.size else (b, a)
+            both = int((b[np.minimum(np.searchsorted(b, a), b.size - 1)] == a).sum())
             out.append(100 * both >= percent * (a.size + b.size - both))
         return pa.array(out, pa.bool_())
 
@@ -204,123 +229,183 @@ def _bound(percent: int):
     return F.arrow_udf(bound, "boolean")
 
 
-def near_pairs(class_: np.ndarray, n: np.ndarray, part: np.ndarray, side: np.ndarray, parity: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs of different parts whose sizes and parity bitmaps allow the similarity, and the overlap they allow.
+def near_pairs(group: np.ndarray, class_: np.ndarray, n: np.ndarray, part: np.ndarray, side: np.ndarray, parity: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of pairs of one group and different parts whose sizes and parity bitmaps allow the similarity, and that similarity.
 
-    side: 0 and 1 where only pairs of one 0 and one 1 count, else all 2. Members are sorted by size, so that a member's
-    partners are a run of those after it, and compared to the whole run at once.
+    side: 0 and 1 where only pairs of one 0 and one 1 count, else all 2. Members are sorted by group and size, so that a
+    member's partners are a run of those after it. Pairs are made and compared some ``PAIR_ROWS`` at a time.
     """
-    order = np.lexsort((class_, n))
-    n, part, side = n[order], part[order], side[order]
-    width = np.array([len(parity[k]) // 8 for k in order])
-    upto = np.searchsorted(n * percent, n * 100, "right")
-    left, right, most = [], [], []
-    for w in np.unique(width):
-        low, high = int(np.searchsorted(width, w, "left")), int(np.searchsorted(width, 2 * w, "right"))
-        table = np.zeros((high - low, int(w)), np.uint64)
-        for k in range(low, high):
-            bits = np.frombuffer(parity[order[k]], np.uint64)
-            table[k - low] = bits if bits.size == w else bits[:w] ^ bits[w:]
-        for x in range(low, int(np.searchsorted(width, w, "right"))):
-            y = np.arange(x + 1, min(int(upto[x]), high))
-            y = y[(part[y] != part[x]) & ((side[y] != side[x]) | (side[y] == 2))]
-            for z in np.array_split(y, max(1, y.size * int(w) >> 22)) if y.size else ():
-                both = n[z] + n[x]
-                overlap = (both - np.bitwise_count(table[z - low] ^ table[x - low]).sum(axis=1, dtype=np.int64)) // 2
+    order = np.lexsort((class_, n, group))
+    g, n, part, side = group[order].astype(np.int64), n[order], part[order], side[order]
+    width = np.array([len(parity[k]) // 8 for k in order], np.int64)
+    tables, row = {}, np.zeros((2, g.size), np.int64)
+    for w in np.unique(width).tolist():
+        # Bitmaps of this width, and those of twice the width folded to it: similar sets' widths differ by no more.
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        twice = np.frombuffer(b"".join(parity[k] for k in order[wider]), np.uint64).reshape(-1, 2, w)
+        tables[w] = np.concatenate([np.frombuffer(b"".join(parity[k] for k in order[own]), np.uint64).reshape(-1, w), twice[:, 0] ^ twice[:, 1]])
+        row[0, own], row[1, wider] = np.arange(own.size), own.size + np.arange(wider.size)
+    sized = g << 40 | n
+    upto = np.searchsorted(sized, g << 40 | n * 100 // percent, "right")
+    before = np.concatenate([[0], np.cumsum(upto - np.arange(1, g.size + 1))])
+    at = 0
+    while at < g.size:
+        end = max(at + 1, int(np.searchsorted(before, before[at] + PAIR_ROWS, "right")) - 1)
+        x = np.repeat(np.arange(at, end), np.diff(before[at : end + 1]))
+        y = np.arange(before[at], before[end]) - before[x] + x + 1
+        some = (part[x] != part[y]) & ((side[x] != side[y]) | (side[x] == 2))
+        x, y, at = x[some], y[some], end
+        low = np.minimum(width[x], width[y])
+        for w in np.unique(low).tolist():
+            some = np.flatnonzero((low == w) & (np.maximum(width[x], width[y]) <= 2 * w))
+            for z in np.array_split(some, 1 + (some.size * w >> 21)):
+                p, q = x[z], y[z]
+                p_row, q_row = (row[(width[v] > w).astype(np.int64), v] for v in (p, q))
+                both = n[p] + n[q]
+                overlap = (both - np.bitwise_count(tables[w][p_row] ^ tables[w][q_row]).sum(axis=1, dtype=np.int64)) // 2
                 fits = 100 * overlap >= percent * (both - overlap)
-                z = z[fits]
-                left.append(np.full(z.size, x))
-                right.append(z)
-                most.append(overlap[fits] / (both - overlap)[fits])
-    none = [np.zeros(0, np.int64)]
-    return order[np.concatenate(none + left)], order[np.concatenate(none + right)], np.concatenate([np.zeros(0), *most])
+                yield order[p[fits]], order[q[fits]], overlap[fits] / (both - overlap)[fits]
 
 
-def nearest(part_x: np.ndarray, part_y: np.ndarray, near: np.ndarray, each: int) -> np.ndarray:
-    """Which pairs are among the ``each`` nearest ones of one of their parts."""
-    owner, pair = np.concatenate([part_x, part_y]), np.tile(np.arange(near.size), 2)
-    order = np.lexsort((pair, -near[pair], owner))
-    owner = owner[order]
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if owner.size else np.zeros(0, np.int64)
-    place = np.arange(owner.size) - np.repeat(first, np.diff(np.append(first, owner.size)))
-    return np.unique(pair[order[place < each]])
+def nearest(owners: list[tuple[np.ndarray, np.ndarray]], near: np.ndarray, each: int) -> np.ndarray:
+    """Which pairs are among the ``each`` nearest ones of one of their two owners, each a (group, part)."""
+    group, part = (np.concatenate([o[k] for o in owners]) for k in (0, 1))
+    pair = np.tile(np.arange(near.size), 2)
+    order = np.lexsort((pair, -near[pair], part, group))
+    group, part = group[order], part[order]
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])])) if pair.size else np.zeros(0, np.int64)
+    place = np.arange(pair.size) - np.repeat(first, np.diff(np.append(first, pair.size)))
+    out = np.zeros(near.size, bool)
+    out[pair[order[place < each]]] = True
+    return out
 
 
-PAIRS = "a long, na long, b long, nb long"
+def chosen_pairs(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], group: np.ndarray, part: np.ndarray, each: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places x, y of the pairs in pieces, and the groups of which pairs were left out.
+
+    each None: all pairs. Else all of a group that has no more than ``FEW`` for each member, and of others the nearest of
+    each part. Only the nearest of what is held can be the nearest of all, so others are let go piece by piece.
+    """
+    n_groups = int(group.max(initial=-1)) + 1
+    most, seen, none = FEW * np.bincount(group, minlength=n_groups), np.zeros(n_groups, np.int64), np.zeros(0, np.int64)
+    held, size, base = [], 0, 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y, near = (np.concatenate([h[k] for h in held]) for k in range(3))
+        keep = (seen <= most)[group[x]]
+        if not keep.all():
+            keep |= nearest([(group[x], part[x]), (group[x], part[y])], near, each)
+        return x[keep], y[keep], near[keep]
+
+    for piece in pairs:
+        if each is None:
+            yield piece[0], piece[1], none
+            continue
+        held.append(piece)
+        size += piece[0].size
+        seen += np.bincount(group[piece[0]], minlength=n_groups)
+        if size > 2 * base + PAIR_ROWS:
+            held = [reduced()]
+            size = base = held[0][0].size
+    if held:
+        x, y, _ = reduced()
+        yield x, y, np.flatnonzero(np.bincount(group[x], minlength=n_groups) < seen)
+
+
+PAIRS = "a long, na long, b long, nb long, more long"
 
 
 def _pairs(percent: int, each: int | None):
-    """each: only so many nearest pairs of every part; None: all."""
+    """each: only so many nearest pairs of every part; None: all. more: an entry that has further pairs."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches in the order of (sig, i, j); a group may go on in the next batch."""
-        found: set[tuple[int, int]] = set()
-
-        def of(group: pa.Table) -> pa.RecordBatch:
-            class_, n, part, block, i, j = (group.column(c).to_numpy() for c in ("class", "n", "part", "block", "i", "j"))
-            side = np.full(n.size, 2) if i[0] == j[0] else (block == j).astype(np.int64)
-            x, y, near = near_pairs(class_, n, part, side, group.column("parity").to_pylist(), percent)
-            if each is not None:
-                some = nearest(part[x], part[y], near, each)
-                x, y = x[some], y[some]
-            new = [(p, q) for p, q in zip(x.tolist(), y.tolist()) if (class_[p], class_[q]) not in found]
-            if len(found) < 1 << 20:
-                found.update((class_[p], class_[q]) for p, q in new)
-            x, y = (np.array([e[k] for e in new], np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in (class_[x], n[x], class_[y], n[y])], names=["a", "na", "b", "nb"])
+
+        def of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            groups = pa.Table.from_batches(held)
+            class_, n, part, block, sig, i, j = (groups.column(c).to_numpy() for c in ("class", "n", "part", "block", "sig", "i", "j"))
+            first = np.concatenate([[True], (np.diff(sig) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
+            group, sigs = np.cumsum(first) - 1, sig[first]
+            side = np.where(i == j, 2, (block == j).astype(np.int64))
+            found = near_pairs(group, class_, n, part, side, groups.column("parity").to_pylist(), percent)
+            for x, y, cut in chosen_pairs(found, group, part, each):
+                yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (class_[x], n[x], class_[y], n[y])), pa.nulls(x.size, pa.int64())], names=["a", "na", "b", "nb", "more"])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(cut.size, pa.int64()),) * 4, pa.array(sigs[cut])], names=["a", "na", "b", "nb", "more"])
 
         held: list[pa.RecordBatch] = []
-        key = None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j"))))
-            start = 0
-            for k in range(1, len(keys) + 1):
-                if k == len(keys) or keys[k] != keys[start]:
-                    if held and keys[start] != key:
-                        yield of(pa.Table.from_batches(held))
-                        held = []
-                    key = keys[start]
-                    held.append(batch.slice(start, k - start))
-                    start = k
+            if not batch.num_rows:
+                continue
+            sig, i, j = (batch.column(c).to_numpy() for c in ("sig", "i", "j"))
+            last = [held[-1].column(c)[-1].as_py() for c in ("sig", "i", "j")] if held else None
+            starts = np.flatnonzero(np.concatenate([[last != [sig[0], i[0], j[0]]], (np.diff(sig) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
+            # Groups that end before the last start are whole.
+            if starts.size:
+                cut = int(starts[-1])
+                if held or cut:
+                    yield from of([*held, batch.slice(0, cut)])
+                held = []
+                batch = batch.slice(cut)
+            held.append(batch)
         if held:
-            yield of(pa.Table.from_batches(held))
+            yield from of(held)
 
     return pairs
 
 
 class _Join:
     def __init__(self, docs: DataFrame, text: str, key: str, k: int, percent: int):
-        self.texts, self.k, self.percent = docs.select(F.col(text).alias("text")), k, percent
+        self.texts, self.k, self.percent = docs.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text")), k, percent
         scanned = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).mapInArrow(_scan(k), SCAN), "ngram-scan")
         self.rows = scanned.where("class is not null").select("doc_id", "text_key", "n", "class", "parity")
-        self.classes = written(self.rows.where("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("parity", "class").alias("parity")), "ngram-classes")
-        often = scanned.where("token is not null").groupBy("token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= FREQUENT)
-        index = self.texts.mapInArrow(_index(k, percent, as_bitmap(often, "token", FILTER_BITS)), "sig long, class long, n long")
+        self.classes = written(self.rows.where("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.min_by("parity", "class").alias("parity")), "ngram-classes")
+        often = as_bitmap(self.frequent(scanned), "token", FILTER_BITS)
+        index = written(self.texts.select("text").mapInArrow(_index(k, percent, often), "sig long, class long, n long"), "ngram-index")
         heads = index.groupBy("sig").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head < last").select("sig", "head")
         #: Only entries with two classes at least.
         self.entries = written(index.join(heads, "sig").select("sig", "class", "n", "head").distinct(), "ngram-entries")
 
+    @staticmethod
+    def frequent(scanned: DataFrame) -> DataFrame:
+        """The frequent tokens. Which ones they are changes the work, not the result."""
+        counted = written(scanned.where("token is not null").groupBy("token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= FREQUENT), "ngram-frequent")
+        level = F.floor(F.log2(F.col("n") / FREQUENT)).cast("int")
+        least, room = 0, 1 << (FILTER_BITS - 3)
+        for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # one row for each power of two
+            if r["count"] > room:
+                least = r["level"] + 1
+                break
+            room -= r["count"]
+        return counted.where(level >= least)
+
     def fits(self, a: str, b: str) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, na, b, nb) that are similar, as (a, b)."""
+    def allowed(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, na, b, nb) that the bitmaps allow."""
         bits = self.classes.select("class", "parity")
         near = pairs.join(bits.select(F.col("class").alias("a"), F.col("parity").alias("pa")), "a").join(bits.select(F.col("class").alias("b"), F.col("parity").alias("pb")), "b")
-        near = written(near.where(_bound(self.percent)("pa", "pb", "na", "nb")).select("a", "b"), "ngram-near")
-        wanted = written(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ngram-wanted")
-        sets = self.texts.mapInArrow(_whole(self.k, as_bitmap(wanted, "class", FILTER_BITS)), "class long, tokens binary")
+        return near.where(_bound(self.percent)("pa", "pb", "na", "nb")).select("a", "b")
+
+    def links(self, near: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are similar. Only texts of their classes become sets again."""
+        wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        wanted = written(wanted.join(self.classes.select("class", "text_key"), "class"), "ngram-wanted")
+        sets = self.texts.mapInArrow(_whole(self.k, as_bitmap(wanted, "text_key", FILTER_BITS)), "class long, tokens binary")
         sets = written(sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens")), "ngram-sets")
         both = near.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
         return written(both.where(_similar(self.percent)("ta", "tb")).select("a", "b"), "ngram-links")
 
-    def across(self, parts: DataFrame, each: int | None) -> DataFrame:
-        """Pairs (a, na, b, nb) of different parts that share an entry and that sizes and bitmaps allow."""
+    def across(self, entries: DataFrame, parts: DataFrame, each: int | None) -> DataFrame:
+        """Pairs (a, na, b, nb) of different parts that share an entry and that sizes and bitmaps allow, and entries with more."""
         part = F.coalesce("component", "class")
-        placed = self.entries.join(parts.withColumnRenamed("node", "class"), "class", "left").select("sig", "class", "n", part.alias("part"))
+        placed = entries.join(parts.withColumnRenamed("node", "class"), "class", "left").select("sig", "class", "n", part.alias("part"))
         # Entries with the same members would give the same pairs: one of them stands for all.
-        mixed = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
-        mixed = mixed.where("low < high").groupBy("members", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("blocks"))
+        mixed = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
+        # A bitmap has at most half a byte, or the least size, for each token.
+        bytes_ = F.col("members") * F.greatest(F.col("most") / 2, F.lit(LEAST_PARITY // 8))
+        blocks_ = F.ceil(F.greatest(F.col("members") / BLOCK_ROWS, bytes_ / BLOCK_BYTES)).cast("int")
+        mixed = mixed.where("low < high").groupBy("members", "x", "y").agg(F.min("sig").alias("sig"), F.max("most").alias("most")).select("sig", blocks_.alias("blocks"))
         members = placed.join(mixed, "sig").join(self.classes.select("class", "parity"), "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         dealt = members.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")})
         dealt = dealt.select("sig", "i", "j", "block", "class", "n", "part", "parity").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
@@ -329,17 +414,21 @@ class _Join:
     def run(self) -> DataFrame:
         stars = self.entries.where(F.col("class") != F.col("head")).select(F.col("head").alias("a"), F.col("class").alias("b"), F.col("n").alias("nb")).distinct()
         stars = stars.join(self.classes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a")
-        stars = written(stars.where(self.fits("na", "nb")).select("a", "na", "b", "nb"), "ngram-stars")
+        stars = written(self.allowed(stars.where(self.fits("na", "nb"))), "ngram-stars")
         parts = written(components(self.links(stars)), "ngram-parts")
         sides = lambda pairs: pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = sides(stars)
-        # Parts are first joined by their nearest pairs, which leaves few of them; then all pairs that are left count.
+        tried, entries = sides(stars), self.entries
+        # Parts are first joined by their nearest pairs; entries that have more come again when fewer parts are left.
         for each in (*NEAREST, None):
-            pairs = written(self.across(parts, each).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-            if pairs.isEmpty():
-                continue
-            tried = tried.unionByName(sides(pairs))
-            parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(self.links(pairs))), "ngram-parts")
+            found = written(self.across(entries, parts, each), "ngram-found")
+            pairs = written(found.where("more is null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+            if not pairs.isEmpty():
+                tried = tried.unionByName(sides(pairs))
+                parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(self.links(pairs))), "ngram-parts")
+            more = found.where("more is not null").select(F.col("more").alias("sig")).distinct()
+            if more.isEmpty():
+                break
+            entries = written(entries.join(more, "sig", "left_semi"), "ngram-more")
         part = F.coalesce("component", "class")
         whole = self.classes.join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "doc_id", part.alias("part"))
         lowest = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
@@ -369,14 +458,15 @@ def near_copies_removed(docs: DataFrame, k: int = SHINGLE, percent: int = PERCEN
     and stay.
     """
     arrow_limits(docs.sparkSession)
+    d, t, h = unused(docs, "d", "t", "h")
     rows = written(_Join(docs, text, key, k, percent).run().where("n_shingles > 0").select("doc_id", "text_key", "part"), "ngram-groups")
     first = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first"))
     ranked = rows.join(first, "part").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
-    named = written(ranked.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "stays"), "ngram-named")
-    keyed = docs.withColumn("_k", F.xxhash64(text))
-    same = F.col(key).cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t"))
-    out = keyed.join(broadcast_if_small(named.select("_d", "_t"), BROADCAST_ROWS), same, "left_anti")
-    repeated = named.where("stays").select("_d", "_t")
+    named = written(ranked.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1").select(F.col("doc_id").alias(d), F.col("text_key").alias(t), "stays"), "ngram-named")
+    keyed = docs.withColumn(h, F.xxhash64(text))
+    same = F.col(key).cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t))
+    out = keyed.join(broadcast_if_small(named.select(d, t), BROADCAST_ROWS), same, "left_anti")
+    repeated = named.where("stays").select(d, t)
     if not repeated.isEmpty():
-        out = out.unionByName(keyed.join(broadcast_if_small(repeated, BROADCAST_ROWS), same, "left_semi").dropDuplicates([key, "_k"]))
+        out = out.unionByName(keyed.join(broadcast_if_small(repeated, BROADCAST_ROWS), same, "left_semi").dropDuplicates([key, h]))
     return out.select(*docs.columns)
