@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 
 #: Rows and bytes that one Arrow batch carries to Python; long texts make a batch of few rows.
 ARROW_ROWS, ARROW_BYTES = 4096, 8 << 20
+#: Buckets whose totals running_start adds up in one window.
+SPAN = 1024
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -57,6 +59,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that written() and token_files() left below the shared folder: for when no frame that reads
+    them is in use any more, in this session or another of the same folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tidewell")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, most_rows: int) -> bool:
     """Whether df has at most most_rows rows; reads no more than it has to."""
     return df.limit(most_rows + 1).count() <= most_rows
@@ -99,14 +108,23 @@ def in_bitmap(bitmap, keys):
 def running_start(df: DataFrame, size: str, out: str, bucket: str, order: list[str], within: list[str] = ()) -> DataFrame:
     """Adds out: the sum of size over all rows before, for each value of within, by (bucket, order).
 
-    Sums run within a bucket and over the buckets' totals, so that no task holds all rows of a value of within. Null
-    values of within and bucket are values like others.
+    Sums run within a bucket, over the totals of ``SPAN`` buckets that follow each other, and over the totals of those, so
+    that no task holds all rows, or all buckets, of a value of within. bucket: a number; null values of within and bucket
+    are values like others.
     """
     within = list(within)
-    cells = df.groupBy(*within, bucket).agg(F.sum(size).alias("_all"))
-    before = W.partitionBy(*within).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*within, bucket])), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*within, bucket])]
+
+    def before(totals: DataFrame, by: list[str], last: str, name: str) -> DataFrame:
+        w = W.partitionBy(*by).orderBy(last).rowsBetween(W.unboundedPreceding, -1)
+        return totals.withColumn(name, F.coalesce(F.sum("_all").over(w), F.lit(0)))
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
+        named = right.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), value)
+        return left.join(named, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]).drop(*(f"_k{i}" for i in range(len(keys))))
+
+    cells = df.groupBy(*within, bucket).agg(F.sum(size).alias("_all")).withColumn("_span", F.floor(F.col(bucket) / SPAN))
+    spans = before(cells.groupBy(*within, "_span").agg(F.sum("_all").alias("_all")), within, "_span", "_far")
+    cells = joined(before(cells, [*within, "_span"], bucket, "_near"), spans, [*within, "_span"], "_far").withColumn("_base", F.col("_far") + F.col("_near"))
     local = W.partitionBy(*within, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     counted = df.withColumn("_local", F.coalesce(F.sum(size).over(local), F.lit(0)))
-    return counted.join(cells, same).withColumn(out, F.col("_base") + F.col("_local")).drop("_local", "_base", *(f"_k{i}" for i in range(len(within) + 1)))
+    return joined(counted, cells, [*within, bucket], "_base").withColumn(out, F.col("_base") + F.col("_local")).drop("_local", "_base")

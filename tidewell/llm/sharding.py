@@ -69,7 +69,8 @@ def _settled(state: DataFrame, quotas: list[int], buckets: int) -> tuple[DataFra
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null under this law): one row per input row.
 
-    Counts of shards differ by one at most. Null text: size 16, the checksum of no bytes, no links. Null keys and
+    Counts of shards differ by one at most. Which of equal rows, or of rows without links, goes to which shard and slot
+    depends on how the input is dealt to files: this law doesn't promise the same shard twice. Null text: size 16, the checksum of no bytes, no links. Null keys and
     repeated rows are rows like others, repeated rows being linked by their text. Empty input: no rows. Further columns
     aren't read.
     """
