@@ -79,37 +79,36 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, bits: int = BITS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, l1: float = L1, steps: int = STEPS) -> Model:
-    """A model from the rows' feature numbers one after another, their counts, and grades 0..K-1.
+def telling(docs: np.ndarray, total: np.ndarray, n: int, mean: float, deviation: float, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> np.ndarray:
+    """Features of min_docs rows or more whose mean grade is min_z standard errors or more off the overall mean.
 
-    Features of fewer than min_docs rows, or whose rows' mean grade is within min_z standard errors of the overall mean,
-    have no weight: among hundreds of thousands of features chance alone reaches nearly that, and noise summed over a long
-    text would outweigh what tells. Without rows, or with one grade only, all weights are zero and the thresholds are the
-    grades' log odds.
+    docs, total: rows and sum of grades by feature. Among hundreds of thousands of features chance alone reaches nearly
+    that, and noise summed over a long text would outweigh what tells.
     """
-    n, n_grades = sizes.size, int(grades.max(initial=1)) + 1
+    if not n or deviation <= 0:
+        return np.zeros(docs.size, bool)
+    z = (total - docs * mean) / np.sqrt(np.maximum(docs, 1)) / deviation
+    return (docs >= min_docs) & (np.abs(z) >= min_z)
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, bits: int = BITS, l1: float = L1, steps: int = STEPS) -> Model:
+    """A model from the rows' feature numbers one after another, their counts, and grades 0..n_grades - 1.
+
+    Without rows all weights are zero and every P(grade > k) is a half; with one grade only all weights are zero and the
+    thresholds are the grades' log odds, a share of 0 or 1 taken as 0.001 or 0.999.
+    """
+    n = sizes.size
     share = np.array([(grades > k).mean() if n else 0.5 for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     theta = np.sort(np.log((1 - share) / share))
     weights = np.zeros(1 << bits)
-    if not n or len(np.unique(grades)) < 2:
-        return Model(bits, theta, weights)
-    centred = grades - grades.mean()
-    docs, total = np.zeros(1 << bits, np.int64), np.zeros(1 << bits)
-    ends = np.cumsum(sizes)
-    for i in range(0, n, 1024):
-        part = flat[ends[i] - sizes[i] : ends[min(n, i + 1024) - 1]]
-        docs += np.bincount(part, minlength=1 << bits)
-        total += np.bincount(part, weights=np.repeat(centred[i : i + 1024], sizes[i : i + 1024]), minlength=1 << bits)
-    z = total / np.sqrt(np.maximum(docs, 1)) / centred.std()
-    used = np.flatnonzero((docs >= min_docs) & (np.abs(z) >= min_z))
-    if not used.size:
+    used = np.unique(flat)
+    if not n or len(np.unique(grades)) < 2 or not used.size:
         return Model(bits, theta, weights)
     column = np.full(1 << bits, -1, np.int32)
     column[used] = np.arange(used.size)
-    keep = column[flat] >= 0
-    row, col = np.repeat(np.arange(n, dtype=np.int32), sizes)[keep], column[flat[keep]]
+    row, col = np.repeat(np.arange(n, dtype=np.int32), sizes), column[flat]
     # Each feature in its own scale: rare telling features would be slow otherwise.
-    pace = 1 / np.sqrt(np.maximum(docs[used] / n, 1e-9))
+    pace = 1 / np.sqrt(np.bincount(col, minlength=used.size) / n)
     w = v = np.zeros(used.size)
     t = u = theta
     along = np.ones(used.size)
@@ -144,26 +143,59 @@ def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, bits: int = BIT
     return Model(bits, t, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str = "text", key: str = "doc_id", bits: int = BITS, **how) -> Model:
-    """Fits on labels (doc_id, grade), max_rows rows of them at most; null grades and ids without a document don't count."""
+def train(docs: DataFrame, labels: DataFrame, n_grades: int, max_rows: int = MAX_ROWS, text: str = "text", key: str = "doc_id", bits: int = BITS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, **how) -> Model:
+    """Fits on labels (doc_id, grade from 0 to n_grades - 1), max_rows labelled rows at most, those of the least hashes.
+
+    Null and other grades, and ids without a document, don't count; of repeated labels or documents every pair is a row.
+    Features are counted on the executors; only those that tell come to the driver. No labels: see fit().
+    """
     arrow_limits(docs.sparkSession)
-    sample = labels.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_d"), F.col("grade").cast("int").alias("_g"))
+    grade, doc = F.col("grade").cast("int"), F.col("doc_id")
+    sample = labels.where(grade.between(0, n_grades - 1) & doc.isNotNull()).select(doc.alias("_d"), grade.alias("_g"))
     sample = written(sample.orderBy(F.xxhash64("_d"), "_d", "_g").limit(max_rows), "graded")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x in features(batch.column(1), bits)], pa.list_(pa.int32()))], names=["grade", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([x for x in features(batch.column(3), bits)], pa.list_(pa.int32()))], names=["id", "grade", "h", "x"])
+
+    got = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).join(F.broadcast(sample), F.col("_k") == F.col("_d"))
+    got = written(got.select(F.col("_d").cast("long").alias("id"), "_g", F.xxhash64("_x").alias("h"), "_x").mapInArrow(rows, "id long, grade int, h long, x array<int>"), "graded-features")
+    got = written(got.orderBy(F.xxhash64("id"), "id", "grade", "h").limit(max_rows).select("grade", "x"), "graded-rows")
+    n, mean, deviation = got.agg(F.count("*"), F.avg("grade"), F.stddev_pop("grade")).first()
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_, total = np.zeros(1 << bits, np.int64), np.zeros(1 << bits)
+        for batch in batches:
+            x, sizes = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy()
+            docs_ += np.bincount(x, minlength=1 << bits)
+            total += np.bincount(x, weights=np.repeat(batch.column(0).to_numpy(), sizes), minlength=1 << bits)
+        used = np.flatnonzero(docs_)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(docs_[used]), pa.array(total[used])], names=["f", "n", "total"])
+
+    # At most one row for each hashed feature, fewer where min_docs already speaks.
+    sums = got.mapInArrow(counts, "f int, n long, total double").groupBy("f").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where(F.col("n") >= min_docs).toArrow()
+    number, docs_, total = (sums[c].to_numpy() for c in ("f", "n", "total"))
+    wanted = np.zeros(1 << bits, bool)
+    wanted[number] = telling(docs_, total, n, mean or 0.0, deviation or 0.0, min_docs, min_z)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1)
+            flat, sizes = x.flatten().to_numpy(), x.value_lengths().to_numpy()
+            keep = wanted[flat]
+            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[keep]))], names=["grade", "x"])
 
-    got = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).join(F.broadcast(sample), F.col("_k") == F.col("_d")).select("_g", "_x").mapInArrow(rows, "grade int, x array<int>").toArrow()
-    lists = got["x"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return fit(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), got["grade"].to_numpy().astype(np.int64), bits, **how)
+    lean = got.mapInArrow(told, "grade int, x array<int>").toArrow()
+    flat, sizes = lean["x"].combine_chunks().flatten().to_numpy() if n else np.zeros(0, np.int32), lean["x"].combine_chunks().value_lengths().to_numpy() if n else np.zeros(0, np.int64)
+    return fit(flat, sizes.astype(np.int64), lean["grade"].to_numpy().astype(np.int64), n_grades, bits, **how)
 
 
 def classify(docs: DataFrame, model: Model, wanted: int, least: float = 0.5, text: str = "text") -> DataFrame:
     """All columns of docs and a struct ``graded`` (score, expected_grade, p_tail, kept): one row per input row.
 
-    p_tail: the probability of grade ``wanted`` or better; kept: it is ``least`` or more. Null text: as an empty one.
+    p_tail: the probability of grade ``wanted`` or better; kept: it is ``least`` or more, so a model without labels keeps
+    every row at a ``least`` of a half, and one whose labels lack ``wanted`` and better grades none. Null text: as an empty one.
     Null keys and repeated rows are rows like others; a column of docs named ``graded`` is replaced. Empty input: no
     rows.
     """
