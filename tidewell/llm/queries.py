@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import load
+from .base import load, written
 from .bpe import round_trip
 from .decontamination import contaminated
 from .licenses import license_scan
@@ -62,7 +62,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(load(spark, sf_dir, "documents"), *byte_bpe()))
+    # Written, since the sums read it more than once and it holds the encoding.
+    return suffix_sums(written(length_histogram(load(spark, sf_dir, "documents"), *byte_bpe()), "token-lengths"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,7 @@ def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    got = classify(docs, train(docs, grades(spark, sf_dir)), wanted=2)
+    got = classify(docs, train(docs, grades(spark, sf_dir), n_grades=3), wanted=2)
     return got.select("doc_id", F.round("graded.expected_grade", 6).alias("expected_grade"), F.round("graded.p_tail", 6).alias("p_tail"), F.col("graded.kept").alias("kept"))
 
 
