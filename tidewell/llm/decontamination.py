@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_limits, as_bitmap, broadcast_if_small, in_bitmap, written
+from .base import arrow_limits, as_bitmap, broadcast_if_small, in_bitmap, unused, written
 from .words import PLAIN, Words, _mix, blocks, shingles
 
 #: Six of up to ten words each. Together they meet every stretch of 13 words with two substitutions anywhere.
@@ -189,6 +189,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """The rows of docs, all their columns, that contaminated() doesn't name."""
+    d, t = unused(docs, "d", "t")
     bad = written(contaminated(docs, items, text, key, **how).select("doc_id", "text_key").distinct(), "contaminated")
-    bad = broadcast_if_small(bad.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")), BROADCAST_ROWS)
-    return docs.join(bad, F.col(key).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left_anti")
+    bad = broadcast_if_small(bad.select(F.col("doc_id").alias(d), F.col("text_key").alias(t)), BROADCAST_ROWS)
+    return docs.join(bad, F.col(key).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left_anti")
