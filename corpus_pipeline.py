@@ -20,7 +20,7 @@ from tidewell.llm.substring_dedup import substring_dedup
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are good more likely than not; the fit reads labelled documents of this input."""
-    model = train(docs, grades(spark, sf_dir))
+    model = train(docs, grades(spark, sf_dir), n_grades=3)
     return classify(docs, model, wanted=2).where("graded.kept").select(*docs.columns)
 
 
