@@ -8,6 +8,7 @@ import pytest
 from tidewell.llm import ngram_join as nj
 from tidewell.llm import substring_dedup as sd
 from tidewell.llm.components import components
+from tidewell.llm.decontamination import decontaminate
 from tidewell.llm.sharding import shard_documents
 
 from .conftest import prose
@@ -96,6 +97,59 @@ def test_parity_never_exceeds_the_difference():
         assert nj.parity_distance(a, b) <= np.setxor1d(x, y).size
 
 
+def all_near(n, part, side, parity, group, percent):
+    """Every pair that sizes and bitmaps allow, one at a time."""
+    out = set()
+    for x in range(len(n)):
+        for y in range(x):
+            if group[x] != group[y] or part[x] == part[y] or (side[x] != 2 and side[x] == side[y]):
+                continue
+            small, large = sorted((int(n[x]), int(n[y])))
+            a, b = (np.frombuffer(parity[k], np.uint64) for k in (x, y))
+            both = (small + large - nj.parity_distance(a, b)) // 2
+            if small * 100 >= large * percent and 100 * both >= percent * (small + large - both):
+                out.add((y, x))
+    return out
+
+
+@pytest.mark.parametrize("rows", [7, 1 << 17])
+def test_near_pairs_against_all_pairs(monkeypatch, rows):
+    monkeypatch.setattr(nj, "PAIR_ROWS", rows)
+    r = np.random.default_rng(8)
+    base = r.integers(1, 1 << 62, 1200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: r.choice([90, 480, 560, 1000])], r.integers(1, 1 << 62, r.integers(1, 90)).astype(np.uint64)])) for _ in range(160)]
+    n, parity = np.array([s.size for s in sets]), [nj.parity_bitmap(s) for s in sets]
+    group, part = np.sort(r.integers(0, 4, 160)), r.integers(0, 60, 160)
+    side = np.where(group == 0, r.integers(0, 2, 160), 2)
+    class_ = r.permutation(160)
+    pairs = lambda: nj.near_pairs(group, class_, n, part, side, parity, 85)
+    want = all_near(n, part, side, parity, group, 85)
+    got = [tuple(sorted(p)) for x, y, _ in nj.chosen_pairs(pairs(), group, part, None) for p in zip(x.tolist(), y.tolist())]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    near = {tuple(sorted((int(x), int(y)))): v for a, b, c in pairs() for x, y, v in zip(a, b, c)}
+    (x, y, cut), = nj.chosen_pairs(pairs(), group, part, 1)
+    some = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+    for g in range(4):
+        own = {p for p in want if group[p[0]] == g}
+        if len(own) <= nj.FEW * int((group == g).sum()):
+            assert own <= some and g not in cut
+        else:
+            assert g in cut
+            for q in {part[k] for p in own for k in p}:
+                best = max(near[p] for p in own if q in (part[p[0]], part[p[1]]))
+                assert any(near[p] == best for p in some & own if q in (part[p[0]], part[p[1]]))
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_join_with_nearest_pairs_only_first(spark, monkeypatch, few):
+    rows = edited(11)
+    monkeypatch.setattr(nj, "FEW", few)
+    monkeypatch.setattr(nj, "NEAREST", (1,))
+    monkeypatch.setattr(nj, "FREQUENT", 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, nj.ngram_join(df).collect()), key=key) == sorted(brute(rows, 4, 85), key=key)
+
+
 def test_near_copies_removed(docs, pairs, empty):
     got = nj.near_copies_removed(docs)
     assert got.columns == docs.columns
@@ -144,22 +198,72 @@ def test_passages(docs, pairs, empty, window, gram):
     assert sd.substring_dedup(empty).count() == 0
 
 
-def test_passages_in_small_filters(spark, monkeypatch):
-    monkeypatch.setattr(sd, "ANCHOR_BITS", 8)
-    monkeypatch.setattr(sd, "WINDOW_BITS", 8)
+def test_helper_names_stay(spark):
+    names = ["_d", "_t", "_k", "_h", "_s", "_p", "_D_"]
+    base = prose(1, 120)
+    rows = [(i, t, *range(7)) for i, t in enumerate([base, base, prose(3, 50) + " " + base, None, prose(9, 60)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    for out in (nj.near_copies_removed(df), decontaminate(df, spark.createDataFrame([(1, prose(9, 20))], "item_id long, text string")), sd.substring_dedup(df).drop("dedup")):
+        assert out.columns == df.columns
+        assert all(tuple(r)[2:] == tuple(range(7)) for r in out.collect())
+        assert out.count() > 0
+
+
+def removed(spark, rows, window, gram):
+    got = sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window, gram).collect()
+    return sorted(((r["doc_id"], r["dedup"]["n_words"], r["dedup"]["n_removed"], hashlib.sha256(r["dedup"]["kept"].encode()).hexdigest()) for r in got), key=key)
+
+
+@pytest.mark.parametrize("small", [{"ANCHOR_BITS": 8, "HOME_BITS": 8}, {"PASSAGES": 2, "STRETCHES": 3, "SHARED": 0}, {"PASSAGES": 5, "SHARED": 1, "BROADCAST_SPANS": 0}])
+def test_passages_whatever_the_sizes(spark, monkeypatch, small):
+    for name, value in small.items():
+        monkeypatch.setattr(sd, name, value)
     rows = edited(7)
-    got = sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 10, 3).collect()
-    mine = [(r["doc_id"], r["dedup"]["n_words"], r["dedup"]["n_removed"], hashlib.sha256(r["dedup"]["kept"].encode()).hexdigest()) for r in got]
-    assert sorted(mine, key=key) == cut(rows, 10)
+    assert removed(spark, rows, 10, 3) == cut(rows, 10)
+
+
+def test_passages_of_few_words(spark):
+    """Repeats at every distance, and passages that share their middles with many others."""
+    r = random.Random(3)
+    middle = prose(77, 14)
+    rows = [(i, " ".join(r.choice("ab") for _ in range(60))) for i in range(4)] + [(10, "ha " * 90), (11, "ho hum " * 40)]
+    rows += [(100 + 2 * i + k, f"{prose(400 + i, 6)} {middle} {prose(500 + i, 6)}") for i in range(25) for k in (0, 1)]
+    assert removed(spark, rows, 12, 4) == cut(rows, 12)
 
 
-def test_equal_windows_have_equal_anchors():
+def test_anchor_places():
     r = np.random.default_rng(2)
     g = r.integers(0, 50, 200).astype(np.uint64)
-    least, chosen = sd.anchors(g, 28)
-    assert (least == np.array([g[i : i + 28].min() for i in range(g.size - 27)])).all()
-    assert (chosen == np.array([any(g[i] == g[p : p + 28].min() for p in range(max(0, i - 27), min(i, g.size - 28) + 1)) for i in range(g.size)])).all()
-    assert pa.array([1]).type == pa.int64()
+    assert (sd.anchor_places(g, 28) == np.array([i + int(np.argmin(g[i : i + 28])) for i in range(173)])).all()
+    assert sd.anchor_places(g[:5], 28).size == 0
+
+
+def stretch_rows(text, window, gram):
+    s = sd.Stretches(pa.array([text]), window, gram)
+    return s, s.texts()
+
+
+def test_only_the_automaton_finds_occurrences():
+    """Occurrences come from the compiled phrases: without them, or with others, nothing is found."""
+    passage, window, gram = prose(31, 40), 12, 4
+    home, words = stretch_rows(passage, window, gram)
+    masks = np.array([(1 << int(c)) - 1 for c in home.count])
+    phrases = sd.Phrases(words, masks, window)
+    text = f"{prose(32, 30)} {passage} {prose(33, 30)}"
+    found, others = stretch_rows(text, window, gram)
+    laid, start, _ = sd._hashes(others, window, 1)
+    covered = lambda p: {int(found.first[k]) + int(i - start[k]) for i in np.flatnonzero(p.covered(laid)) for k in [int(np.searchsorted(start, i, "right")) - 1]}
+    assert covered(phrases) == set(range(30, 70))
+    assert covered(sd.Phrases(words.slice(0, 0), masks[:0], window)) == set()
+    unlike, far = stretch_rows(prose(34, 40), window, gram)
+    assert covered(sd.Phrases(far, np.array([(1 << int(c)) - 1 for c in unlike.count]), window)) == set()
+    import ahocorasick
+
+    none = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    none.add_word("none", 0)
+    none.make_automaton()
+    phrases.automaton = none
+    assert covered(phrases) == set()
 
 
 def test_shards(spark, docs, pairs, empty):

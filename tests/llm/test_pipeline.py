@@ -83,3 +83,22 @@ def test_near_copies_stage_leaves_no_five_word_pair(spark):
 def test_registered(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert "doc_id" in got.columns or name == "op8_token_counts"
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("pipeline", *sorted(queries.QUERIES)):
+        run = corpus_pipeline.run if name == "pipeline" else queries.QUERIES[name]
+        assert run(spark, str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_without_labels_or_items(spark, tmp_path):
+    """Without labels all documents stay as graded, without items none is contaminated: what goes are copies and passages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.one_of_near_copies(spark, docs, SF).collect()}
+    assert got <= set(kept) and len(got) > 0.5 * len(kept)

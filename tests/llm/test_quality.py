@@ -61,23 +61,49 @@ def test_classifier_on_held_out_rows(spark):
     rows = graded(900)
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, graded string")
     labels = spark.createDataFrame([(i, g) for i, _, g in rows if i < 600], "doc_id long, grade int")
-    model = qc.train(docs, labels)
+    model = qc.train(docs, labels, 3)
     assert list(model.thresholds) == sorted(model.thresholds)
     got = {r["doc_id"]: r["graded"] for r in qc.classify(docs, model, wanted=2).collect()}
     held = [(got[i]["kept"], g == 2) for i, _, g in rows if i >= 600]
     assert np.mean([a == b for a, b in held]) > 0.97
     assert all(0 <= x["expected_grade"] <= 2 for x in got.values())
-    few = qc.train(docs, labels, max_rows=30)
+    few = qc.train(docs, labels, 3, max_rows=30)
     assert few.weights.shape == model.weights.shape
 
 
 def test_classifier_edges(spark, docs, empty, pairs):
-    model = qc.train(docs, spark.createDataFrame([], "doc_id long, grade int"))
-    assert not model.weights.any()
-    got = qc.classify(docs, model, wanted=1)
+    model = qc.train(docs, spark.createDataFrame([], "doc_id long, grade int"), 3)
+    assert not model.weights.any() and model.thresholds.size == 2
+    got = qc.classify(docs, model, wanted=2)
     assert got.count() == len(pairs) and got.columns == docs.drop("graded").columns + ["graded"]
-    assert qc.classify(empty, model, wanted=1).count() == 0
-    one = qc.fit(np.array([1, 2] * 20, np.int32), np.full(20, 2), np.zeros(20, np.int64))
-    assert not one.weights.any()
+    assert got.where("graded.kept").count() == len(pairs)
+    assert qc.classify(empty, model, wanted=2).count() == 0
+    one = qc.fit(np.array([1, 2] * 20, np.int32), np.full(20, 2), np.zeros(20, np.int64), 3)
+    assert not one.weights.any() and one.thresholds.size == 2
     x = list(qc.features(pa.array([None, "", "A b"])))
     assert (x[0] == x[1]).all() and len(x[2]) > len(x[0])
+
+
+def test_labels_without_a_grade(spark):
+    rows = graded(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [rows[4][:2]], "doc_id long, text string")
+    label = lambda keep: spark.createDataFrame([(i, g) for i, _, g in rows if g in keep] + [(None, 0), (5, None), (77777, 1), (6, 9)], "doc_id long, grade int")
+    for keep, most in (((0,), 0), ((0, 1), 0), ((2,), 301), ((0, 2), None)):
+        model = qc.train(docs, label(keep), 3)
+        kept = qc.classify(docs, model, wanted=2).where("graded.kept").count()
+        assert model.thresholds.size == 2 and list(model.thresholds) == sorted(model.thresholds)
+        assert kept == most if most is not None else 100 <= kept < 301
+
+
+def test_features_that_tell_are_counted_whole(spark):
+    """The spread-out sums choose the features that one pass over all rows would."""
+    rows = graded(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    model = qc.train(docs, spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int"), 3, l1=0.0, steps=3)
+    x = list(qc.features(pa.array([t for _, t, _ in rows])))
+    g = np.array([g for _, _, g in rows])
+    docs_, total = np.zeros(1 << qc.BITS, np.int64), np.zeros(1 << qc.BITS)
+    for f, v in zip(x, g):
+        docs_[f] += 1
+        total[f] += v
+    assert (np.flatnonzero(model.weights) == np.flatnonzero(qc.telling(docs_, total, 300, g.mean(), g.std()))).all()
