@@ -23,6 +23,11 @@ def ascii_like(c: str | Column, pattern: str) -> Column:
     return col(c).like(pattern) if folded == pattern.translate(str.maketrans(_LOWER, _UPPER)) else ascii_fold(c).like(folded)
 
 
+def has_text(c: str | Column, part: str) -> Column:
+    """Whether a text contains the part as it stands, without wildcards; false for null."""
+    return F.coalesce(F.contains(col(c), F.lit(part)), F.lit(False))
+
+
 def ratio(a: str | Column, b: str | Column, scale: float = 1.0) -> Column:
     """a / b * scale as a double; null where b is 0 or either is null."""
     return F.try_divide(col(a).cast("double"), col(b).cast("double")) * F.lit(float(scale))

@@ -42,6 +42,8 @@ class Metric:
     #: Currency -> columns that are added before they are summed; a row where one is null doesn't count.
     columns: dict[str, tuple[str, ...]]
     unit: str = "million_tl"
+    #: How the rows of a month and entity are put together: sum, avg, min, max or count.
+    aggregation: str = "sum"
 
     def of(self, currency: str) -> tuple[str, ...]:
         got = self.columns.get(currency) or self.columns.get("TOTAL")
@@ -149,6 +151,9 @@ def markdown() -> str:
     return "\n".join(out) + "\n"
 
 
+for _m in (*METRICS.values(), *GETTERS.values()):
+    if _m.aggregation not in ("sum", "avg", "min", "max", "count"):
+        raise ValueError(f"{_m.id}: unknown aggregation {_m.aggregation}")
 for _r in RATIOS.values():
     for _o in (_r.numerator, _r.denominator):
         if operand(_o)[0] not in METRICS or operand(_o)[1] not in CURRENCIES:

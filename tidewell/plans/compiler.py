@@ -65,11 +65,11 @@ class Engine:
         table = {m.table for _, m, _ in wanted}
         if len(table) != 1:
             raise ValueError("metrics of one table only")
-        tests = [(n, predicate(m.where, self.entities, self.or_precedence), measure(m, c)) for n, m, c in wanted]
+        tests = [(n, predicate(m.where, self.entities, self.or_precedence), measure(m, c), getattr(F, m.aggregation)) for n, m, c in wanted]
         some = tests[0][1]
-        for _, p, _ in tests[1:]:
+        for _, p, _, _ in tests[1:]:
             some = some | p
-        return self.tables[table.pop()].where(some).groupBy(*KEYS).agg(*(e for n, p, v in tests for e in (F.sum(F.when(p, v)).alias(n), F.count(F.when(p, 1)).alias(f"_{n}"))))
+        return self.tables[table.pop()].where(some).groupBy(*KEYS).agg(*(e for n, p, v, whole in tests for e in (whole(F.when(p, v)).alias(n), F.count(F.when(p, 1)).alias(f"_{n}"))))
 
     def metric(self, id: str, currency: str = "TOTAL") -> DataFrame:
         m = catalog.METRICS.get(id)
@@ -134,6 +134,11 @@ class Engine:
             out = out.unionByName(one.select(*STANDARD, "metric_id"))
         return out
 
+    @staticmethod
+    def ordered(df: DataFrame) -> DataFrame:
+        """In the order that reports list rows in; frames have none otherwise."""
+        return df.orderBy("year", "month", "bank_type_code")
+
     def periods(self, table: str = "balance_sheet") -> DataFrame:
         return self.tables[table].select("year", "month").distinct().withColumn("period", month_start("year", "month"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewell.functions.expr import ascii_like, guarded_ratio, half_even, ratio
+from tidewell.functions.expr import ascii_like, guarded_ratio, half_even, has_text, ratio
 from tidewell.operators import timeseries
 from tidewell.plans import catalog
 from tidewell.plans.catalog import Metric, Where
@@ -55,6 +55,9 @@ PUBLISHED = {
 CET1 = (12, "Çekirdek Sermaye Yeterliliği Rasyosu%")
 #: Income lines: net interest, the two that make up revenue with it, trading and exchange, fees.
 INTEREST, REVENUE, TRADING, FEES = 24, (24, 34, 50), (46, 47), (27, 31)
+#: Parts of the return on equity and their income lines.
+ROE = {"NII": (24,), "Fees": (27, 31), "Trading": (46,), "Other NII": (30, 32, 33, 47, 48, 49), "OPEX": (35, 42, 43, 44), "Provisions": (25, 36, 38, 39, 40), "Other/tax": (52,)}
+CREDIT, EQUITY = "%Krediler%", "%TOPLAM ÖZKAYN%"
 WEEKLY_13W = {
     "total_loans": "Toplam Krediler (2+10)",
     "consumer_total": "Tüketici Kredileri ve Bireysel Kredi Kartları (3+7)",
@@ -171,13 +174,72 @@ class Extended(Engine):
         the latest weeks * items_per_week rows of loans; a name counts where it is part of an item's name, and needs 14
         rows. One sort of the latest rows, one aggregation for all names."""
         t = self.tables["weekly_bulletin"].where("category = 'krediler'").orderBy(F.desc("period_date"), "item_name").limit(weeks * items_per_week)
-        labels = F.filter(F.array(*(F.when(F.contains("item_name", F.lit(n)), F.lit(m)) for m, n in (items or WEEKLY_13W).items())), lambda x: x.isNotNull())
+        labels = F.filter(F.array(*(F.when(has_text("item_name", n), F.lit(m)) for m, n in (items or WEEKLY_13W).items())), lambda x: x.isNotNull())
         at = F.struct("period_date", "item_name")
         got = t.select("period_date", "item_name", "total_value", F.explode(labels).alias("metric_id")).groupBy("metric_id")
         got = got.agg(F.min("period_date").alias("start_date"), F.max("period_date").alias("end_date"), F.min_by("total_value", at).alias("start_value"), F.max_by("total_value", at).alias("end_value"), F.count("*").alias("weeks"))
         times = ratio("end_value", "start_value")
         return got.where(F.col("weeks") >= 14).withColumns({"growth_13w_simple": half_even((times - 1) * 100), "growth_13w_annualized": half_even((F.pow(times, F.lit(52 / 13)) - 1) * 100)})
 
+    def credit_parts(self, rate: DataFrame) -> DataFrame:
+        """Standard keys with loans_tl, loans_fx, loans_total, rate and loans_fx_usd; rate (period, rate): months without
+        one have null. One scan."""
+        amounts = {"TL": ("amount_tl",), "FX": ("amount_fx",), "TOTAL": ("amount_total",)}
+        credit = Metric("credit", "Credit", "credit", "balance_sheet", Where((CREDIT,)), amounts)
+        names = {"loans_tl": "TL", "loans_fx": "FX", "loans_total": "TOTAL"}
+        wide = self.columns([(n, credit, c) for n, c in names.items()])
+        wide = self.shaped(wide.select(*KEYS, *(F.col(n).cast("double").alias(n) for n in names), F.col("loans_total").cast("double").alias("value"))).drop("value")
+        return wide.join(rate.select("period", "rate"), "period", "left").withColumn("loans_fx_usd", ratio("loans_fx", "rate"))
+
+    def credit_growth(self, rate: DataFrame, periods: int = 12, annualise: bool = True) -> DataFrame:
+        """tl_growth, fx_growth_usd, total_growth_nominal and total_growth_fx_adj, the last with the foreign part at the
+        earlier month's rate, in percent; annualised unless over 12 months. Rows lacking one of them are left out."""
+        w = W.partitionBy("bank_type_code").orderBy("period")
+        was = lambda c: F.lag(c, periods).over(w)
+        df = self.credit_parts(rate).withColumns({f"_{c}": was(c) for c in ("loans_tl", "loans_fx_usd", "loans_total", "rate")})
+        grown = lambda c: ratio(F.col(c) - F.col(f"_{c}"), f"_{c}", 100)
+        fixed = (F.col("loans_tl") - F.col("_loans_tl")) + (F.col("loans_fx_usd") - F.col("_loans_fx_usd")) * F.col("_rate")
+        rates = {"tl_growth": grown("loans_tl"), "fx_growth_usd": grown("loans_fx_usd"), "total_growth_nominal": grown("loans_total"), "total_growth_fx_adj": ratio(fixed, "_loans_total", 100)}
+        if annualise and periods != 12:
+            rates = {n: (F.pow(1 + c / 100, F.lit(12 / periods)) - 1) * 100 for n, c in rates.items()}
+        out = df.withColumns(rates).drop("_loans_tl", "_loans_fx_usd", "_loans_total", "_rate")
+        return out.na.drop(subset=["loans_tl", "loans_fx", "loans_total", "loans_fx_usd", *rates])
+
+    def credit_growth_summary(self, rate: DataFrame, code: str = catalog.SECTOR) -> DataFrame:
+        """kind (yoy, 3m_annualized), period and the four rates of the last row, rounded to a digit, half to even."""
+        names = ["total_growth_nominal", "total_growth_fx_adj", "tl_growth", "fx_growth_usd"]
+        one = self.with_entities(code)
+        last = lambda df, kind: df.orderBy(F.desc("period")).limit(1).select(F.lit(kind).alias("kind"), "period", *(half_even(n, 1).alias(n) for n in names))
+        return last(one.credit_growth(rate, 12), "yoy").unionByName(last(one.credit_growth(rate, 3), "3m_annualized"))
+
+    def segment_growth(self, wanted: dict[str, Metric], periods: int = 12) -> DataFrame:
+        """label and standard shape: percent growth of each segment over so many rows; one scan."""
+        got = timeseries.growth(self.segments(wanted), periods, ["label", "bank_type_code"], out="g")
+        return got.drop("value").withColumnRenamed("g", "value")
+
+    def nowcast(self, rows: int, items: Iterable[str], codes: Iterable[str], currencies: Iterable[str] = ("TOTAL",)) -> DataFrame:
+        """item_id, bank_type_code, currency, period_date, value: annualised growth of weekly series over ``rows`` weeks;
+        one scan for all of them."""
+        t = self.tables["weekly_series"].where(F.col("item_id").isin(*items) & F.col("bank_type_code").isin(*codes) & F.col("currency").isin(*currencies))
+        keys = ["item_id", "bank_type_code", "currency"]
+        return timeseries.growth_annualised(t.select(*keys, "period_date", "value"), rows, keys, out="g").select(*keys, "period_date", F.col("g").alias("value"))
+
+    def roe_components(self, code: str = "10002", last: int = 3) -> DataFrame:
+        """bucket, period, value: each part of the return on equity over twelve months in percent of the mean equity of 13
+        months (6 at least), for the last periods of any part; bucket ROE: the sum of the parts that are there."""
+        one = self.with_entities(code)
+        lines = [o for orders in ROE.values() for o in orders]
+        plus = lambda orders: sum((F.col(f"v{o}") for o in orders[1:]), F.col(f"v{orders[0]}"))
+        cells = F.array(*(F.struct(F.lit(b).alias("bucket"), F.when(self._all(orders), plus(orders)).cast("double").alias("value")) for b, orders in ROE.items()))
+        flows = one._lines(lines).select(*KEYS, F.explode(cells).alias("c")).select(*KEYS, "c.bucket", "c.value").where("value is not null")
+        flows = timeseries.trailing_year(flows, ["bucket"])
+        equity = timeseries.rolling_mean(one.item(EQUITY), 13, 6, ["bank_type_code"]).select("year", "month", "mean")
+        parts = flows.join(equity, ["year", "month"], "left").select("bucket", F.make_date("year", "month", F.lit(1)).alias("period"), guarded_ratio("ttm", "mean", 100).alias("value")).where("value is not null")
+        # Parts times months, however long the facts are: one window numbers the months.
+        ranked = parts.withColumn("_r", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(F.desc("period")))).where(F.col("_r") <= last).drop("_r")
+        total = ranked.groupBy("period").agg(F.sum("value").alias("value")).select(F.lit("ROE").alias("bucket"), "period", "value")
+        return ranked.unionByName(total)
+
 
 def filter_from(df: DataFrame, start: str, period: str = "period") -> DataFrame:
     """Rows from a month ('2024-01') or a day on; reaches the scan as a filter."""

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tidewell.functions import expr as E
 from tidewell.plans import catalog, panels
 from tidewell.plans import extended as X
-from tidewell.plans.compiler import STANDARD, Engine
+from tidewell.plans.compiler import Engine
 from tidewell.queries.core import _CTES, query, table
-from tidewell.sources import readers, writers
+from tidewell.sources import ingest, readers, writers
 from tidewell.streaming import upsert as stream
 
 # Item names of the stand-ins by priority and status, by priority alone, and by quantity.
@@ -506,3 +506,93 @@ def _(spark, sf):
 def _(spark, sf):
     got = panels.turn(engine(spark, sf).growth("loan_growth_yoy"))
     return got.select("period", "direction", F.round("value", 6).alias("value"), F.round("delta", 6).alias("delta"))
+
+
+# Derivations of the report sections.
+
+_CTES["rate"] = "rate AS (SELECT CAST(date_trunc('month', date) AS DATE) AS period, arg_max(value, date) AS rate FROM (SELECT CAST(l_shipdate AS DATE) AS date, min(l_discount) AS value FROM lineitem WHERE l_discount > 0 GROUP BY 1) GROUP BY 1)"
+_CREDIT = "SELECT make_date(year, month, 1) AS period, bank_type_code, CAST(sum(amount_tl) AS DOUBLE) AS t, CAST(sum(amount_fx) AS DOUBLE) / rate AS f, CAST(sum(amount_total) AS DOUBLE) AS a, rate AS r FROM bs LEFT JOIN rate ON rate.period = make_date(year, month, 1) WHERE item_name ILIKE '%krediler%' AND {who} GROUP BY year, month, bank_type_code, rate"
+
+
+def _credit_sql(periods: int, who: str = _PRIMARY) -> str:
+    lag = ", ".join(f"lag({c}, {periods}) OVER w AS {c}0" for c in "tfar")
+    year = (lambda x: x) if periods == 12 else (lambda x: f"(pow(1 + {x} / 100, 12.0 / {periods}) - 1) * 100")
+    kinds = {"tl_growth": "(t - t0) / t0 * 100", "fx_growth_usd": "(f - f0) / f0 * 100", "total_growth_nominal": "(a - a0) / a0 * 100", "total_growth_fx_adj": "((t - t0) + (f - f0) * r0) / a0 * 100"}
+    return f"SELECT * FROM (SELECT period, bank_type_code, " + ", ".join(f"{year(x)} AS {n}" for n, x in kinds.items()) + f" FROM (SELECT *, {lag} FROM ({_CREDIT.format(who=who)}) WINDOW w AS (PARTITION BY bank_type_code ORDER BY period))) WHERE tl_growth + fx_growth_usd + total_growth_nominal + total_growth_fx_adj IS NOT NULL"
+
+
+def _rate(spark, sf) -> DataFrame:
+    from tidewell.operators import align
+
+    q = table(spark, sf, "lineitem").where("l_discount > 0").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(F.min("l_discount").alias("value"))
+    return align.month_end(q)
+
+
+_RATES = ["tl_growth", "fx_growth_usd", "total_growth_nominal", "total_growth_fx_adj"]
+
+
+def _credit_growth() -> None:
+    for periods in (12, 3):
+
+        @query(f"credit_growth_{periods}m", "SELECT period, bank_type_code, " + ", ".join(f"round({n}, 4) AS {n}" for n in _RATES) + f" FROM ({_credit_sql(periods)})", *_BS, "rate")
+        def _(spark, sf, periods=periods):
+            return engine(spark, sf).credit_growth(_rate(spark, sf), periods).select("period", "bank_type_code", *(F.round(n, 4).alias(n) for n in _RATES))
+
+
+_credit_growth()
+
+
+@query("credit_growth_summary", " UNION ALL ".join(f"(SELECT '{kind}' AS kind, period, " + ", ".join(f"round_even({n}, 1) AS {n}" for n in _RATES) + f" FROM ({_credit_sql(n, chr(98) + 'ank_type_code = ' + chr(39) + '10001' + chr(39))}) ORDER BY period DESC LIMIT 1)" for kind, n in (("yoy", 12), ("3m_annualized", 3))), *_BS, "rate")
+def _(spark, sf):
+    return engine(spark, sf).credit_growth_summary(_rate(spark, sf)).select("kind", "period", *_RATES)
+
+
+_GROWN = _labelled("lo", "total_amount", {k: f"table_number = 4 AND item_name LIKE '{v}'" for k, v in _MIX.items()})
+
+
+@query("segment_growth", f"SELECT label, period, bank_type_code, bank_type, (value - p) / p * 100 AS value FROM (SELECT *, lag(value, 12) OVER (PARTITION BY label, bank_type_code ORDER BY period) AS p FROM ({_standard(_GROWN, 'label, ')})) WHERE p <> 0", *_LO)
+def _(spark, sf):
+    return _shown(engine(spark, sf).segment_growth(X.CONSUMER), "label")
+
+
+@query("public_vs_private", _growth_sql("asset_growth_yoy").replace(_PRIMARY, "bank_type_code IN ('10003', '10004')"), *_ALL)
+def _(spark, sf):
+    return _shown(engine(spark, sf).with_entities("10003", "10004").growth("asset_growth_yoy"))
+
+
+@query("weekly_nowcast", "SELECT item_id, currency, period_date, round((pow(value / p, 52.0 / 4) - 1) * 100, 4) AS value FROM (SELECT *, lag(value, 4) OVER (PARTITION BY item_id, bank_type_code, currency ORDER BY period_date) AS p FROM ws WHERE item_id IN ('A', 'R')) WHERE p > 0 AND value > 0", "ws")
+def _(spark, sf):
+    return engine(spark, sf).nowcast(4, ["A", "R"], ["10001"], ["TOTAL", "TL"]).select("item_id", "currency", "period_date", F.round("value", 4).alias("value"))
+
+
+@query("roe_by_income_lines", f"""SELECT * FROM (WITH b AS (SELECT 'NII' AS bucket, year, month, CAST(v24 AS DOUBLE) AS v FROM ({_LINES}) WHERE bank_type_code = '10001' AND v24 IS NOT NULL UNION ALL SELECT 'Fees', year, month, CAST(v27 + v31 AS DOUBLE) FROM ({_LINES}) WHERE bank_type_code = '10001' AND v27 + v31 IS NOT NULL UNION ALL SELECT 'Trading', year, month, CAST(v46 AS DOUBLE) FROM ({_LINES}) WHERE bank_type_code = '10001' AND v46 IS NOT NULL),
+t AS (SELECT a.bucket, a.year, a.month, CASE WHEN a.month = 12 THEN a.v ELSE a.v + (d.v - p.v) END AS ttm FROM b a LEFT JOIN b d ON d.bucket = a.bucket AND d.year = a.year - 1 AND d.month = 12 LEFT JOIN b p ON p.bucket = a.bucket AND p.year = a.year - 1 AND p.month = a.month),
+e AS (SELECT year, month, CASE WHEN count(value) OVER w >= 6 THEN CAST(sum(value) OVER w AS DOUBLE) / count(value) OVER w END AS mean FROM (SELECT year, month, sum(amount_total) AS value FROM bs WHERE item_name ILIKE '%TOPLAM ÖZKAYN%' AND bank_type_code = '10001' GROUP BY ALL) WINDOW w AS (ORDER BY year, month ROWS 12 PRECEDING)),
+s AS (SELECT bucket, make_date(year, month, 1) AS period, ttm / mean * 100 AS value FROM t JOIN e USING (year, month) WHERE ttm IS NOT NULL AND mean > 0),
+l AS (SELECT * FROM s WHERE period IN (SELECT DISTINCT period FROM s ORDER BY period DESC LIMIT 3))
+SELECT bucket, period, round(value, 4) AS value FROM l UNION ALL SELECT 'ROE', period, round(sum(value), 4) FROM l GROUP BY period)""", "names", "o", "bs", "inc")
+def _(spark, sf):
+    return engine(spark, sf).roe_components("10001").withColumn("value", F.round("value", 4))
+
+
+@query("published_annualised", _standard("SELECT *, ratio_value * 12.0 / month AS value FROM fr WHERE table_number = 15 AND item_name LIKE 'Toplam Nakdi Krediler / Toplam Mevduat%' AND bank_type_code IN ('10001', '10003', '10004')"), "names", "o", "fr")
+def _(spark, sf):
+    from tidewell.operators import timeseries
+
+    return _shown(timeseries.annualised_ytd(engine(spark, sf).with_entities("10001", "10003", "10004").published({"ldr": X.PUBLISHED["ldr"]})))
+
+
+@query("literal_filter", "SELECT p_partkey, contains(p_name, 'red') AS hit FROM part")
+def _(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", E.has_text("p_name", "red").alias("hit"))
+
+
+@query("load_violations", "SELECT count(*) AS rows, count(CASE WHEN abs(value) >= 50 THEN 1 END) AS dropped FROM events")
+def _(spark, sf):
+    return ingest.violations(table(spark, sf, "events"), limit=50)
+
+
+@query("window_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, sf):
+    got = stream.windowed_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
