@@ -32,11 +32,12 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
 def propagate(state: DataFrame, quotas: list[int], buckets: int) -> tuple[DataFrame, int]:
     """One round on state (g, shard, n): the new state, and how many documents moved."""
     room = [q - n for q, n in zip(quotas, _loads(state, len(quotas)))]
-    order = W.partitionBy("g").orderBy(F.desc("n"), "shard")
-    free = F.greatest(_by_shard(room, "shard"), F.lit(0))
-    # A group's homes: the shards that hold most of it, as many as have room for all of it.
-    holds = F.coalesce(F.sum(F.col("n") + free).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = state.withColumns({"rank": F.row_number().over(order), "free": free, "home": holds < F.sum("n").over(W.partitionBy("g"))})
+    # A group's homes: first a shard that has room for all of it, then those that hold most, as many as have room for it.
+    sized = state.withColumns({"free": F.greatest(_by_shard(room, "shard"), F.lit(0)), "whole": F.sum("n").over(W.partitionBy("g"))})
+    sized = sized.withColumn("fits", F.col("n") + F.col("free") >= F.col("whole"))
+    order = W.partitionBy("g").orderBy(F.desc("fits"), F.desc("n"), "shard")
+    holds = F.coalesce(F.sum(F.col("n") + F.col("free")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = sized.withColumns({"rank": F.row_number().over(order), "home": holds < F.col("whole")})
     homes = ranked.where("home and free > 0").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rank", "shard"))).alias("homes"))
     away = ranked.where("not home").join(homes, "g")
     moves = away.withColumn("to", F.element_at("homes", (F.col("rank") % F.size("homes") + 1).cast("int"))["shard"]).withColumn("cell", F.pmod(F.xxhash64("g"), F.lit(buckets)))
