@@ -156,25 +156,26 @@ def _verifier(percent: int, min_words: int):
     return F.arrow_udf(verify, "struct<start:bigint,n_overlap:bigint,n_equal:bigint>")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", percent: int = MIN_EQUAL, min_words: int = MIN_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", percent: int = MIN_EQUAL, min_words: int = MIN_WORDS, min_item_words: int = MIN_ITEM_WORDS, reach: int | None = REACH) -> DataFrame:
     """doc_id, text_key, item_ids, n_item_words, start, n_overlap, n_equal: one row per contaminated text and test text.
 
     Contaminated: on one diagonal, min_words words or a whole shorter item, ``percent`` percent of them equal. item_ids:
-    the items of that text, ascending, null ids last; equal items are searched once. Items of fewer than five words are
-    too short to tell and match nothing; null texts match nothing. Rows with a null key are told apart by text_key, the
+    the items of that text, ascending, null ids last; equal items are searched once. Items of fewer than
+    ``min_item_words`` words are too short to tell and match nothing (1: all items with words are searched); null texts match nothing. Rows with a null key are told apart by text_key, the
     hash of the whole text; repeated rows give one row. Empty inputs: no rows. Further columns aren't read. An overlap is
-    measured over ``REACH`` words on both sides of its hits.
+    measured over ``reach`` words on both sides of its hits; None: over whole texts.
     """
     arrow_limits(docs.sparkSession)
+    reach = 1 << 40 if reach is None else reach
     wordy = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_words, "item_id long, words binary, n_words long, kind long")
-    tests = wordy.where(F.col("n_words") >= MIN_ITEM_WORDS).groupBy("kind", "words", "n_words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    tests = wordy.where(F.col("n_words") >= max(1, min_item_words)).groupBy("kind", "words", "n_words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     tests = written(tests, "test-items")
     short = sorted(r["n_words"] for r in tests.where(F.col("n_words") < min_words).select("n_words").distinct().collect())
     seeds = written(tests.select("kind", "words").mapInArrow(_item_seeds(short, percent), SEED).distinct(), "test-seeds")
     low, high = as_bitmap(seeds, "seed", FILTER_BITS), as_bitmap(seeds.select(F.shiftrightunsigned("seed", 32).alias("seed")), "seed", FILTER_BITS)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    stretches = written(rows.mapInArrow(_stretches(short, percent, low, high, REACH), STRETCH), "stretches")
+    stretches = written(rows.mapInArrow(_stretches(short, percent, low, high, reach), STRETCH), "stretches")
     where = ["doc_id", "text_key", "first"]
     hits = stretches.select(*where, F.inline("hits")).join(broadcast_if_small(seeds, BROADCAST_ROWS), "seed")
     hits = hits.groupBy(*where, "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("diagonals"))
