@@ -190,3 +190,16 @@ def test_contaminated_against_all_diagonals(spark):
     mine, all_ = {(x["doc_id"], i) for x in got for i in x["item_ids"]}, slow_contaminated(rows, items)
     # Three substitutions or more in stretches of 15 words and more may leave no mask a place; nothing else is lost.
     assert mine <= all_ and len(all_ - mine) <= len(all_) // 50 and len(all_) > 60
+
+
+def test_short_items_and_whole_texts_on_request(spark):
+    item = prose(71, 700)
+    words = item.split()
+    for k in range(300, 440, 3):
+        words[k] = "zzz"
+    rows = [(0, " ".join(words)), (1, "just two words"), (2, prose(72, 40))]
+    items = [(0, item), (1, "two words"), (2, "two other")]
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_ids"][0]): r["n_overlap"] for r in dc.contaminated(*frames, min_item_words=1, reach=None).collect()}
+    assert got == {(0, 0): 700, (1, 1): 2}
+    assert {r["doc_id"] for r in dc.contaminated(*frames).collect()} == {0}
