@@ -214,7 +214,7 @@ def removed(spark, rows, window, gram):
     return sorted(((r["doc_id"], r["dedup"]["n_words"], r["dedup"]["n_removed"], hashlib.sha256(r["dedup"]["kept"].encode()).hexdigest()) for r in got), key=key)
 
 
-@pytest.mark.parametrize("small", [{"ANCHOR_BITS": 8, "HOME_BITS": 8}, {"PASSAGES": 2, "STRETCHES": 3, "SHARED": 0}, {"PASSAGES": 5, "SHARED": 1, "BROADCAST_SPANS": 0}])
+@pytest.mark.parametrize("small", [{"ANCHOR_BITS": 8, "HOME_BITS": 8}, {"PASSAGES": 2, "STRETCHES": 3, "SHARED": 0}, {"PASSAGES": 5, "SHARED": 1}])
 def test_passages_whatever_the_sizes(spark, monkeypatch, small):
     for name, value in small.items():
         monkeypatch.setattr(sd, name, value)
@@ -291,3 +291,13 @@ def test_shards_keep_groups_together(spark):
         where.setdefault(text[r["doc_id"]], set()).add(r["shard"])
     groups = [v for k, v in where.items() if k.startswith("group")]
     assert sum(len(v) == 1 for v in groups) >= 27 and len(where["huge"]) <= 4
+
+
+def test_pairs_leave_full_shards(spark):
+    """Two copies in a full shard and a free one come together in the free one, and no group's cut edges grow."""
+    from tidewell.llm.sharding import propagate
+
+    state = spark.createDataFrame([("a", 0, 1), ("a", 1, 1), ("b", 0, 3), ("c", 1, 2), ("c", 0, 1)], "g string, shard int, n long")
+    got, moved = propagate(state, [5, 9], 1)
+    assert {(r["g"], r["shard"], r["n"]) for r in got.collect()} == {("a", 1, 2), ("b", 0, 3), ("c", 1, 3)} and moved == 2
+    assert propagate(got, [5, 9], 1)[1] == 0

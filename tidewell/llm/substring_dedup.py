@@ -30,9 +30,9 @@ from .words import Words, _mix, blocks, shingles
 
 WINDOW, GRAM, ANCHOR_BITS, HOME_BITS = 35, 8, 26, 26
 #: Passages of an automaton, stretches of a task that streams them, and passages with a tile that is still extended.
-PASSAGES, STRETCHES, SHARED = 4096, 65_536, 8
-#: Spans that a joined side may have to be broadcast.
-BROADCAST_SPANS = 1_000_000
+PASSAGES, STRETCHES, SHARED = 2048, 32_768, 8
+#: Values that a task gathers before it counts them and hands them on.
+GATHERED = 1 << 18
 RESULT = "struct<n_words:bigint,n_removed:bigint,kept:string,spans:array<struct<start:int,end:int>>>"
 #: Bytes of a word hash that stretches carry, and characters of a word in the automaton.
 WORD_BYTES, SYMBOLS = 6, 3
@@ -126,11 +126,22 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The parts put together, ``GATHERED`` values or a few more at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for part in parts:
+        held.append(part)
+        if sum(x[0].size for x in held) >= GATHERED:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def _anchor_counts(window: int, gram: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.zeros(0, np.uint64), *(Stretches(block, window, gram).anchor for _, block in blocks(batch.column(0)))]
-            values, counts = np.unique(np.concatenate(found), return_counts=True)
+        for (anchors,) in _gathered((Stretches(block, window, gram).anchor,) for batch in batches for _, block in blocks(batch.column(0))):
+            values, counts = np.unique(anchors, return_counts=True)
             yield pa.RecordBatch.from_arrays([_longs(values), pa.array(counts.astype(np.int64))], names=["anchor", "n"])
 
     return count
@@ -139,9 +150,7 @@ def _anchor_counts(window: int, gram: int):
 def _window_counts(window: int, gram: int, often: bytes):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(often, np.uint64)
-        for batch in batches:
-            found = [(np.zeros(0, np.uint64),) * 2, *(Stretches(block, window, gram, bitmap).windows() for _, block in blocks(batch.column(0)))]
-            values, homes = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        for values, homes in _gathered(Stretches(block, window, gram, bitmap).windows() for batch in batches for _, block in blocks(batch.column(0))):
             values, at, counts = np.unique(values, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([_longs(values), pa.array(counts.astype(np.int64)), _longs(homes[at])], names=["value", "n", "home"])
 
@@ -349,13 +358,36 @@ def recurring_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     return dealt.mapInArrow(_occurrences(window, SHARED), SPANS)
 
 
+def _may_have(bitmap: bytes):
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(np.frombuffer(bitmap, np.uint64), keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return F.arrow_udf(may, "boolean")
+
+
 def _remover():
     def remove(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.concat_arrays([_removed(texts.slice(0, 0), spans.slice(0, 0)), *(_removed(block, spans.slice(first, len(block))) for first, block in blocks(texts, 4 << 20))])
+        return _blockwise(texts, spans)
 
     return F.arrow_udf(remove, RESULT)
 
 
+def _without_spans(bitmap: bytes):
+    """The result of texts that the filter says have no spans, null for the others."""
+
+    def remove(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        none = ~in_bitmap(np.frombuffer(bitmap, np.uint64), keys.to_numpy(zero_copy_only=False).view(np.uint64))
+        some = texts.filter(pa.array(none))
+        done = _blockwise(some, pa.nulls(len(some), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+        return done.take(pa.array(np.cumsum(none) - 1, mask=~none))
+
+    return F.arrow_udf(remove, RESULT)
+
+
+def _blockwise(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_removed(texts.slice(0, 0), spans.slice(0, 0)), *(_removed(block, spans.slice(first, len(block))) for first, block in blocks(texts))])
+
+
 def _removed(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """The result of each text; spans: lists of (start, end) of words that go, in any order, overlapping or null."""
     w = Words(texts)
@@ -405,6 +437,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     d, t, h, s = unused(docs, "d", "t", "h", "s")
     spans = recurring_spans(docs, window, gram, text, key).groupBy(F.col("doc_id").alias(d), F.col("text_key").alias(t)).agg(F.collect_set(F.struct("start", "end")).alias(s))
     spans = written(spans, "recurring-spans")
-    total = spans.agg(F.coalesce(F.sum(F.size(s)), F.lit(0))).first()[0]
-    joined = docs.withColumn(h, F.xxhash64(text)).join(F.broadcast(spans) if total <= BROADCAST_SPANS else spans, F.col(key).cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
-    return joined.withColumn("dedup", _remover()(F.col(text), F.col(s))).drop(d, t, h, s)
+    # Only texts that may have spans are shuffled to meet them. No stage has two Python steps: each is a process a task.
+    bitmap, rows = as_bitmap(spans, t, HOME_BITS), docs.withColumn(h, F.xxhash64(text))
+    met = rows.where(_may_have(bitmap)(F.col(h))).join(spans, F.col(key).cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
+    met = met.withColumn("dedup", _remover()(F.col(text), F.col(s))).drop(d, t, h, s)
+    return met.unionByName(rows.withColumn("dedup", _without_spans(bitmap)(F.col(h), F.col(text))).where("dedup is not null").drop(h))
