@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import align
 from tidewell.plans import extended, panels
-from tidewell.sources import ingest, registry, requests, writers
+from tidewell.sources import ingest, refresh, registry, requests, writers
 from tidewell.streaming import upsert
 
 
@@ -205,3 +205,28 @@ def test_presets(spark):
     n = {p: extended.preset(df, p).count() for p in ("1M", "6M", "YTD", "1Y", "3Y", "5Y", "MAX")}
     assert n == {"1M": 2, "6M": 7, "YTD": 4, "1Y": 13, "3Y": 37, "5Y": 61, "MAX": 100}
     assert extended.filter_from(df, "2023-02").count() == 3
+
+
+def weekly_served(url, form):
+    y = int(form["sutun"]) * 10.0
+    return json.dumps({"Baslik": "Toplam Krediler (TRY) [Toplam]", "XEkseni": ["9.01.2026", "16.01.2026", "bad"], "YEkseni": [y, 1e11, 3.0]}).encode()
+
+
+def test_refresh(spark, tmp_path):
+    folder = str(tmp_path / "facts")
+    at = dt.datetime(2024, 5, 1)
+    answers = requests.monthly_update(months(spark, "2024-02-01"), d("2024-04-15"), "http://source", [1, 9, 12], ["10001"], 2, served).cache()
+    for _ in range(2):
+        touched = refresh.merge_monthly(answers, folder, at)
+        assert touched == ["balance_sheet", "other_data"]
+    assert refresh.stored(spark, folder, "balance_sheet").count() == 2 and refresh.stored(spark, folder, "loans") is None
+    assert refresh.stored(spark, folder, "other_data").count() == 12
+    (tmp_path / "facts" / "balance_sheet" / "v=3").mkdir()
+    assert refresh.stored(spark, folder, "balance_sheet").count() == 2
+    for _ in range(2):
+        weekly = refresh.weekly_update(refresh.stored(spark, folder, "weekly_series"), d("2026-01-17"), "http://w", [("1.0.1", "krediler")], 2, weekly_served, spark=spark, first="2026-01-01")
+        refresh.merge_weekly(weekly, folder, at)
+    got = refresh.stored(spark, folder, "weekly_series")
+    assert {(str(r["period_date"]), r["item_name"], r["currency"], r["value"]) for r in got.where("bank_type_code = '10001'").collect()} == {("2026-01-09", "Toplam Krediler", c, v) for c, v in (("TL", 10.0), ("FX", 20.0), ("TOTAL", 30.0))}
+    refresh.snapshot(spark, folder, str(tmp_path / "out"), ["balance_sheet", "weekly_series", "loans"])
+    assert spark.read.parquet(str(tmp_path / "out" / "weekly_series")).count() == got.count()
