@@ -35,9 +35,9 @@ from .words import Words, _mix, blocks, shingles
 
 SHINGLE, PERCENT = 4, 85
 #: A token is frequent from so many documents in all, counted where a task has it twice; more of them where the filter would be over an eighth full.
-FREQUENT, FILTER_BITS, LEAST_PARITY, BROADCAST_ROWS = 40, 23, 1024, 500_000
+FREQUENT, FILTER_BITS, ENTRY_BITS, LEAST_PARITY, BROADCAST_ROWS = 40, 23, 26, 1024, 500_000
 #: Tokens that a task counts before it hands the repeated ones on.
-COUNTED = 1 << 20
+COUNTED = 1 << 19
 #: Members of an index entry that are compared at a time, and bytes of their bitmaps.
 BLOCK_ROWS, BLOCK_BYTES = 4000, 8 << 20
 #: Pairs of each part in the rounds before all pairs are taken; pairs for each member that need no such rounds; pairs compared at a time.
@@ -163,11 +163,13 @@ def _scan(k: int):
     return scan
 
 
-def _index(k: int, percent: int, bitmap: bytes):
+def _index(k: int, percent: int, bitmap: bytes, wanted: bytes | None = None):
+    """wanted: only entries that pass this filter."""
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from functools import lru_cache
 
-        often, seen = np.frombuffer(bitmap, np.uint64), set()
+        often, some, seen = np.frombuffer(bitmap, np.uint64), wanted and np.frombuffer(wanted, np.uint64), set()
         range_of, classes = lru_cache(1 << 16)(size_range), lru_cache(1 << 16)(classes_of_range)
         for batch in batches:
             for _, block in blocks(batch.column(0)):
@@ -176,7 +178,8 @@ def _index(k: int, percent: int, bitmap: bytes):
                     if s.size and (c := class_of(s)) not in seen:
                         if len(seen) < 1 << 20:
                             seen.add(c)
-                        sigs.append(signatures(s, in_bitmap(often, s), percent, range_of, classes))
+                        own = signatures(s, in_bitmap(often, s), percent, range_of, classes)
+                        sigs.append(own if some is None else own[in_bitmap(some, own)])
                         ids.append(c)
                         sizes.append(s.size)
                 times = [x.size for x in sigs[1:]]
@@ -360,10 +363,11 @@ class _Join:
         self.rows = scanned.where("class is not null").select("doc_id", "text_key", "n", "class", "parity")
         self.classes = written(self.rows.where("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.min_by("parity", "class").alias("parity")), "ngram-classes")
         often = as_bitmap(self.frequent(scanned), "token", FILTER_BITS)
-        index = written(self.texts.select("text").mapInArrow(_index(k, percent, often), "sig long, class long, n long"), "ngram-index")
-        heads = index.groupBy("sig").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head < last").select("sig", "head")
-        #: Only entries with two classes at least.
-        self.entries = written(index.join(heads, "sig").select("sig", "class", "n", "head").distinct(), "ngram-entries")
+        index = lambda wanted=None: self.texts.select("text").mapInArrow(_index(k, percent, often, wanted), "sig long, class long, n long")
+        heads = index().groupBy("sig").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head < last").select("sig", "head")
+        heads = written(heads, "ngram-heads")
+        # Only entries with two classes at least. Most entries have one: made again, few of them are shuffled a second time.
+        self.entries = written(index(as_bitmap(heads, "sig", ENTRY_BITS)).join(heads, "sig").select("sig", "class", "n", "head").distinct(), "ngram-entries")
 
     @staticmethod
     def frequent(scanned: DataFrame) -> DataFrame:
