@@ -362,14 +362,19 @@ def _may_have(bitmap: bytes):
     def may(keys: pa.Array) -> pa.Array:
         return pa.array(in_bitmap(np.frombuffer(bitmap, np.uint64), keys.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    return F.arrow_udf(may, "boolean")
+    return F.arrow_udf(may, "boolean").asNondeterministic()  # else the join hands the filter on to its other side
+
+
+def _once(remove):
+    """A UDF that is evaluated once for a row: filters on its result aren't pushed below it, where they would need it again."""
+    return F.arrow_udf(remove, RESULT).asNondeterministic()
 
 
 def _remover():
     def remove(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return _blockwise(texts, spans)
 
-    return F.arrow_udf(remove, RESULT)
+    return _once(remove)
 
 
 def _without_spans(bitmap: bytes):
@@ -381,7 +386,7 @@ def _without_spans(bitmap: bytes):
         done = _blockwise(some, pa.nulls(len(some), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
         return done.take(pa.array(np.cumsum(none) - 1, mask=~none))
 
-    return F.arrow_udf(remove, RESULT)
+    return _once(remove)
 
 
 def _blockwise(texts: pa.Array, spans: pa.Array) -> pa.Array:
