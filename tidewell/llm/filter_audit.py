@@ -8,7 +8,7 @@ and a total over each filter's rows give the figures.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
@@ -87,15 +87,21 @@ def rows_of_least(copies: DataFrame) -> DataFrame:
     return copies.withColumn("first", F.col("no_id") + F.when(own, F.col("n_least")).otherwise(0))
 
 
-def order_steps(filters: Sequence[str] = FILTERS) -> list[tuple[str, int, str, int]]:
-    """filter_order, step, filter and bit for all orders of the filters: a number that only the filters determine."""
-    return [("".join(p), i + 1, f, 1 << filters.index(f)) for p in permutations(filters) for i, f in enumerate(p)]
+def order_steps(cells: DataFrame, filters: str = FILTERS) -> DataFrame:
+    """cells unpivoted against the steps of all orders: with filter_order, step (from 1), filter, and its bit.
+
+    The orders are a number that only the filters determine.
+    """
+    orders = F.split(F.lit(" ".join("".join(p) for p in permutations(filters))), " ")
+    long = cells.select("*", F.explode(orders).alias("filter_order"))
+    long = long.select("*", F.posexplode(F.split("filter_order", "")).alias("at", "filter"))
+    bit = F.expr(f"shiftleft(1, instr('{filters}', filter) - 1)")
+    return long.select(*cells.columns, "filter_order", (F.col("at") + 1).alias("step"), "filter", bit.alias("bit"))
 
 
 def audit(cells: DataFrame, filters: str = FILTERS) -> DataFrame:
     """part, filter_order, step and the figures, from part, mask, good, toxic, n."""
-    steps = F.array(*(F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(f).alias("filter"), F.lit(b).alias("bit")) for o, s, f, b in order_steps(filters)))
-    long = cells.select("*", F.explode(steps).alias("s")).select(*cells.columns, "s.*")
+    long = order_steps(cells, filters)
     before = W.partitionBy("part", "filter_order", "mask", "good", "toxic").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
     long = long.withColumns({"fails": F.col("mask").bitwiseAND(F.col("bit")) != 0, "gone": F.coalesce(F.bit_or(F.col("mask").bitwiseAND(F.col("bit"))).over(before), F.lit(0)) != 0})
     count = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
