@@ -16,6 +16,27 @@ def test_masks_meet_two_substitutions_in_thirteen_words():
             assert any(not {a, b} & {s + i for i in m} for m in dc.MASKS for s in range(13 - m[-1]))
 
 
+def test_short_masks_meet_every_allowed_substitution():
+    """Of each short item one mask at least is whole, whatever words are replaced; all lengths together need few masks."""
+    for percent in (60, 80, 90, 100):
+        for n in range(1, 13):
+            most = n - max(1, -(-percent * n // 100))
+            for gone in combinations(range(n), most):
+                assert any(not set(gone) & set(m) for m in dc.short_masks(n, percent)), (n, percent, gone)
+    masks, own = dc._masks(list(range(5, 13)), 80)
+    assert len(masks) <= 44 and all(len(m) >= 4 for m in masks) and set(own) == set(range(5, 13))
+
+
+def test_run_hashes_depend_on_the_picked_words_alone():
+    h = np.arange(1, 41, dtype=np.uint64) ** np.uint64(7)
+    masks, _ = dc._masks([5, 8, 10, 12], 80)
+    before = list(dc._hashed(h, masks))
+    h[20] += np.uint64(1)
+    for m, x, y in zip(masks, before, dc._hashed(h, masks)):
+        assert x.size == 40 - m[-1]
+        assert [i for i in range(x.size) if x[i] != y[i]] == [20 - k for k in reversed(m)]
+
+
 def test_planted_passages(spark):
     items = [(i, prose(500 + i, 15 + 3 * i)) for i in range(10)] + [(90, prose(500, 15)), (91, "too short"), (92, None), (None, ""), (93, "one two three four five six")]
     r, rows, want = random.Random(1), [], set()

@@ -28,21 +28,54 @@ MIN_WORDS, MIN_ITEM_WORDS, MIN_EQUAL, REACH, FILTER_BITS, BROADCAST_ROWS = 13, 5
 SEED = "seed long, item long, item_place int"
 
 
-def _spaced(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
-    """A hash for every place where the mask fits."""
-    n = h.size - mask[-1]
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(n, (salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in mask:
-            out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : i + n]
-        return _mix(out)
-
-
-def _masks(short: list[int], percent: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Item length (0: any) and mask: MASKS, and for each short length every choice of the words that must be equal."""
-    return [*((0, m) for m in MASKS), *((n, m) for n in short for m in combinations(range(n), max(1, -(-percent * n // 100))))]
+def _hashed(h: np.ndarray, masks: list[tuple[int, ...]]) -> Iterator[np.ndarray]:
+    """For each mask a hash for every place where it fits. A mask is a few runs of neighbouring words; the hashes of all
+    runs of a length are made once and shared by the masks."""
+    runs = {1: h}
+
+    def run(size: int) -> np.ndarray:
+        if size not in runs:
+            shorter = run(size - 1)
+            runs[size] = shorter[: max(0, shorter.size - 1)] * np.uint64(0x9E3779B97F4A7C15) + h[size - 1 :]
+        return runs[size]
+
+    for salt, mask in enumerate(masks):
+        n = h.size - mask[-1]
+        if n <= 0:
+            yield np.zeros(0, np.uint64)
+            continue
+        cuts = [0, *(i for i in range(1, len(mask)) if mask[i] != mask[i - 1] + 1), len(mask)]
+        with np.errstate(over="ignore"):
+            out = np.full(n, (salt + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1, np.uint64)
+            for i, j in zip(cuts, cuts[1:]):
+                out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + run(j - i)[mask[i] : mask[i] + n]
+            yield _mix(out)
+
+
+def short_masks(n: int, percent: int) -> list[tuple[int, ...]]:
+    """Choices of an item's n words of which one is whole in every copy with the share of equal words.
+
+    With s substitutions allowed, s of 2 s blocks are whole at least; of items too short for blocks, one choice of the
+    words that must be equal is.
+    """
+    need = max(1, -(-percent * n // 100))
+    s = n - need
+    if s and n >= 8 and n // (2 * s) >= 2:
+        edges = [k * n // (2 * s) for k in range(2 * s + 1)]
+        return [tuple(i for k in some for i in range(edges[k], edges[k + 1])) for some in combinations(range(2 * s), s)]
+    return list(combinations(range(n), need))
+
+
+def _masks(short: list[int], percent: int) -> tuple[list[tuple[int, ...]], dict[int, list[tuple[int, int]]]]:
+    """All masks, each beginning at 0, and for each short length its (mask number, place in the item)."""
+    masks, own = list(MASKS), {}
+    for n in short:
+        for m in short_masks(n, percent):
+            moved = tuple(i - m[0] for i in m)
+            if moved not in masks:
+                masks.append(moved)
+            own.setdefault(n, []).append((masks.index(moved), m[0]))
+    return masks, own
 
 
 SHORTEST = 1 + max(m[-1] for m in MASKS)
@@ -63,13 +96,16 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _item_seeds(short: list[int], percent: int):
+    masks, own = _masks(short, percent)
+
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = np.frombuffer(raw, np.uint64)
-                found = [(_spaced(h, m, i)[: 1 if n else None], i) for i, (n, m) in enumerate(_masks(short, percent)) if n in (0, h.size)]
+                got = list(_hashed(h, masks))
+                found = [(x, np.arange(x.size)) for x in got[: len(MASKS)]] + [(got[m][p : p + 1], np.array([p])) for m, p in own.get(h.size, [])]
                 values = np.concatenate([x for x, _ in found])
-                at = np.concatenate([np.arange(x.size) for x, _ in found])
+                at = np.concatenate([p for _, p in found])
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(values.size, kind, np.int64)), pa.array(at.astype(np.int32))], names=["seed", "item", "item_place"])
 
     return seeds
@@ -79,6 +115,8 @@ STRETCH = "doc_id long, text_key long, first int, words binary, hits array<struc
 
 
 def _stretches(short: list[int], percent: int, low: bytes, high: bytes, reach: int):
+    masks, _ = _masks(short, percent)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.frombuffer(low, np.uint64), np.frombuffer(high, np.uint64)
         for batch in batches:
@@ -86,8 +124,7 @@ def _stretches(short: list[int], percent: int, low: bytes, high: bytes, reach: i
                 w = Words(block, PLAIN)
                 h = w.hashes(lower=True)
                 values, at = [], []
-                for i, (_, m) in enumerate(_masks(short, percent)):
-                    v = _spaced(h, m, i)
+                for m, v in zip(masks, _hashed(h, masks)):
                     p = np.flatnonzero(in_bitmap(a, v))
                     p = p[in_bitmap(b, v[p] >> np.uint64(32))]
                     doc = np.searchsorted(w.of, p, "right") - 1
