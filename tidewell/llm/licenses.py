@@ -5,7 +5,10 @@ paragraphs and lines, and every run of as many bigrams as a template has, so a n
 template of n bigrams can only reach a coefficient of c with a stretch of c / (2 - c) * n to (2 - c) / c * n bigrams, so
 templates are sorted by size and a stretch meets only those within the bounds. A stretch that reaches c also holds
 c / (2 - c) * n of the template's bigrams, so one of any set of more than the rest: each template has such a set of
-telling bigrams with long words, and a text with none of a template's telling words isn't compared to it.
+telling bigrams with long words, and a text with none of a template's telling words isn't compared to it. Hashes of all
+words sort such texts out a block at a time, before a text is split in Python.
+
+A text may hold several licences: stretches are taken best first, and each further one must not overlap those taken.
 """
 
 from __future__ import annotations
@@ -15,12 +18,15 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from math import ceil
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import arrow_limits
+from .words import Words, blocks
 
 LEAST = 0.8
 
@@ -51,6 +57,35 @@ TEMPLATES = {
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 
+# Licence identifiers, and the names that short statements give them.
+NAMES = {
+    "MIT": ("MIT", "MIT License"),
+    "Apache-2.0": ("Apache-2.0", "Apache 2.0", "Apache License 2.0", "Apache License, Version 2.0"),
+    "GPL-2.0": ("GPL-2.0", "GPLv2", "GNU GPL v2", "GNU General Public License v2.0"),
+    "GPL-3.0": ("GPL-3.0", "GPLv3", "GNU GPL v3", "GNU General Public License v3.0"),
+    "LGPL-2.1": ("LGPL-2.1", "LGPLv2.1", "GNU Lesser General Public License v2.1"),
+    "LGPL-3.0": ("LGPL-3.0", "LGPLv3", "GNU Lesser General Public License v3.0"),
+    "AGPL-3.0": ("AGPL-3.0", "AGPLv3", "GNU Affero General Public License v3.0"),
+    "BSD-2-Clause": ("BSD-2-Clause", "BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD-3-Clause", "BSD 3-Clause License", "New BSD License"),
+    "ISC": ("ISC", "ISC License"),
+    "MPL-2.0": ("MPL-2.0", "MPL 2.0", "Mozilla Public License 2.0"),
+    "EPL-2.0": ("EPL-2.0", "Eclipse Public License 2.0"),
+    "Unlicense": ("Unlicense", "The Unlicense"),
+    "CC0-1.0": ("CC0-1.0", "CC0 1.0 Universal"),
+    "CC-BY-4.0": ("CC-BY-4.0", "CC BY 4.0"),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+}
+STATEMENTS = ("License: {}", "Licensed under {}", "Licensed under the {}", "Released under the {}", "Distributed under the {}")
+
+
+def statements() -> dict[str, str]:
+    """Templates of short statements: the identifier tags, and each way of naming each licence."""
+    tags = {f"{id}#tag{suffix}": f"SPDX-License-Identifier: {id}{suffix}" for id in NAMES for suffix in ("", "-only", "-or-later") if not suffix or "GPL" in id}
+    return tags | {f"{id}#{form.format(name)}": form.format(name) for id, names in NAMES.items() for name in names for form in STATEMENTS}
+
+
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
 
@@ -73,6 +108,22 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / both if both else 0.0
 
 
+#: Letters that Unicode lower-cases to ASCII ones.
+_TO_ASCII = ("\u212a".encode(), "\u0130".encode())
+_ASCII = np.zeros(256, bool)
+_ASCII[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+class Found(NamedTuple):
+    license: str
+    dice: float
+    first: int
+    words: int
+
+
+FOUND = "array<struct<license:string,dice:double,first:int,words:int>>"
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
@@ -85,6 +136,10 @@ class Scanner:
         for name in self.grams:
             for word in self.telling_words(name):
                 self.telling.setdefault(word, set()).add(name)
+        first = [w.split(".")[0] for w in self.telling]
+        self.every_text = not all(w.isascii() for w in first)
+        told = Words(pa.array([" ".join(first)]), _ASCII)
+        self.told = np.unique(told.hashes(lower=True))
 
     def telling_words(self, name: str) -> set[str]:
         """The longer words of bigrams that make up more of the template than a stretch may lack."""
@@ -97,6 +152,21 @@ class Scanner:
             n += times
         return out
 
+    def worth_scanning(self, block: pa.Array) -> np.ndarray:
+        """Which texts of a block may have a telling word: one of their runs of ASCII letters and digits is (the beginning
+        of) one, or Unicode's lower case might make one."""
+        if self.every_text or not self.told.size:
+            return np.full(len(block), self.every_text)
+        w = Words(block, _ASCII)
+        h = w.hashes(lower=True)
+        at = np.searchsorted(self.told, h).clip(max=self.told.size - 1)
+        sums = np.concatenate([[0], np.cumsum(self.told[at] == h)])
+        out = np.diff(sums[w.of]) > 0
+        data = w.data.tobytes()
+        if any(x in data for x in _TO_ASCII):
+            out |= [any(x in data[a:b] for x in _TO_ASCII) for a, b in zip(w.texts, w.texts[1:])]
+        return out
+
     def bounds(self, n: int) -> tuple[float, float]:
         """The template sizes that a stretch of n bigrams can reach the coefficient with."""
         return n * self.least / (2 - self.least), n * (2 - self.least) / self.least
@@ -105,65 +175,87 @@ class Scanner:
         low, high = self.bounds(n)
         return [name for _, name in self.by_size[bisect_left(self.sizes, low - 1e-9) : bisect_right(self.sizes, high + 1e-9)]]
 
-    def windows(self, grams: list[tuple[str, str]], name: str) -> tuple[int, int]:
-        """Most bigrams that a run of the template's size shares with it, and the size of that run.
-
-        A run that doesn't begin at one of the template's bigrams shares no more than the one that begins at the next,
-        so only those are looked at; the shared count is kept as bigrams enter and leave.
-        """
+    def runs(self, grams: list[tuple[str, str]], name: str) -> Iterator[tuple[int, int, int]]:
+        """(shared bigrams, place, size) of the runs of the template's size that begin at one of its bigrams and reach
+        the coefficient. The shared count is kept as bigrams enter and leave."""
         wanted, size = self.grams[name], self.total[name]
         hits = [i for i, g in enumerate(grams) if g in wanted]
-        inside, shared, best, end = Counter(), 0, (0, 1), 0
+        inside, shared, end = Counter(), 0, 0
         for i in hits:
             while end < len(hits) and hits[end] < i + size:
                 g = grams[hits[end]]
                 inside[g] += 1
                 shared += inside[g] <= wanted[g]
                 end += 1
-            best = max(best, (shared, -min(size, len(grams) - i)))
+            own = min(size, len(grams) - i)
+            if 2 * shared >= self.least * (size + own) - 1e-9:
+                yield shared, i, own
             shared -= inside[grams[i]] <= wanted[grams[i]]
             inside[grams[i]] -= 1
-        return best[0], abs(best[1])
 
-    def scan(self, text: str) -> tuple[str | None, float]:
-        """The licence whose template shares most bigrams with a stretch that reaches the coefficient, and the
-        coefficient; of equal ones the higher coefficient, then the first by name."""
+    def parts(self, text: str) -> Iterator[tuple[int, list[str]]]:
+        """First word and words of the whole text, its paragraphs and their lines."""
+        yield 0, normalised(text)
+        at = 0
+        for paragraph in text.split("\n\n"):
+            lines = [normalised(line) for line in paragraph.split("\n")]
+            yield at, [w for line in lines for w in line]
+            for line in lines:
+                yield at, line
+                at += len(line)
+
+    def scan(self, text: str) -> list[Found]:
+        """The licences of a text, best first: on the stretch that shares most bigrams with a template, of equal ones the
+        higher coefficient, then the first by name and place; then the best of the stretches that don't overlap it, and
+        so on."""
         words = normalised(text)
-        if self.telling.keys().isdisjoint(words):
-            return None, 0.0
         names = set().union(*(self.telling[w] for w in self.telling.keys() & set(words)))
-        found: list[tuple[int, float, str]] = []
+        if not names:
+            return []
+        found: set[tuple[int, float, str, int, int]] = set()
         grams = pairs(words)
         for name in names:
-            shared, size = self.windows(grams, name)
-            found.append((shared, 2 * shared / (self.total[name] + size), name))
-        for part in (text, *(p for piece in text.split("\n\n") for p in (piece, *piece.split("\n")))):
-            own = bigrams(words if part is text else normalised(part))
-            for name in self.candidates(own.total()):
-                if name in names:
-                    shared = (own & self.grams[name]).total()
-                    found.append((shared, 2 * shared / (own.total() + self.total[name]), name))
-        found = [f for f in found if f[1] >= self.least]
-        if not found:
-            return None, 0.0
-        _, d, name = min(found, key=lambda f: (-f[0], -f[1], f[2]))
-        return name.split("#")[0], d
+            for shared, at, size in self.runs(grams, name):
+                found.add((-shared, -2 * shared / (self.total[name] + size), name, at, size + (len(words) > 1)))
+        for first, part in self.parts(text):
+            near = [n for n in self.candidates(len(pairs(part))) if n in names]
+            own = bigrams(part) if near else None
+            for name in near:
+                shared = (own & self.grams[name]).total()
+                if 2 * shared >= self.least * (own.total() + self.total[name]) - 1e-9:
+                    found.add((-shared, -2 * shared / (own.total() + self.total[name]), name, first, len(part)))
+        out: list[Found] = []
+        taken: list[tuple[int, int]] = []
+        for _, d, name, first, n in sorted(found):
+            k = bisect_left(taken, (first, first))
+            if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or first + n <= taken[k][0]):
+                taken.insert(k, (first, first + n))
+                out.append(Found(name.split("#")[0], -d, first, n))
+        return out
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, license, dice: one row per input row; license is null and dice 0 where no template reaches ``least``.
+    """doc_id, license, dice, found: one row per input row; license is null and dice 0 where no template reaches ``least``.
 
-    license: of the template that shares most bigrams with a stretch of the text, of equal ones the one of the higher
-    coefficient, then the first by name; one for a text of several licences. Null and empty texts have none. Null keys and repeated rows are
-    rows like others. Empty input: no rows. Further columns aren't read.
+    found: license, dice, first word and number of words of each stretch, best first, none overlapping another; license
+    and dice: those of the best. Best: the stretch that shares most bigrams with a template, of equal ones that of the
+    higher coefficient, then the first template by name, then the first place. A template of several names (the part
+    before #) may be found several times. Null and empty texts have none. Null keys and repeated rows are rows like
+    others. Empty input: no rows. Further columns aren't read.
     """
     arrow_limits(docs.sparkSession)
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES | statements() if templates is None else templates
+    kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first", pa.int32()), ("words", pa.int32())]))
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(templates, least)
         for texts in batches:
-            got = [scanner.scan(t) if t else (None, 0.0) for t in texts.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([d for _, d in got], pa.float64())], names=["license", "dice"])
+            got: list[list[dict]] = [[] for _ in range(len(texts))]
+            for first, block in blocks(texts):
+                for k in np.flatnonzero(scanner.worth_scanning(block)).tolist():
+                    got[first + k] = [f._asdict() for f in scanner.scan(block[k].as_py() or "")]
+            yield pa.array(got, kind)
 
-    return docs.select(F.col(key).alias("doc_id"), F.arrow_udf(scan, "struct<license:string,dice:double>")(F.col(text)).alias("s")).select("doc_id", "s.license", "s.dice")
+    found = docs.select(F.col(key).alias("doc_id"), F.arrow_udf(scan, FOUND)(F.col(text)).alias("found"))
+    best = F.try_element_at("found", F.lit(1))
+    return found.select("doc_id", best["license"].alias("license"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"), "found")

@@ -54,7 +54,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = license_scan(load(spark, sf_dir, "documents"))
-    return got.select("doc_id", "license", F.round("dice", 6).alias("dice"))
+    return got.select("doc_id", "license", F.round("dice", 6).alias("dice"), F.sort_array(F.array_distinct("found.license")).alias("licenses"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
