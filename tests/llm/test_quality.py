@@ -71,6 +71,63 @@ def test_classifier_on_held_out_rows(spark):
     assert few.weights.shape == model.weights.shape
 
 
+def plain_fit(rows, grades, n_grades, n_features, l1, steps=30_000):
+    """The same objective by plain proximal gradient steps on dense rows: negative mean log likelihood plus L1."""
+    x = np.zeros((len(rows), n_features))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    share = np.array([(grades > k).mean() for k in range(n_grades - 1)])
+    w, t, step = np.zeros(n_features), np.log((1 - share) / share), 0.05
+
+    def probabilities(w, t):
+        upper = 1 / (1 + np.exp(t[None, :] - (x @ w)[:, None]))
+        upper = np.concatenate([np.ones((len(x), 1)), upper, np.zeros((len(x), 1))], axis=1)
+        return upper, upper[np.arange(len(x)), grades] - upper[np.arange(len(x)), grades + 1]
+
+    for _ in range(steps):
+        upper, mass = probabilities(w, t)
+        low, high = upper[np.arange(len(x)), grades], upper[np.arange(len(x)), grades + 1]
+        w = w - step * (x.T @ (low + high - 1)) / len(x)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        slope = upper * (1 - upper)
+        t = np.sort(t - step * np.array([(slope[:, k + 1] * ((grades == k + 1) / mass - (grades == k) / mass)).mean() for k in range(n_grades - 1)]))
+    return w, t, lambda w, t: -np.log(probabilities(w, t)[1]).mean() + l1 * np.abs(w).sum()
+
+
+def test_fit_against_a_plain_optimiser():
+    r = np.random.default_rng(8)
+    rows = [np.flatnonzero(r.random(12) < 0.3) for _ in range(150)]
+    true = r.normal(0, 1.5, 12) * (r.random(12) < 0.6)
+    scores = np.array([true[x].sum() for x in rows]) + r.logistic(0, 1, len(rows))
+    grades = (scores > -0.5).astype(int) + (scores > 1)
+    for l1 in (1e-3, 2e-2):
+        model = qc.fit(np.concatenate(rows), np.array([x.size for x in rows]), grades, 3, bits=4, l1=l1)
+        w, t, loss = plain_fit(rows, grades, 3, 12, l1)
+        assert loss(model.weights[:12], model.thresholds) <= loss(w, t) + 1e-4
+        assert np.abs(model.weights[:12] - w).max() < 0.05 and np.abs(model.thresholds - t).max() < 0.05
+
+
+def test_training_rows_are_spread_and_bounded(spark):
+    """Repeated documents beyond max_rows: equal rows count once, and the labelled rows' features lie in many files."""
+    rows = graded(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [rows[5][:2]] * 2000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int")
+    model = qc.train(docs, labels, 3, max_rows=300)
+    again = qc.train(docs.dropDuplicates(), labels, 3, max_rows=300)
+    assert np.allclose(model.weights, again.weights) and model.weights.any()
+    less = qc.train(docs, labels, 3, max_rows=100)
+    assert less.thresholds.size == 2
+
+
+def test_classifier_on_odd_texts(spark):
+    """One very long word, and 20,000 distinct words, in training and in grading."""
+    rows = graded(120) + [(500, "w" * 300_000, 0), (501, " ".join(f"u{i}" for i in range(20_000)), 2)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = qc.train(docs, spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int"), 3)
+    got = {r["doc_id"]: r["graded"] for r in qc.classify(docs, model, wanted=2).collect()}
+    assert len(got) == len(rows) and all(np.isfinite(g["score"]) for g in got.values())
+
+
 def test_classifier_edges(spark, docs, empty, pairs):
     model = qc.train(docs, spark.createDataFrame([], "doc_id long, grade int"), 3)
     assert not model.weights.any() and model.thresholds.size == 2

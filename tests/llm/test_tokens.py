@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewell.llm import token_counts as tc
 from tidewell.llm.bpe import codec, round_trip
@@ -43,6 +44,10 @@ def test_histogram(docs, pairs, empty):
         assert r["tokens_at_least"] == sum(v for v in n if v >= x) and r["truncated_tokens"] == sum(min(v, x) for v in n)
     for r in tc.at_limits(sums, [0, 5, 100, 10**6]).collect():
         assert (r["docs_over"], r["truncated_tokens"]) == (sum(v > r["context_limit"] for v in n), sum(min(v, r["context_limit"]) for v in n))
+    longest = sorted(n)
+    for r in tc.with_quantiles(sums, [1, 50, 90, 100]).collect():
+        at = {p for p in (1, 50, 90, 100) if longest[max(0, -(-len(n) * p // 100) - 1)] == r["n_tokens"]}
+        assert set(r["quantile_of"]) == at and r["context_share"] == round(sum(v <= r["n_tokens"] for v in n) / len(n), 6)
     for r in tc.length_quantiles(sums, [0, 50, 90, 100]).collect():
         assert r["n_tokens"] == sorted(n)[max(0, -(-len(n) * r["percent"] // 100) - 1)]
     assert tc.suffix_sums(tc.length_histogram(empty, BPE, PATTERN)).count() == 0
@@ -71,10 +76,19 @@ def test_words_give_the_library_s_ids(texts):
 def test_files(docs, pairs, empty, how):
     e = word_encoder(WORDS)
     got = token_files(docs, WORDS, end_id=2, **how).orderBy("start").collect()
-    order = sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, p[1] is not None, p[1] or ""))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = [(r["doc_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))]
     at = 0
     for r, (i, t) in zip(got, order, strict=True):
         ids = np.array([*e.library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, ids.size, zlib.crc32(ids.tobytes()))
         at += ids.size
     assert token_files(empty, WORDS, end_id=2).count() == 0
+
+
+def test_files_deal_a_hot_key_over_ranges(spark, tmp_path):
+    rows = [(None if i % 3 else i, f"text number {i % 50}") for i in range(900)]
+    out = str(tmp_path / "files")
+    token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, end_id=2, out=out, range_bytes=1000)
+    parts = spark.read.parquet(f"{out}/ids").select("part", F.explode("doc_ids").alias("id")).where("id is null").groupBy("part").count().collect()
+    assert sum(r["count"] for r in parts) == 600 and len(parts) > 3

@@ -23,6 +23,8 @@ from .base import arrow_limits, written
 from .words import PLAIN, Words, _mix, blocks, shingles
 
 BITS, MAX_ROWS, MIN_DOCS, MIN_Z, L1, STEPS = 20, 16384, 8, 5.0, 1e-4, 600
+#: Tasks that the labelled rows' features are made and counted in.
+FEATURE_TASKS = 48
 #: Beginnings of words that are features too, in bytes.
 PREFIX_BYTES = (5, 7)
 _SYMBOLS = {"symbols": b"#*$%&", "separators": b"|<>{}[]=/\\_~^", "digits": b"0123456789", "marks": b".,;:!?"}
@@ -146,8 +148,9 @@ def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int,
 def train(docs: DataFrame, labels: DataFrame, n_grades: int, max_rows: int = MAX_ROWS, text: str = "text", key: str = "doc_id", bits: int = BITS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, **how) -> Model:
     """Fits on labels (doc_id, grade from 0 to n_grades - 1), max_rows labelled rows at most, those of the least hashes.
 
-    Null and other grades, and ids without a document, don't count; of repeated labels or documents every pair is a row.
-    Features are counted on the executors; only those that tell come to the driver. No labels: see fit().
+    Null and other grades, and ids without a document, don't count; of repeated labels or documents every pair is a row,
+    but if that makes more than max_rows rows, equal rows count once and again those of the least hashes are taken.
+    Features are counted in FEATURE_TASKS tasks; only those that tell come to the driver. No labels: see fit().
     """
     arrow_limits(docs.sparkSession)
     grade, doc = F.col("grade").cast("int"), F.col("doc_id")
@@ -156,11 +159,20 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int, max_rows: int = MAX
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([x for x in features(batch.column(3), bits)], pa.list_(pa.int32()))], names=["id", "grade", "h", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x in features(batch.column(1), bits)], pa.list_(pa.int32()))], names=["grade", "x"])
 
     got = docs.select(F.col(key).alias("_k"), F.col(text).alias("_x")).join(F.broadcast(sample), F.col("_k") == F.col("_d"))
-    got = written(got.select(F.col("_d").cast("long").alias("id"), "_g", F.xxhash64("_x").alias("h"), "_x").mapInArrow(rows, "id long, grade int, h long, x array<int>"), "graded-features")
-    got = written(got.orderBy(F.xxhash64("id"), "id", "grade", "h").limit(max_rows).select("grade", "x"), "graded-rows")
+    got = got.select(F.col("_d").cast("long").alias("id"), F.col("_g").alias("grade"), "_x")
+    if got.select("id").count() > max_rows:  # only where documents or labels repeat
+        order = ["o", "id", "grade", "h"]
+        got = got.withColumns({"o": F.xxhash64("id"), "h": F.xxhash64("_x")})
+        beyond = got.select(*order).distinct().orderBy(*order).offset(max_rows).limit(1).first()
+        if beyond is not None:
+            got = got.where(F.struct(*order) < F.struct(*(F.lit(beyond[c]).cast(t) for c, t in zip(order, ("long", "long", "int", "long")))))
+        got = got.dropDuplicates(order)
+    # A bounded number of rows, in tasks of a few hundred.
+    got = got.repartition(FEATURE_TASKS, "id", F.xxhash64("_x")).select("grade", "_x")
+    got = written(got.mapInArrow(rows, "grade int, x array<int>"), "graded-features")
     n, mean, deviation = got.agg(F.count("*"), F.avg("grade"), F.stddev_pop("grade")).first()
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from .quality_classifier import classify, train
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
-from .token_counts import length_histogram, suffix_sums
+from .token_counts import length_histogram, suffix_sums, with_quantiles
 from .token_files import token_files
 
 
@@ -66,7 +66,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Written, since the sums read it more than once and it holds the encoding.
-    return suffix_sums(written(length_histogram(load(spark, sf_dir, "documents"), *byte_bpe()), "token-lengths"))
+    sums = suffix_sums(written(length_histogram(load(spark, sf_dir, "documents"), *byte_bpe()), "token-lengths"))
+    return with_quantiles(sums, [1, 5, 10, 25, 50, 75, 90, 95, 99, 100])
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,17 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     return sums.agg(F.array(*cut).alias("a")).select(F.inline("a"))
 
 
+def with_quantiles(sums: DataFrame, percents: list[int]) -> DataFrame:
+    """sums with quantile_of, the percents whose quantile the length is (ascending, mostly none), and context_share, the
+    share of documents that a context of the length holds whole, to 6 digits. Percents from 1 to 100."""
+    n = F.broadcast(sums.agg(F.max("docs_at_least").alias("_n")))  # one row
+    above, at_most = F.col("docs_at_least") - F.col("n_docs"), F.col("_n") - F.col("docs_at_least") + F.col("n_docs")
+    # The least length that so many percent don't exceed: they reach it, and don't reach the length before.
+    is_quantile = lambda p: (at_most * 100 >= F.col("_n") * p) & ((at_most - F.col("n_docs")) * 100 < F.col("_n") * p)
+    quantile_of = F.filter(F.array(*(F.when(is_quantile(p), F.lit(p)) for p in percents)), lambda p: p.isNotNull())
+    return sums.crossJoin(n).withColumns({"quantile_of": quantile_of, "context_share": F.round((F.col("_n") - above) / F.col("_n"), 6)}).drop("_n")
+
+
 def length_quantiles(sums: DataFrame, percents: list[int]) -> DataFrame:
     """percent, n_tokens: the least length that at least so many percent of the documents don't exceed; null without documents."""
     total = F.max("docs_at_least")

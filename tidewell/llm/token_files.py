@@ -199,13 +199,14 @@ def _chunks(path: str, end_id: int | None, bits: bool, chunk_ids: int):
 def write_token_files(docs: DataFrame, path: str, out: str, end_id: int | None = None, bits: bool = False, text: str = "text", key: str = "doc_id", range_bytes: int = RANGE_BYTES, chunk_ids: int = CHUNK_IDS) -> None:
     """Writes out/ids (the chunks) and out/index (part, chunk, start, n_ids, n_docs, n_bytes) for docs in ascending key order.
 
-    Null text: no ids but the end id. Null keys come first; rows with equal keys follow each other in the order of their
-    texts, null first. Empty input: both tables without rows. Further columns aren't read.
+    Null text: no ids but the end id. Null keys come first; rows with equal keys follow each other in the order of the
+    hashes of their texts. Empty input: both tables without rows. Further columns aren't read.
     """
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    dealt = rows.repartitionByRange(max(1, -(-size // range_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one key, or of none, are dealt over ranges as well: by the hash of their texts, equal texts by their row.
+    dealt = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(max(1, -(-size // range_bytes)), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     dealt.mapInArrow(_chunks(path, end_id, bits, chunk_ids), CHUNK).write.mode("overwrite").parquet(f"{out}/ids")
     chunks = docs.sparkSession.read.schema(CHUNK).parquet(f"{out}/ids").select("part", "chunk", "n_ids", F.size("doc_ids").alias("n_docs"), F.length("blob").alias("n_bytes"))
     running_start(chunks, "n_ids", "start", "part", ["chunk"]).select("part", "chunk", "start", "n_ids", "n_docs", "n_bytes").write.mode("overwrite").parquet(f"{out}/index")
