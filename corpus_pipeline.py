@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. A stage's result is written
 as Parquet and read back as the next stage's input. All but the last return the columns of documents.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, ids shared by several texts, no rows at
+all, and further columns of any name, which pass through unchanged.
 """
 
 from __future__ import annotations
@@ -19,18 +22,26 @@ from tidewell.llm.substring_dedup import substring_dedup
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are good more likely than not; the fit reads labelled documents of this input."""
+    """Documents that are good more likely than not; the fit reads labelled documents of this input.
+
+    A null text is graded as an empty one. Equal rows get equal grades. Without labels all rows stay, without good ones
+    none."""
     model = train(docs, grades(spark, sf_dir), n_grades=3)
     return classify(docs, model, wanted=2).where("graded.kept").select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that near-copy links (0.8 of five-word shingles) connect, the one of the smallest id."""
+    """Of each group of documents that near-copy links (0.8 of five-word shingles) connect, the one of the smallest id.
+
+    Texts without words are linked with nothing and stay. Of rows of one id the one whose text has the least hash; a null id comes last."""
     return near_copies_removed(docs, k=5, percent=80)
 
 
 def passages_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of passages that recur; a document that loses all its words goes."""
+    """Texts without the words of passages of 35 words or more that recur; a document that loses all its words goes.
+
+    A text that loses words has the others joined by one space, and n_chars counts again; other rows stay as they are,
+    null and empty texts too. Repeated rows are passages of each other, so all of them lose those words."""
     got = substring_dedup(docs)
     cut = F.col("dedup.n_removed") > 0
     got = got.where(~cut | (F.col("dedup.n_removed") < F.col("dedup.n_words")))
@@ -40,12 +51,16 @@ def passages_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with a benchmark item."""
+    """Documents without an overlap with a benchmark item.
+
+    Null and empty texts overlap nothing and stay; repeated rows share their fate; a null id is a row like others."""
     return decontaminate(docs, load(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether decoding the ids gives the text's bytes back."""
+    """doc_id, n_tokens, ids, and the SHA-256 digest of the bytes that decoding the ids gives.
+
+    One row for each row, null and repeated ids too; a null text has no ids."""
     got = round_trip(docs, *byte_bpe())
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
