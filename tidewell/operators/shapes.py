@@ -9,10 +9,21 @@ from pyspark.sql import Window as W
 from tidewell.functions.expr import amount_text, half_even, pace, percent_text, ratio
 
 
-def latest(df: DataFrame, order: str = "period") -> DataFrame:
-    """The rows of the latest period of all: entities that stopped before aren't in it."""
-    last = df.agg(F.max(order).alias("_last"))
-    return df.join(F.broadcast(last), F.col(order) == F.col("_last")).drop("_last")
+def latest(df: DataFrame, order: str = "period", by: list[str] | None = None) -> DataFrame:
+    """The rows of the latest period of all: entities that stopped before aren't in it.
+
+    by: columns that tell entities apart, of which each has one row a period. Then one pass does: each entity's latest
+    row by a combining aggregation, and the latest of those few. Without it every row of the period is wanted, and a
+    second aggregation finds the period.
+    """
+    if by is None:
+        last = df.agg(F.max(order).alias("_last"))
+        return df.join(F.broadcast(last), F.col(order) == F.col("_last")).drop("_last")
+    rest = [c for c in df.columns if c not in by]
+    own = df.where(F.col(order).isNotNull()).groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("r"))
+    own = own.select(*(c if c in by else F.col(f"r.{c}").alias(c) for c in df.columns))
+    # One row for each entity.
+    return own.withColumn("_last", F.max(order).over(W.partitionBy(F.lit(0)))).where(F.col(order) == F.col("_last")).drop("_last")
 
 
 def kpi(df: DataFrame, by: list[str], order: str = "period", value: str = "value") -> DataFrame:

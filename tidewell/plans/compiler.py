@@ -128,16 +128,10 @@ class Engine:
         return out
 
     def everything(self) -> DataFrame:
-        """All metrics, ratios and growth rates as one long table."""
-        out = self.every_metric().select(*STANDARD, "metric_id")
-        for one in [self.ratio(i) for i in catalog.RATIOS] + [self.growth(i) for i in catalog.GROWTH]:
-            out = out.unionByName(one.select(*STANDARD, "metric_id"))
-        return out
+        """All metrics, ratios and growth rates that can be computed as one long table, one scan per fact table."""
+        from tidewell.plans.bulk import bulk
 
-    @staticmethod
-    def ordered(df: DataFrame) -> DataFrame:
-        """In the order that reports list rows in; frames have none otherwise."""
-        return df.orderBy("year", "month", "bank_type_code")
+        return bulk(self)[0]
 
     def periods(self, table: str = "balance_sheet") -> DataFrame:
         return self.tables[table].select("year", "month").distinct().withColumn("period", month_start("year", "month"))

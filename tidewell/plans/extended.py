@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewell.functions.expr import ascii_like, guarded_ratio, half_even, has_text, ratio
-from tidewell.operators import timeseries
+from tidewell.operators import shapes, timeseries
 from tidewell.plans import catalog
 from tidewell.plans.catalog import Metric, Where
 from tidewell.plans.compiler import KEYS, Engine
@@ -251,59 +251,34 @@ PRESETS = {"1M": 1, "3M": 3, "6M": 6, "YTD": 0, "1Y": 12, "3Y": 36, "5Y": 60}
 
 
 def preset(df: DataFrame, name: str, period: str = "period") -> DataFrame:
-    """Rows from the range's first date, seen from the latest date of df, on; MAX: all. One window-free pass and a
-    one-row broadcast."""
+    """Rows from the range's first date, seen from the latest date of df, on; MAX: all.
+
+    One pass: df is a monthly or weekly result, of periods times entities, whose latest date one window finds.
+    """
     if name == "MAX":
         return df
-    last = df.agg(F.max(period).alias("_last"))
+    last = F.max(period).over(W.partitionBy(F.lit(0)))
     start = F.trunc("_last", "year") if name == "YTD" else F.add_months("_last", -PRESETS[name])
-    return df.join(F.broadcast(last.select(start.alias("_start"))), F.col(period) >= F.col("_start")).drop("_start")
+    return df.withColumn("_last", last).where(F.col(period) >= start).drop("_last")
 
 
-class Store(Extended):
-    """The 28 report frames as one long plan: metric_id and standard shape. Each fact table is aggregated once."""
+class Frames:
+    """Getters over report frames, wherever they come from: long() gives them as one table."""
 
-    #: Frame -> balance-sheet line and currency.
-    LEVELS = {
-        **{f"{m}{suffix}": (m, c) for m in ("total_assets", "total_loans", "total_deposits") for suffix, c in (("", "TOTAL"), ("_tl", "TL"), ("_fx", "FX"))},
-        **{m: (m, "TOTAL") for m in ("npl_amount", "total_equity", "total_liabilities")},
-    }
-    RATIOS = {"npl_ratio": ("npl_amount", "total_loans"), "ldr": ("total_loans", "total_deposits"), "equity_ratio": ("total_equity", "total_assets")}
-    SHARES = {"fx_loan_share": ("total_loans_fx", "total_loans"), "fx_deposit_share": ("total_deposits_fx", "total_deposits")}
-    GROWTH = {"total_loans": "loan_growth_yoy", "total_assets": "asset_growth_yoy", "total_deposits": "deposit_growth_yoy"}
     KPIS = {"total_assets": 1e6, "total_loans": 1e6, "total_deposits": 1e6, "total_equity": 1e6, "npl_ratio": 1.0, "ldr": 1.0, "equity_ratio": 1.0, "loan_growth_yoy": 1.0}
     COMPARED = ["total_assets", "total_loans", "npl_ratio", "ldr", "equity_ratio"]
 
-    def ids(self) -> list[str]:
-        return [*self.LEVELS, *TABLE_4, *self.RATIOS, *self.GROWTH.values(), *self.SHARES, "market_share"]
-
-    def long(self) -> DataFrame:
-        """Every frame. Shares are rounded to 2 digits, half to even; the market share needs the sector's row."""
-        wide = self.columns([(f, self.resolved(m), c) for f, (m, c) in self.LEVELS.items()])
-        sector = F.max(F.when((F.col("bank_type_code") == catalog.SECTOR) & (F.col("_total_assets") > 0), F.col("total_assets"))).over(W.partitionBy("year", "month"))
-        both = lambda a, b: (F.col(f"_{a}") > 0) & (F.col(f"_{b}") > 0)
-        cell = lambda name, v, there: F.struct(F.lit(name).alias("metric_id"), v.cast("double").alias("value"), there.alias("there"))
-        cells = [cell(f, F.col(f), F.col(f"_{f}") > 0) for f in self.LEVELS]
-        cells += [cell(r, ratio(a, b, 100), both(a, b)) for r, (a, b) in self.RATIOS.items()]
-        cells += [cell(s, half_even(ratio(a, b, 100)), both(a, b)) for s, (a, b) in self.SHARES.items()]
-        cells.append(cell("market_share", half_even(ratio("total_assets", "_sector", 100)), (F.col("_total_assets") > 0) & F.col("_sector").isNotNull()))
-        lag = F.array(*(F.lit(m) for m in self.GROWTH))
-        frames = self.shaped(wide.withColumn("_sector", sector).select(*KEYS, F.explode(F.array(*cells)).alias("c")).where("c.there").select(*KEYS, "c.metric_id", "c.value"))
-        names = F.create_map(*(F.lit(x) for kv in self.GROWTH.items() for x in kv))
-        base = frames.where(F.array_contains(lag, F.col("metric_id"))).withColumn("metric_id", F.element_at(names, F.col("metric_id")))
-        grown = timeseries.growth(base, 12, ["metric_id", "bank_type_code"], out="g").drop("value").withColumnRenamed("g", "value")
-        parts = self.shaped(self.cells(TABLE_4, "TOTAL", "metric_id"))
-        return frames.unionByName(grown).unionByName(parts)
+    def long(self, ids: Iterable[str] | None = None) -> DataFrame:
+        """metric_id and standard shape of the named frames, or of all."""
+        raise NotImplementedError
 
     def get(self, id: str) -> DataFrame:
         """One frame; an unknown id is an empty one."""
-        return self.long().where(F.col("metric_id") == id)
+        return self.long([id])
 
     def latest(self, id: str, code: str | None = None) -> DataFrame:
         """The rows of the frame's latest period of all entities, or one entity's of that period."""
-        df = self.get(id)
-        last = df.agg(F.max("period").alias("_last"))
-        out = df.join(F.broadcast(last), F.col("period") == F.col("_last")).drop("_last")
+        out = shapes.latest(self.get(id), by=["bank_type_code"])
         return out if code is None else out.where(F.col("bank_type_code") == code)
 
     comparison_of = latest
@@ -322,7 +297,7 @@ class Store(Extended):
     def kpis(self, code: str = catalog.SECTOR) -> DataFrame:
         """metric_id, period, value, change, change_percent of an entity's last two rows of each headline frame."""
         scale = F.create_map(*(F.lit(x) for kv in self.KPIS.items() for x in kv))
-        rows = self.long().where(F.col("metric_id").isin(*self.KPIS) & (F.col("bank_type_code") == code))
+        rows = self.long(self.KPIS).where(F.col("bank_type_code") == code)
         w = W.partitionBy("metric_id").orderBy("period")
         rows = rows.withColumn("value", F.col("value") / F.element_at(scale, F.col("metric_id")))
         got = rows.withColumns({"previous": F.lag("value").over(w), "_next": F.lead("period").over(w)}).where("_next is null")
@@ -331,7 +306,70 @@ class Store(Extended):
 
     def bank_comparison(self) -> DataFrame:
         """bank_type and a column for each compared frame: each frame's latest period."""
-        rows = self.long().where(F.col("metric_id").isin(*self.COMPARED))
+        rows = self.long(self.COMPARED)
         last = F.max("period").over(W.partitionBy("metric_id"))
         rows = rows.withColumn("_last", last).where(F.col("period") == F.col("_last"))
         return rows.groupBy("bank_type").agg(*(F.max(F.when(F.col("metric_id") == m, F.col("value"))).alias(m) for m in self.COMPARED))
+
+
+class Store(Frames, Extended):
+    """The 28 report frames as a plan over the facts: metric_id and standard shape. Each fact table is scanned once, and
+    not at all if none of the wanted frames needs it."""
+
+    #: Frame -> balance-sheet line and currency.
+    LEVELS = {
+        **{f"{m}{suffix}": (m, c) for m in ("total_assets", "total_loans", "total_deposits") for suffix, c in (("", "TOTAL"), ("_tl", "TL"), ("_fx", "FX"))},
+        **{m: (m, "TOTAL") for m in ("npl_amount", "total_equity", "total_liabilities")},
+    }
+    RATIOS = {"npl_ratio": ("npl_amount", "total_loans"), "ldr": ("total_loans", "total_deposits"), "equity_ratio": ("total_equity", "total_assets")}
+    SHARES = {"fx_loan_share": ("total_loans_fx", "total_loans"), "fx_deposit_share": ("total_deposits_fx", "total_deposits")}
+    GROWTH = {"loan_growth_yoy": ("total_loans", 12), "asset_growth_yoy": ("total_assets", 12), "deposit_growth_yoy": ("total_deposits", 12)}
+
+    def ids(self) -> list[str]:
+        return [*self.LEVELS, *TABLE_4, *self.RATIOS, *self.GROWTH, *self.SHARES, "market_share"]
+
+    def long(self, ids: Iterable[str] | None = None) -> DataFrame:
+        """The named frames, or all. Shares are rounded to 2 digits, half to even; the market share needs the sector's row."""
+        wanted = self.ids() if ids is None else [i for i in self.ids() if i in set(ids)]
+        parts = [p for p in (self._levels([i for i in wanted if i not in TABLE_4]), self._table_4([i for i in wanted if i in TABLE_4])) if p is not None]
+        if not parts:
+            return self.long(["total_assets"]).limit(0)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _table_4(self, ids: list[str]) -> DataFrame | None:
+        return self.shaped(self.cells({i: TABLE_4[i] for i in ids}, "TOTAL", "metric_id")) if ids else None
+
+    def _levels(self, ids: list[str]) -> DataFrame | None:
+        """Frames of the balance sheet: one wide aggregation, and growth rates by a window over its cells."""
+        both = self.RATIOS | self.SHARES
+        lines = list(dict.fromkeys(x for i in ids for x in ([i] if i in self.LEVELS else both[i] if i in both else [self.GROWTH[i][0]] if i in self.GROWTH else ["total_assets"])))
+        if not lines:
+            return None
+        wide = self.columns([(f, self.resolved(self.LEVELS[f][0]), self.LEVELS[f][1]) for f in lines])
+        if "market_share" in ids:
+            sector = F.when((F.col("bank_type_code") == catalog.SECTOR) & (F.col("_total_assets") > 0), F.col("total_assets"))
+            wide = wide.withColumn("_sector", F.max(sector).over(W.partitionBy("year", "month")))
+        there = lambda *fs: [F.col(f"_{f}") > 0 for f in fs]
+
+        def cell(i: str) -> Column:
+            lag = 0
+            if i in self.LEVELS:
+                v, has = F.col(i), there(i)
+            elif i in both:
+                v, has = ratio(*both[i], 100), there(*both[i])
+                v = half_even(v) if i in self.SHARES else v
+            elif i in self.GROWTH:
+                (base, lag) = self.GROWTH[i]
+                v, has = F.col(base), there(base)
+            else:
+                v, has = half_even(ratio("total_assets", "_sector", 100)), [*there("total_assets"), F.col("_sector").isNotNull()]
+            return F.struct(F.lit(i).alias("metric_id"), v.cast("double").alias("value"), F.lit(lag).alias("lag"), F.array_min(F.array(*has)).alias("there"))
+
+        long = wide.select(*KEYS, F.explode(F.array(*map(cell, ids))).alias("c")).where("c.there").select(*KEYS, "c.metric_id", "c.value", "c.lag")
+        lags = sorted({n for i, (_, n) in self.GROWTH.items() if i in ids})
+        if lags:
+            w = W.partitionBy("metric_id", "bank_type_code").orderBy("year", "month")
+            was = F.coalesce(*(F.when(F.col("lag") == n, F.lag("value", n).over(w)) for n in lags))
+            grown = ratio(F.col("value") - F.col("_was"), "_was", 100)
+            long = long.withColumn("_was", was).withColumn("value", F.when(F.col("lag") == 0, F.col("value")).otherwise(grown)).where("lag = 0 or value is not null")
+        return self.shaped(long.select(*KEYS, "value", "metric_id"))

@@ -101,7 +101,7 @@ def caption(template: str, values: DataFrame, keys: list[str]) -> DataFrame:
 
 def comparison_caption(df: DataFrame, name: str = "bank_type", period: str = "period", value: str = "value") -> DataFrame:
     """caption: who leads and who trails in the latest period, in percent; of equal ones the first by name."""
-    ends = shapes.leader_laggard(shapes.latest(df, period), [], name, value)
+    ends = shapes.leader_laggard(shapes.latest(df, period, by=[name]), [], name, value)
     return ends.select(F.concat("leader", F.lit(" leads at "), fixed_text("leader_value", 1), F.lit("%, "), "laggard", F.lit(" at "), fixed_text("laggard_value", 1), F.lit("%.")).alias("caption"))
 
 

@@ -274,7 +274,7 @@ def _(spark, sf):
 
 @query("latest_snapshot", "SELECT year, month, period, entity, value FROM m WHERE period = (SELECT max(period) FROM m)", "m")
 def _(spark, sf):
-    return shapes.latest(monthly(spark, sf).select(*STD))
+    return shapes.latest(monthly(spark, sf).select(*STD), by=BY)
 
 
 _KPI = "SELECT entity, period, value, previous, value - previous AS change, (value - previous) / nullif(abs(previous), 0) * 100 AS change_percent FROM (SELECT *, lag(value) OVER (PARTITION BY entity ORDER BY period) AS previous, row_number() OVER (PARTITION BY entity ORDER BY period DESC) AS n FROM m) WHERE n = 1"
@@ -292,7 +292,7 @@ def _(spark, sf):
 
 @query("comparison_pivot", "SELECT entity, value AS total_loans, npl AS npl_amount, fx AS fx_loans FROM m WHERE period = (SELECT max(period) FROM m)", "m")
 def _(spark, sf):
-    last = shapes.latest(monthly(spark, sf)).select("entity", F.col("value").alias("total_loans"), F.col("npl").alias("npl_amount"), F.col("fx").alias("fx_loans"))
+    last = shapes.latest(monthly(spark, sf), by=BY).select("entity", F.col("value").alias("total_loans"), F.col("npl").alias("npl_amount"), F.col("fx").alias("fx_loans"))
     names = ["total_loans", "npl_amount", "fx_loans"]
     return shapes.comparison(last.unpivot(["entity"], names, "metric_id", "value"), names)
 
@@ -477,14 +477,14 @@ def _(spark, sf):
 
 @query("corridor_width", "SELECT max(CASE WHEN label = 'purchase' THEN value END) - max(CASE WHEN label = 'click' THEN value END) AS width FROM d WHERE date = (SELECT max(date) FROM d WHERE label IN ('purchase', 'click'))", "d")
 def _(spark, sf):
-    ends = shapes.latest(daily(spark, sf).where("label in ('purchase', 'click')"), "date")
+    ends = shapes.latest(daily(spark, sf).where("label in ('purchase', 'click')"), "date", by=["label"])
     return ends.agg((F.max(F.when(F.col("label") == "purchase", F.col("value"))) - F.max(F.when(F.col("label") == "click", F.col("value")))).alias("width"))
 
 
 @query("stack_total_latest", "SELECT date, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM d WHERE value IS NOT NULL GROUP BY date QUALIFY date = max(date) OVER ()", "d")
 def _(spark, sf):
     total = daily(spark, sf).where("value is not null").groupBy("date").agg(F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("total"))
-    return shapes.latest(total, "date")
+    return shapes.latest(total, "date", by=[])
 
 
 @query("share_with_peak", "SELECT entity, max(v) AS peak, min(CASE WHEN v = hi THEN period END) AS peak_at FROM (SELECT *, max(v) OVER (PARTITION BY entity) AS hi FROM (SELECT entity, period, fx / value * 100 AS v FROM m WHERE fx IS NOT NULL)) GROUP BY 1", "m")

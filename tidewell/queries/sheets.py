@@ -16,6 +16,7 @@ from tidewell.plans import extended as X
 from tidewell.plans.compiler import Engine
 from tidewell.queries.core import _CTES, query, table
 from tidewell.sources import ingest, readers, writers
+from tidewell.sources.shared import scratch_path
 from tidewell.streaming import upsert as stream
 
 # Item names of the stand-ins by priority and status, by priority alone, and by quantity.
@@ -430,7 +431,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = table(spark, sf, "events")
     points = e.select(F.to_json(F.struct(F.col("ts").cast("date").alias("period_date"), F.col("event_type").alias("item_id"), F.lit("10001").alias("bank_type_code"), F.lit("TL").alias("currency"), "value", F.timestamp_seconds("event_id").alias("downloaded_at"))).alias("value"))
-    base = stream.scratch(spark, "replay")
+    base = scratch_path(spark, "replay")
     points.write.text(f"{base}/in")
     for _ in range(2):  # the second run finds nothing new
         stream.merge_files(spark, f"{base}/in", f"{base}/out", f"{base}/log")

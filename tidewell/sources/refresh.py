@@ -1,4 +1,4 @@
-"""Update runs: fetched answers merged into stored fact tables, one version of a table after the other."""
+"""Update runs: fetched answers merged into stored fact tables, month by month."""
 
 from __future__ import annotations
 
@@ -10,45 +10,40 @@ from pyspark.sql import functions as F
 from tidewell.sources import requests, writers
 from tidewell.sources.ingest import compacted, newest, sane, upsert, weekly_anchors
 from tidewell.sources.readers import weekly_points
+from tidewell.sources.versions import Parts, month_part, year_month_part
 
 WEEKLY_KEYS = ["period_date", "item_id", "bank_type_code", "currency"]
 
 
-def _versions(spark: SparkSession, folder: str, table: str) -> list[int]:
-    """The finished versions of a table, oldest first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{table}")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    found = [f.getPath() for f in files.listStatus(path)]
-    done = [p for p in found if p.getName().startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName()[2:]) for p in done)
+def parts_of(spark: SparkSession, folder: str, table: str) -> Parts:
+    """A fact table below folder: its parts are months."""
+    return Parts(spark, f"{folder.rstrip('/')}/{table}", month_part() if table == "weekly_series" else year_month_part())
 
 
 def stored(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
     """A table's newest version, None if it has none."""
-    versions = _versions(spark, folder, table)
-    return spark.read.parquet(f"{folder.rstrip('/')}/{table}/v={versions[-1]}") if versions else None
+    return parts_of(spark, folder, table).read()
 
 
-def store(df: DataFrame, folder: str, table: str) -> None:
-    """A new version beside the older ones, which readers may still have open; one that breaks off doesn't count."""
-    versions = _versions(df.sparkSession, folder, table)
-    df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{table}/v={versions[-1] + 1 if versions else 1}")
+def merge_monthly(answers: DataFrame, folder: str, at: datetime) -> dict[str, list[str]]:
+    """Merges fetched monthly answers into the fact tables below folder: table -> months written, for tables that have
+    answers. Only those months are read and written; loading the same answers again changes nothing.
 
-
-def merge_monthly(answers: DataFrame, folder: str, at: datetime) -> list[str]:
-    """Merges fetched monthly answers into the fact tables below folder, and writes those that the answers touch. Loading
-    the same answers again changes nothing but other_data, which is appended to. Write the answers first: they are read
-    once for each table."""
+    Write the answers first: they are read once for their months and once for each table that has some.
+    """
     spark, good = answers.sparkSession, answers.where(F.col("error").isNull())
-    touched = []
+    asked = good.select("table_number", "year", "month").distinct().collect()  # a row for each month and table number
+    number_of = {n: table for table, numbers in writers.TABLES.items() for n in numbers}
+    months: dict[str, set[str]] = {}
+    for r in asked:
+        months.setdefault(number_of.get(r["table_number"], "other_data"), set()).add(f"{r['year']:04d}-{r['month']:02d}")
+    written = {}
     for table, batch in writers.routed(good).items():
-        batch = batch.withColumn("downloaded_at", F.lit(at))
-        if not batch.isEmpty():
-            store(writers.merged(stored(spark, folder, table), batch, table, "downloaded_at"), folder, table)
-            touched.append(table)
-    return touched
+        if table in months:
+            parts = parts_of(spark, folder, table)
+            old = parts.read(months[table])
+            written[table] = parts.replace(writers.merged(old, batch.withColumn("downloaded_at", F.lit(at)), table, "downloaded_at"), months[table])
+    return written
 
 
 def weekly_rows(answers: DataFrame) -> DataFrame:
@@ -56,9 +51,12 @@ def weekly_rows(answers: DataFrame) -> DataFrame:
     return sane(weekly_points(answers.where(F.col("error").isNull()).select("item_id", "category", "bank_type_code", "currency", "response_json")))
 
 
-def merge_weekly(answers: DataFrame, folder: str, at: datetime) -> None:
-    batch = newest(weekly_rows(answers).withColumn("downloaded_at", F.lit(at)), WEEKLY_KEYS, "downloaded_at")
-    store(upsert(stored(answers.sparkSession, folder, "weekly_series"), batch, WEEKLY_KEYS, "downloaded_at"), folder, "weekly_series")
+def merge_weekly(answers: DataFrame, folder: str, at: datetime) -> list[str]:
+    """Merges weekly answers into weekly_series; the months written. Other months are neither read nor written."""
+    parts = parts_of(answers.sparkSession, folder, "weekly_series")
+    batch = parts.held(newest(weekly_rows(answers).withColumn("downloaded_at", F.lit(at)), WEEKLY_KEYS, "downloaded_at"))
+    months = parts.names(batch)
+    return parts.replace(upsert(parts.read(months), batch, WEEKLY_KEYS, "downloaded_at"), months) if months else []
 
 
 def weekly_update(have: DataFrame | None, today: date, url: str, items: list[tuple[str, str]], tasks: int, get=requests.opened, spark: SparkSession | None = None, first: str = "2020-01-01") -> DataFrame:

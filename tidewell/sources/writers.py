@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewell.functions.expr import first_truthy
 from tidewell.sources.ingest import newest, upsert
@@ -115,7 +116,11 @@ def routed(raw: DataFrame, body: str = "response_json") -> dict[str, DataFrame]:
 
 
 def merged(target: DataFrame | None, batch: DataFrame, table: str, at: str) -> DataFrame:
-    """The fact table after a batch, the newest row of each key by ``at``; other_data is appended to."""
+    """The fact table after a batch, the newest row of each key by ``at``. other_data has no key: there all rows of the
+    newest answer of each table, month, currency and entity stay, so a task that is run again doesn't double them."""
     if table == "other_data":
-        return batch if target is None else target.unionByName(batch)
+        both = batch.withColumn("_later", F.lit(1))
+        both = both if target is None else target.withColumn("_later", F.lit(0)).unionByName(both)
+        own = F.struct(at, "_later")
+        return both.withColumn("_newest", F.max(own).over(W.partitionBy("table_number", *PERIOD))).where(own == F.col("_newest")).drop("_later", "_newest")
     return upsert(target, newest(batch, KEYS[table], at), KEYS[table], at)

@@ -2,64 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.sources.ingest import newest, sane, upsert
+from tidewell.sources.versions import Parts, month_part
 
 POINT = T.StructType([T.StructField("period_date", T.DateType()), T.StructField("item_id", T.StringType()), T.StructField("bank_type_code", T.StringType()), T.StructField("currency", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("downloaded_at", T.TimestampType())])
 KEYS = ["period_date", "item_id", "bank_type_code", "currency"]
-#: As stored: v is the version, month the part that a version rewrites.
-STORED = T.StructType([*POINT, T.StructField("v", T.LongType()), T.StructField("month", T.StringType())])
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; with none set, a local one, for a local master only."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tidewell-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _parts(spark: SparkSession, target: str) -> Parts:
+    return Parts(spark, target, month_part())
 
 
-def merge_files(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
+def merge_files(spark: SparkSession, source: str, target: str, checkpoint: str, keep: int | None = None) -> None:
     """Reads all new files below source and merges them into target; running again without new files changes nothing.
 
-    A batch writes the months that it has points of, and only those, as target/v=<batch id + 1>/month=..., from the latest
-    version of each before it; a batch that is run again after a lost driver writes the same version. current() reads each
-    month's newest version.
+    A batch reads and writes the months that it has points of, and only those, and publishes them at once with its number,
+    so a batch that is run again after a lost driver finds itself done. keep: versions that stay for readers; None: all.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = newest(sane(batch), KEYS, "downloaded_at").withColumn("month", F.date_format("period_date", "yyyy-MM")).persist()
+        query, parts = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), _parts(spark, target)
+        done = parts.manifest()["mark"]
+        if done and done[0] == query and number <= done[1]:
+            return
+        new = newest(sane(batch), KEYS, "downloaded_at").persist()
         try:
-            months = [r["month"] for r in new.select("month").distinct().collect()]  # a name for each month of the batch
-            old = current(spark, target, months, number) if number else None
-            merged = upsert(None if old is None else old.withColumn("month", F.date_format("period_date", "yyyy-MM")), new, KEYS, "downloaded_at")
-            merged.repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{target}/v={number + 1}")
+            months = parts.names(new)
+            if months:
+                parts.replace(upsert(parts.read(months), new, KEYS, "downloaded_at"), months, mark=[query, number])
         finally:
             new.unpersist()
+        if keep is not None:
+            parts.drop_unread(keep)
 
     lines = spark.readStream.schema("value string").text(source)
     points = lines.select(F.from_json("value", POINT).alias("p")).select("p.*").where("period_date is not null")
     points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def current(spark: SparkSession, target: str, months: list[str] | None = None, upto: int | None = None) -> DataFrame:
-    """The newest version of every month, or of the named ones, of versions up to ``upto``. Versions and months are folder
-    names, so other months' files aren't read."""
-    t = spark.read.schema(STORED).parquet(target)
-    if months is not None:
-        t = t.where(F.col("month").isin(*months))
-    if upto is not None:
-        t = t.where(F.col("v") <= upto)
-    newest_of = t.groupBy("month").agg(F.max("v").alias("v"))
-    return t.join(F.broadcast(newest_of), ["month", "v"]).select(*POINT.names)
+def current(spark: SparkSession, target: str, months: list[str] | None = None) -> DataFrame:
+    """The newest version of all months, or of the named ones; other months' files aren't read."""
+    return _parts(spark, target).read(months, schema=POINT)
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", late: str = "1 hour", every: str = "1 day") -> DataFrame:
