@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidewell.queries import core, sheets  # noqa: F401 - sheets adds its queries to core's
+from tidewell.queries import core, sections, sheets  # noqa: F401 - sheets and sections add their queries to core's
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -80,8 +80,3 @@ def growth_caption(df: DataFrame, by: list[str], order: str = "period", value: s
 def level_caption(df: DataFrame, by: list[str], order: str = "period", value: str = "value") -> DataFrame:
     k = kpi(df, by, order, value).where(F.col("previous").isNotNull())
     return k.select(*by, F.concat(amount_text(F.col(value) / 1e6), F.lit(" in "), F.date_format(order, "yyyy-MM")).alias("caption"))
-
-
-def charted(df: DataFrame, x: str = "period", y: str = "value", series: str | None = None) -> DataFrame:
-    """x, y and series, the names that chart code takes."""
-    return df.select(F.col(x).alias("x"), F.col(y).alias("y"), (F.col(series) if series else F.lit(None).cast("string")).alias("series"))

@@ -57,6 +57,9 @@ CET1 = (12, "Çekirdek Sermaye Yeterliliği Rasyosu%")
 INTEREST, REVENUE, TRADING, FEES = 24, (24, 34, 50), (46, 47), (27, 31)
 #: Parts of the return on equity and their income lines.
 ROE = {"NII": (24,), "Fees": (27, 31), "Trading": (46,), "Other NII": (30, 32, 33, 47, 48, 49), "OPEX": (35, 42, 43, 44), "Provisions": (25, 36, 38, 39, 40), "Other/tax": (52,)}
+#: Parts of the interest margin and their income lines; all interest income; the published yield on earning assets.
+NIM = {"Loans": (1, 6), "Securities": (9, 10, 11), "Banks/MM": (7, 8, 12, 13, 14), "Deposits": (16,), "Debt issued": (17, 18, 19, 20, 21, 22)}
+INTEREST_INCOME, EARNING_YIELD = 15, "Toplam Faiz Gelirleri / Faiz Getirili Aktifler Ortalaması%"
 CREDIT, EQUITY = "%Krediler%", "%TOPLAM ÖZKAYN%"
 WEEKLY_13W = {
     "total_loans": "Toplam Krediler (2+10)",
@@ -241,6 +244,48 @@ class Extended(Engine):
         return ranked.unionByName(total)
 
 
+    def margin_components(self) -> DataFrame:
+        """label and standard shape: each part of the interest margin in percent of average earning assets.
+
+        The average isn't published; the published yield, interest income over it, gives it back: income of the year so
+        far times 12 / month over the yield. "Other income" is what the named parts leave of interest income, so that
+        Loans, Securities, Banks/MM and Other income add up to the published yield; "Margin" is the sum of all parts that
+        are there. Months without interest income, a positive yield, or with a yield given twice have no row. One scan of
+        the income lines and one of the ratios.
+        """
+        lines = [INTEREST_INCOME, *(o for orders in NIM.values() for o in orders)]
+        rates = self._rows("financial_ratios").where((F.col("table_number") == 15) & ascii_like("item_name", EARNING_YIELD))
+        rates = rates.groupBy(*KEYS).agg(F.max("ratio_value").cast("double").alias("_yield"), F.count("*").alias("_times")).where("_times = 1 and _yield > 0")
+        wide = self._lines(lines).where(F.col(f"n{INTEREST_INCOME}") > 0).join(rates, KEYS)
+        year = lambda c: c.cast("double") * F.lit(12.0) / F.col("month")
+        wide = wide.withColumn("_assets", guarded_ratio(year(F.col(f"v{INTEREST_INCOME}")), "_yield", 100)).where("_assets > 0")
+        total = lambda orders: sum((F.coalesce(F.col(f"v{o}").cast("double"), F.lit(0.0)) for o in orders), F.lit(0.0))
+        some = lambda orders: sum((F.coalesce(F.col(f"n{o}"), F.lit(0)) for o in orders), F.lit(0)) > 0
+        share = lambda amount: ratio(year(amount), "_assets", 100)
+        income = [o for label in ("Loans", "Securities", "Banks/MM") for o in NIM[label]]
+        costs = [o for label in ("Deposits", "Debt issued") for o in NIM[label]]
+        cells = [F.struct(F.lit(label).alias("label"), F.when(some(orders), share(total(orders))).alias("value")) for label, orders in NIM.items()]
+        cells.append(F.struct(F.lit("Other income").alias("label"), share(F.col(f"v{INTEREST_INCOME}").cast("double") - total(income)).alias("value")))
+        cells.append(F.struct(F.lit("Margin").alias("label"), share(F.col(f"v{INTEREST_INCOME}").cast("double") + total(costs)).alias("value")))
+        long = wide.select(*KEYS, F.explode(F.array(*cells)).alias("c")).select(*KEYS, "c.label", "c.value").where("value is not null")
+        return self.shaped(long)
+
+    def real_rate(self, expected_rate: DataFrame, expected_inflation: DataFrame) -> DataFrame:
+        """date, value: (1 + expected policy rate) / (1 + expected inflation) - 1 in percent, for the dates of both
+        (date, value in percent)."""
+        both = expected_rate.select("date", F.col("value").alias("_r")).join(expected_inflation.select("date", F.col("value").alias("_p")), "date")
+        return both.select("date", ((F.lit(1.0) + F.col("_r") / 100) / (F.lit(1.0) + F.col("_p") / 100) - 1).alias("_x")).select("date", (F.col("_x") * 100).alias("value")).where("value is not null")
+
+    def return_and_inflation(self, prices: DataFrame) -> DataFrame:
+        """period, series, value: the published return on equity, annualised, of each entity (series: its name), and the
+        mean of the last 12 yearly price changes (series: CPI 12m avg) from a monthly index (period, value)."""
+        roe = timeseries.annualised_ytd(self.published({"roe": PUBLISHED["roe_ytd"]})).select("period", F.col("bank_type").alias("series"), "value")
+        w = W.partitionBy(F.lit(0)).orderBy("period")  # a row for each month of one index
+        yearly = prices.withColumn("value", (ratio("value", F.lag("value", 12).over(w)) - 1) * 100).where("value is not null").withColumn("series", F.lit("CPI 12m avg"))
+        mean = timeseries.rolling_mean(yearly, 12, 12, ["series"]).where("mean is not null").select("period", "series", F.col("mean").alias("value"))
+        return roe.unionByName(mean)
+
+
 def filter_from(df: DataFrame, start: str, period: str = "period") -> DataFrame:
     """Rows from a month ('2024-01') or a day on; reaches the scan as a filter."""
     return df.where(F.col(period) >= F.lit(f"{start}-01" if len(start) == 7 else start).cast("date"))

@@ -119,6 +119,24 @@ def narrative(df: DataFrame, subject: str, digits: int = 1, code: str = catalog.
     return k.select(F.concat(F.lit(f"{subject} at "), fixed_text("value", digits), F.lit("% in "), F.date_format("period", "yyyy-MM"), F.lit(" ("), basis_points_text(F.coalesce("change", F.lit(0.0))), F.lit(" MoM).")).alias("sentence"))
 
 
+def narrative_of_two(df: DataFrame, other: DataFrame, subject: str, second: str, digits: int = 1, second_digits: int = 1, code: str = catalog.SECTOR) -> DataFrame:
+    """sentence: as narrative, and where a second ratio stands, if it has a value that isn't 0."""
+    one = narrative(df, subject, digits, code)
+    own = other.where((F.col("bank_type_code") == code) & F.col("value").isNotNull())
+    last = own.agg(F.max_by("value", "period").alias("_v"))  # one row
+    more = F.when(F.col("_v") != 0, F.concat(F.lit(f" {second} "), fixed_text("_v", second_digits), F.lit("%."))).otherwise(F.lit(""))
+    return one.crossJoin(F.broadcast(last)).select(F.concat("sentence", F.coalesce(more, F.lit(""))).alias("sentence"))
+
+
+def balance_caption(df: DataFrame, providing: str = "providing net funding", absorbing: str = "net sterilization", date: str = "date", value: str = "value") -> DataFrame:
+    """caption: a signed series' last value with its sign and what that means, and its largest and least value."""
+    rows = df.where(F.col(value).isNotNull())
+    a = rows.agg(F.max_by(value, date).alias("now"), F.max(date).alias("at"), F.max(value).alias("most"), F.min(value).alias("least")).where("at is not null")
+    signed = lambda c: F.concat(F.when(F.col(c) >= 0, F.lit("+")).otherwise(F.lit("")), fixed_text(c, 0, grouped=True))
+    what = F.when(F.col("now") > 0, providing).when(F.col("now") < 0, absorbing).otherwise("balanced")
+    return a.select(F.concat(F.lit("Latest "), signed("now"), F.lit(" ("), F.date_format("at", "yyyy-MM-dd"), F.lit("), "), what, F.lit(". Peak "), signed("most"), F.lit("; trough "), signed("least"), F.lit(".")).alias("caption"))
+
+
 def four_week_caption(df: DataFrame, subject: str, date: str = "period_date", value: str = "value") -> DataFrame:
     """caption: a weekly series' last value and its change against four rows before; no row with fewer than five."""
     w = W.orderBy(F.desc(date))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from tidewell.functions import expr as E
 from tidewell.plans import catalog, panels
 from tidewell.plans import extended as X
+from tidewell.plans.bulk import Definitions, bulk
 from tidewell.plans.compiler import Engine
+from tidewell.plans.kept import KeptStore
 from tidewell.queries.core import _CTES, query, table
 from tidewell.sources import ingest, readers, writers
 from tidewell.sources.shared import scratch_path
@@ -337,41 +339,96 @@ def _(spark, sf):
     return _shown(engine(spark, sf).long(), "metric_id")
 
 
+_KEPT: dict[tuple[str, str], KeptStore] = {}
+
+
+def kept(spark, sf) -> KeptStore:
+    """The frames of the given tables, computed once for a session and then read from where they are kept."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _KEPT:
+        store = KeptStore(spark, scratch_path(spark, "kept"))
+        store.build(engine(spark, sf))
+        _KEPT[key] = store
+    return _KEPT[key]
+
+
+@query("kept_frames", _STORE, *_ALL)
+def _(spark, sf):
+    return _shown(kept(spark, sf).long(), "metric_id")
+
+
+_REVISED = ("1995", "3"), ("1997", "12")
+_CTES["bs_revised"] = "bs AS (SELECT year, month, bank_type_code, item_name, amount_tl * f AS amount_tl, amount_fx * f AS amount_fx, amount_total * f AS amount_total FROM (SELECT *, CASE WHEN " + " OR ".join(f"year = {y} AND month = {m}" for y, m in _REVISED) + " THEN 2 ELSE 1 END AS f FROM bs0) WHERE NOT (year = 1996 AND month = 7))"
+_CTES["bs0"] = _CTES["bs"].replace("bs AS (", "bs0 AS (", 1)
+
+
+@query("kept_frames_revised", _STORE, "names", "o", "bs0", "bs_revised", "dp", "ln", "lo")
+def _(spark, sf):
+    """The kept frames after a revision of two months and the loss of a third: only what these reach is computed again."""
+    store = KeptStore(spark, scratch_path(spark, "kept-revised"))
+    before = engine(spark, sf)
+    store.build(before)
+    bs = before.tables["balance_sheet"].where("not (year = 1996 and month = 7)")
+    times = F.when(F.expr(" or ".join(f"year = {y} and month = {m}" for y, m in _REVISED)), 2).otherwise(1)
+    bs = bs.withColumns({c: F.col(c) * times for c in ("amount_tl", "amount_fx", "amount_total")})
+    store.revise(X.Store(before.tables | {"balance_sheet": bs}), [*((int(y), int(m)) for y, m in _REVISED), (1996, 7)])
+    return _shown(store.long(), "metric_id")
+
+
+_WITH_FAULTS = Definitions(
+    metrics=catalog.METRICS | {"bad_column": catalog.Metric("bad_column", "", "assets", "balance_sheet", catalog.Where(("%",)), {"TOTAL": ("amount_eur",)})},
+    ratios=catalog.RATIOS | {"bad_operand": catalog.Ratio("bad_operand", "", "assets", "bad_column", "total_assets"), "bad_loop": catalog.Ratio("bad_loop", "", "assets", "bad_loop", "total_assets")},
+)
+
+
+@query("bulk_despite_faults", f"SELECT * FROM ({_EVERY})", *_ALL)
+def _(spark, sf):
+    return _shown(bulk(engine(spark, sf), _WITH_FAULTS)[0], "metric_id")
+
+
 @query("store_latest", f"SELECT * FROM (WITH s AS ({_STORE}) SELECT metric_id, period, bank_type_code, bank_type, value FROM s WHERE metric_id = 'ldr' AND period = (SELECT max(period) FROM s WHERE metric_id = 'ldr'))", *_ALL)
 def _(spark, sf):
-    return _shown(engine(spark, sf).latest("ldr"), "metric_id")
+    return _shown(kept(spark, sf).latest("ldr"), "metric_id")
 
 
 @query("store_period_range", "SELECT min(make_date(year, month, 1)) AS first_period, max(make_date(year, month, 1)) AS last_period FROM bs WHERE item_name ILIKE '%TOPLAM AKT%'", *_BS)
 def _(spark, sf):
-    return engine(spark, sf).period_range()
+    return kept(spark, sf).period_range()
 
 
 @query("store_kpis", f"SELECT * FROM (WITH s AS ({_STORE}), k AS (SELECT metric_id, period, value / CASE WHEN metric_id LIKE 'total%' THEN 1e6 ELSE 1 END AS value FROM s WHERE bank_type_code = '10001' AND metric_id IN ('total_assets', 'total_loans', 'total_deposits', 'total_equity', 'npl_ratio', 'ldr', 'equity_ratio', 'loan_growth_yoy')), l AS (SELECT *, lag(value) OVER w AS p, row_number() OVER (PARTITION BY metric_id ORDER BY period DESC) AS n FROM k WINDOW w AS (PARTITION BY metric_id ORDER BY period)) SELECT metric_id, period, round(value, 6) AS value, round(value - p, 6) AS change, round((value - p) / nullif(abs(p), 0) * 100, 6) AS change_percent FROM l WHERE n = 1)", *_ALL)
 def _(spark, sf):
-    return engine(spark, sf).kpis().select("metric_id", "period", *(F.round(c, 6).alias(c) for c in ("value", "change", "change_percent")))
+    return kept(spark, sf).kpis().select("metric_id", "period", *(F.round(c, 6).alias(c) for c in ("value", "change", "change_percent")))
 
 
 @query("store_comparison", f"SELECT * FROM (WITH s AS ({_STORE}), l AS (SELECT *, max(period) OVER (PARTITION BY metric_id) AS m FROM s WHERE metric_id IN ('total_assets', 'total_loans', 'npl_ratio', 'ldr', 'equity_ratio')) SELECT bank_type, " + ", ".join(f"max(CASE WHEN metric_id = '{m}' THEN value END) AS {m}" for m in ("total_assets", "total_loans", "npl_ratio", "ldr", "equity_ratio")) + " FROM l WHERE period = m GROUP BY 1)", *_ALL)
 def _(spark, sf):
-    return engine(spark, sf).bank_comparison()
+    return kept(spark, sf).bank_comparison()
 
 
 # Writers: responses made of the test tables, parsed back into typed rows.
 
 
-def _response(df: DataFrame, keys: list[str], cells: dict[str, Column], table_number: Column) -> DataFrame:
-    """One response per keys: a row per row of df, cells in the order given."""
+#: Rows of a response, as a server pages them.
+PAGE_ROWS = 500
+
+
+def _response(df: DataFrame, keys: list[str], cells: dict[str, Column], table_number: Column, by: str) -> DataFrame:
+    """Responses of about PAGE_ROWS rows for each of keys, a row per row of df, cells in the order given. Rows are dealt
+    to pages by the hash of a key of theirs, so that a month of any size is many bounded texts."""
     model = F.array(*(F.struct(F.lit(c).alias("name")) for c in cells))
     row = F.struct(F.array(*(v.cast("string") for v in cells.values())).alias("cell"))
     body = F.to_json(F.struct(F.struct(F.first(model).alias("colModels"), F.first(F.array(*map(F.lit, cells))).alias("colNames"), F.struct(F.collect_list(row).alias("rows")).alias("data")).alias("Json")))
-    return df.withColumn("table_number", table_number).groupBy("table_number", *keys).agg(body.alias("response_json"))
+    df = df.withColumn("table_number", table_number)
+    pages = df.groupBy("table_number", *keys).agg(F.ceil(F.count("*") / PAGE_ROWS).alias("_pages"))
+    df = df.join(pages, ["table_number", *keys]).withColumn("_page", F.pmod(F.xxhash64(by), F.col("_pages")))
+    return df.groupBy("table_number", *keys, "_page").agg(body.alias("response_json")).drop("_page")
 
 
 def _raw(spark, sf, name: str, month: Column, cells: dict[str, Column], table_number: int) -> DataFrame:
     df = table(spark, sf, name).withColumns({"year": F.year(month), "month": F.month(month), "currency": F.lit("TL"), "bank_type_code": F.lit("10001")})
     head = {"BankaAdi": F.lit("Sector"), "BasitSira": cells.pop("BasitSira"), "Ad": cells.pop("Ad"), "BasitFont": cells.pop("BasitFont")}
-    return _response(df, ["year", "month", "currency", "bank_type_code"], head | cells, F.lit(table_number))
+    return _response(df, ["year", "month", "currency", "bank_type_code"], head | cells, F.lit(table_number), "o_orderkey" if name == "orders" else "l_orderkey")
 
 
 def _order_cells(**cells: Column) -> dict[str, Column]:
@@ -420,7 +477,9 @@ def _(spark, sf):
 def _(spark, sf):
     day = F.concat(F.day("l_shipdate").cast("string"), F.date_format("l_shipdate", ".MM.yyyy"))
     body = F.to_json(F.struct(F.concat(F.lit("Toplam "), "l_returnflag", F.lit(" (TRY) [x]")).alias("Baslik"), F.collect_list(day).alias("XEkseni"), F.collect_list("l_quantity").alias("YEkseni")))
-    raw = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("item_id"), "l_returnflag", E.month_of("l_shipdate").alias("m")).agg(body.alias("response_json")).drop("l_returnflag", "m")
+    # A response has a week's days; a week of many rows is dealt to several.
+    week, page = F.trunc(F.col("l_shipdate").cast("date"), "week").alias("w"), F.pmod(F.xxhash64("l_orderkey"), F.lit(16)).alias("p")
+    raw = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("item_id"), "l_returnflag", week, page).agg(body.alias("response_json")).drop("l_returnflag", "w", "p")
     return readers.weekly_points(raw).select("item_id", "period_date", "item_name", "value")
 
 
