@@ -132,13 +132,31 @@ def logged(answers: DataFrame) -> DataFrame:
     return answers.withColumn("status", status).withColumnRenamed("error", "error_message").drop("response_json")
 
 
-def cached(spark: SparkSession, folder: str, key: tuple, make: Callable[[], DataFrame], schema: str = "date date, value double") -> DataFrame:
+#: Set to 0, false or no, it turns the cache off for a session.
+CACHE_SWITCH = "spark.tidewell.cache"
+
+
+def cached(spark: SparkSession, folder: str, key: tuple, make: Callable[[], DataFrame], schema: str = "date date, value double", max_age: timedelta | None = None, now: Callable[[], float] = time.time) -> DataFrame:
     """make() once for each key: later calls read the JSON that the first one left in folder/<hash of the key>.
 
-    Only a write that ended counts. Snap volatile parts of the key, as series_plan does, or every day misses.
+    max_age: an answer that is older is made again; one that can't be made again then stays in use. Only a write that
+    ended counts, and an answer is replaced by a new folder, so that readers of the old one aren't disturbed. Snap
+    volatile parts of the key, as series_plan does, or every day misses. With CACHE_SWITCH off, make() is called and
+    nothing is read or kept.
     """
-    path = f"{folder.rstrip('/')}/{hashlib.sha256(repr(key).encode()).hexdigest()[:16]}"
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
-        make().write.mode("overwrite").option("ignoreNullFields", False).json(path)
-    return spark.read.schema(schema).json(path)
+    if (spark.conf.get(CACHE_SWITCH, None) or "1").lower() in ("0", "false", "no"):
+        return make()
+    jvm, name = spark._jvm, hashlib.sha256(repr(key).encode()).hexdigest()[:16]
+    top = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = [jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS") for f in files.listStatus(top) if f.isDirectory()] if files.exists(top) else []
+    ready = sorted((files.getFileStatus(m).getModificationTime() / 1000, m.getParent().toString()) for m in marks if files.exists(m))
+    if not ready or max_age is not None and now() - ready[-1][0] > max_age.total_seconds():
+        path = f"{folder.rstrip('/')}/{name}/{time.time_ns():020d}"
+        try:
+            make().write.option("ignoreNullFields", False).json(path)
+            ready.append((0, path))
+        except Exception:
+            if not ready:
+                raise
+    return spark.read.schema(schema).json(ready[-1][1])
