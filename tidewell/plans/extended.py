@@ -382,7 +382,8 @@ class Store(Frames, Extended):
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _table_4(self, ids: list[str]) -> DataFrame | None:
-        return self.shaped(self.cells({i: TABLE_4[i] for i in ids}, "TOTAL", "metric_id")) if ids else None
+        # Before the first loans are loaded their frames have no rows.
+        return self.shaped(self.cells({i: TABLE_4[i] for i in ids}, "TOTAL", "metric_id")) if ids and "loans" in self.tables else None
 
     def _levels(self, ids: list[str]) -> DataFrame | None:
         """Frames of the balance sheet: one wide aggregation, and growth rates by a window over its cells."""

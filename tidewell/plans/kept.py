@@ -82,15 +82,16 @@ class KeptStore(Frames):
         wanted = None if ids is None else set(ids)
         return self.parts.read(lambda p: wanted is None or p.split("@")[0] in wanted, schema=SCHEMA)
 
-    def build(self, store: Store) -> list[str]:
-        """Computes all frames from the facts; the parts written. Parts of frames that have no rows any more go."""
+    def build(self, store: Store, mark: object = None) -> list[str]:
+        """Computes all frames from the facts; the parts written. Parts of frames that have no rows any more go. mark: kept
+        with the version, such as the versions of the facts."""
         rows = self._levels(store, None)
         for d in self.derived:
             rows = rows.unionByName(d.of(self._levels(store, [d.base])))
         rows = self.parts.held(rows)
-        return self.parts.replace(rows, {*self.parts.manifest()["parts"], *self.parts.names(rows)})
+        return self.parts.replace(rows, {*self.parts.manifest()["parts"], *self.parts.names(rows)}, mark)
 
-    def revise(self, store: Store, months: Iterable[tuple[int, int]]) -> list[str]:
+    def revise(self, store: Store, months: Iterable[tuple[int, int]], mark: object = None) -> list[str]:
         """Takes over a revision of the facts of the named (year, month)s, which store's tables already have; the parts
         written. Other months' facts are not read."""
         months = sorted(set(months))
@@ -114,7 +115,7 @@ class KeptStore(Frames):
             if reached:
                 rows = rows.unionByName(d.of(after).where(F.col("year").isin(*reached)))
                 names |= {f"{d.id}@{y}" for y in reached}
-        return self.parts.replace(self.parts.held(rows), names)
+        return self.parts.replace(self.parts.held(rows), names, mark)
 
     def _levels(self, store: Store, ids: list[str] | None) -> DataFrame:
         own = {d.id for d in self.derived}

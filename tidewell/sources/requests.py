@@ -109,10 +109,15 @@ def fetched_plan(plan: DataFrame, tasks: int, get: Callable[[str, dict | None],
 
 
 def published(months: DataFrame, url: str, get: Callable[[str, dict | None], bytes] = opened, table_number: int = 1, entity: str = "10001") -> DataFrame:
-    """The months (period) for which one small request answers with rows."""
+    """The months (period) for which one small request answers with rows. Raises OSError if requests fail and none
+    answers with rows: then nothing is known, which isn't the same as nothing new."""
+    rows = F.get_json_object("response_json", "$.Json.data.rows[0]").isNotNull()
     got = fetched_plan(monthly_plan(months, [table_number], [entity], url), 1, get)
-    rows = F.get_json_object("response_json", "$.Json.data.rows[0]")
-    return got.where(rows.isNotNull()).select(F.make_date("year", "month", F.lit(1)).alias("period"))
+    got = got.select(F.make_date("year", "month", F.lit(1)).alias("period"), rows.alias("there"), "error").collect()  # a row for each month
+    failed = [r["error"] for r in got if r["error"] is not None]
+    if failed and not any(r["there"] for r in got):
+        raise OSError(f"{len(failed)} of {len(got)} requests failed: {failed[0]}")
+    return months.sparkSession.createDataFrame([(r["period"],) for r in got if r["there"]], "period date")
 
 
 def monthly_update(have: DataFrame, today: date, url: str, tables: Iterable[int], entities: Iterable[str], tasks: int, get: Callable[[str, dict | None], bytes] = opened, first: str = "2020-01-01") -> DataFrame:

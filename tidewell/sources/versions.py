@@ -48,6 +48,11 @@ class Parts:
         lines = self.spark.read.text(f"{self.root}/manifest/{number:08d}.json", wholetext=True).collect()
         return json.loads(lines[0]["value"])
 
+    def changed_since(self, number: int) -> set[str]:
+        """Parts that have been written or dropped after a version; all of both if that version's manifest is gone."""
+        then, now = self.manifest(number)["parts"], self.manifest()["parts"]
+        return {p for p in then.keys() | now.keys() if then.get(p) != now.get(p)}
+
     def read(self, parts: Iterable[str] | Callable[[str], bool] | None = None, number: int | None = None, schema: T.StructType | None = None) -> DataFrame | None:
         """The rows of the named parts, or of those whose name fits, or of all: only their folders are read. None if the
         table has never been written, unless schema says what its columns would be."""
