@@ -63,14 +63,14 @@ def annualised_ytd(df: DataFrame, out: str = "value") -> DataFrame:
 def trailing_year(df: DataFrame, by: list[str], value: str = "value", out: str = "ttm") -> DataFrame:
     """From a cumulative value: this one plus last year's December less last year's same month; in December itself.
 
-    Keyed by calendar; rows without both are dropped. One aggregation by (entity, year) holds what both lookups need, so
-    a single join answers them.
+    Keyed by calendar; rows without both are dropped. Both are looked up by windows over the year before, so the facts
+    behind df are read once.
     """
-    months = F.map_from_entries(F.collect_list(F.struct("month", F.col(value).cast("double"))))
-    past = df.where(F.col(value).isNotNull()).groupBy(*by, "year").agg(months.alias("_m")).withColumn("year", F.col("year") + 1)
-    got = df.join(past, [*by, "year"], "left")
-    before = F.try_element_at("_m", F.lit(12)) - F.try_element_at("_m", F.col("month"))
-    return got.withColumn(out, F.when(F.col("month") == 12, F.col(value).cast("double")).otherwise(F.col(value) + before)).drop("_m").where(F.col(out).isNotNull())
+    year_before = W.partitionBy(*by).orderBy("year").rangeBetween(-1, -1)
+    same = W.partitionBy(*by, "month").orderBy("year").rangeBetween(-1, -1)
+    december = F.max(F.when(F.col("month") == 12, F.col(value).cast("double"))).over(year_before)
+    before = december - F.max(F.col(value).cast("double")).over(same)
+    return df.withColumn(out, F.when(F.col("month") == 12, F.col(value).cast("double")).otherwise(F.col(value) + before)).where(F.col(out).isNotNull())
 
 
 def rolling_mean(df: DataFrame, rows: int, least: int, by: list[str], order: str = "period", value: str = "value", out: str = "mean") -> DataFrame:

@@ -240,9 +240,8 @@ class Extended(Engine):
         parts = flows.join(equity, ["year", "month"], "left").select("bucket", F.make_date("year", "month", F.lit(1)).alias("period"), guarded_ratio("ttm", "mean", 100).alias("value")).where("value is not null")
         # Parts times months, however long the facts are: one window numbers the months.
         ranked = parts.withColumn("_r", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(F.desc("period")))).where(F.col("_r") <= last).drop("_r")
-        total = ranked.groupBy("period").agg(F.sum("value").alias("value")).select(F.lit("ROE").alias("bucket"), "period", "value")
-        return ranked.unionByName(total)
-
+        both = ranked.select(F.explode(F.array("bucket", F.lit("ROE"))).alias("bucket"), "period", "value")
+        return both.groupBy("bucket", "period").agg(F.sum("value").alias("value"))
 
     def margin_components(self) -> DataFrame:
         """label and standard shape: each part of the interest margin in percent of average earning assets.
