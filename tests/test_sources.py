@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import align
 from tidewell.plans import extended, panels
 from tidewell.sources import ingest, refresh, registry, requests, writers
-from tidewell.streaming import upsert
+from tidewell.streaming import upsert, windows
 
 
 def d(s):
@@ -152,7 +152,7 @@ def test_a_batch_that_is_run_again_is_done(spark, tmp_path):
 
 def test_windowed_counts_of_a_table(spark):
     e = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5), "x", 1.0), (dt.datetime(2024, 1, 1, 23), "x", 2.0), (dt.datetime(2024, 1, 2, 1), "x", 4.0)], "ts timestamp, event_type string, value double")
-    assert sorted((r["n"], r["total"]) for r in upsert.windowed_counts(e).collect()) == [(1, 4.0), (2, 3.0)]
+    assert sorted((r["n"], r["total"]) for r in windows.tumbling(e).collect()) == [(1, 4.0), (2, 3.0)]
 
 
 def test_violations(spark):

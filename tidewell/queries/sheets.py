@@ -20,6 +20,7 @@ from tidewell.queries.core import _CTES, query, table
 from tidewell.sources import ingest, readers, writers
 from tidewell.sources.shared import scratch_path
 from tidewell.streaming import upsert as stream
+from tidewell.streaming import windows
 
 # Item names of the stand-ins by priority and status, by priority alone, and by quantity.
 SHEET = {
@@ -654,5 +655,5 @@ def _(spark, sf):
 
 @query("window_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(spark, sf):
-    got = stream.windowed_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    got = windows.tumbling(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

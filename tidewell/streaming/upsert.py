@@ -47,9 +47,3 @@ def merge_files(spark: SparkSession, source: str, target: str, checkpoint: str,
 def current(spark: SparkSession, target: str, months: list[str] | None = None) -> DataFrame:
     """The newest version of all months, or of the named ones; other months' files aren't read."""
     return _parts(spark, target).read(months, schema=POINT)
-
-
-def windowed_counts(events: DataFrame, ts: str = "ts", late: str = "1 hour", every: str = "1 day") -> DataFrame:
-    """start, event_type, n, total per window and type, with a watermark; for streams and tables alike."""
-    got = events.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return got.select(F.col("w.start").alias("start"), "event_type", "n", "total")
