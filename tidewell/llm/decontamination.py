@@ -31,24 +31,20 @@ SEED = "seed long, item long, item_place int"
 def _hashed(h: np.ndarray, masks: list[tuple[int, ...]]) -> Iterator[np.ndarray]:
     """For each mask a hash for every place where it fits. A mask is a few runs of neighbouring words; the hashes of all
     runs of a length are made once and shared by the masks."""
-    runs = {1: h}
-
-    def run(size: int) -> np.ndarray:
-        if size not in runs:
-            shorter = run(size - 1)
-            runs[size] = shorter[: max(0, shorter.size - 1)] * np.uint64(0x9E3779B97F4A7C15) + h[size - 1 :]
-        return runs[size]
-
-    for salt, mask in enumerate(masks):
+    cut = [[0, *(i for i in range(1, len(m)) if m[i] != m[i - 1] + 1), len(m)] for m in masks]
+    runs = [h, h]  # by length, from 1
+    with np.errstate(over="ignore"):
+        for size in range(2, 1 + max((j - i for c in cut for i, j in zip(c, c[1:])), default=1)):
+            runs.append(runs[-1][: max(0, runs[-1].size - 1)] * np.uint64(0x9E3779B97F4A7C15) + h[size - 1 :])
+    for salt, (mask, cuts) in enumerate(zip(masks, cut)):
         n = h.size - mask[-1]
         if n <= 0:
             yield np.zeros(0, np.uint64)
             continue
-        cuts = [0, *(i for i in range(1, len(mask)) if mask[i] != mask[i - 1] + 1), len(mask)]
         with np.errstate(over="ignore"):
             out = np.full(n, (salt + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1, np.uint64)
             for i, j in zip(cuts, cuts[1:]):
-                out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + run(j - i)[mask[i] : mask[i] + n]
+                out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + runs[j - i][mask[i] : mask[i] + n]
             yield _mix(out)
 
 
