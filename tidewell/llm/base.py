@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Rows and bytes that one Arrow batch carries to Python; long texts make a batch of few rows.
-ARROW_ROWS, ARROW_BYTES = 4096, 4 << 20
+ARROW_ROWS, ARROW_BYTES = 4096, 1 << 20
 #: Buckets whose totals running_start adds up in one window.
 SPAN = 1024
 
