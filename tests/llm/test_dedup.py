@@ -301,3 +301,47 @@ def test_pairs_leave_full_shards(spark):
     got, moved = propagate(state, [5, 9], 1)
     assert {(r["g"], r["shard"], r["n"]) for r in got.collect()} == {("a", 1, 2), ("b", 0, 3), ("c", 1, 3)} and moved == 2
     assert propagate(got, [5, 9], 1)[1] == 0
+
+
+def plain_propagation(sizes, shards, quotas, rounds, seed):
+    """Groups one after the other move to the shard that holds most of them and has room; the counts by group and shard."""
+    r = random.Random(seed)
+    state = []
+    for n in sizes:
+        held = [0] * shards
+        for _ in range(n):
+            held[r.randrange(shards)] += 1
+        state.append(held)
+    for _ in range(rounds):
+        for held in state:
+            room = [q - sum(h[s] for h in state) for s, q in enumerate(quotas)]
+            home = max(range(shards), key=lambda s: (held[s] + max(0, room[s]) >= sum(held), held[s], -s))
+            for s in range(shards):
+                if s != home:
+                    moved = min(held[s], max(0, room[home]))
+                    held[s] -= moved
+                    held[home] += moved
+                    room[home] -= moved
+    return state
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shards_cut_no_more_than_a_plain_propagation(spark, seed):
+    """Links of equal texts that lie in different shards: as few as a plain propagation leaves, and evenly filled shards."""
+    r = random.Random(seed)
+    sizes = [130, *(r.randrange(2, 20) for _ in range(30))]
+    rows = [(g, f"text of group {g}") for g, n in enumerate(sizes) for _ in range(n)]
+    rows += [(1000 + i, f"alone {i}") for i in range(200)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    shards = 8
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards).collect()
+    text = dict(rows)
+    held, filled = {}, [0] * shards
+    for x in got:
+        filled[x["shard"]] += 1
+        held.setdefault(text[x["doc_id"]], [0] * shards)[x["shard"]] += 1
+    assert sum(filled) == len(rows) and max(filled) - min(filled) <= 1
+    cut = lambda state: sum((sum(h) ** 2 - sum(n * n for n in h)) // 2 for h in state)
+    quotas = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    plain = [cut(plain_propagation(sizes, shards, quotas, 8, k)) for k in range(3)]
+    assert cut(held.values()) <= min(plain) * 1.05

@@ -109,19 +109,32 @@ def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int,
     column = np.full(1 << bits, -1, np.int32)
     column[used] = np.arange(used.size)
     row, col = np.repeat(np.arange(n, dtype=np.int32), sizes), column[flat]
+    # Sums by row and by feature are sums over neighbours, once in the rows' order and once in the features'.
+    filled, ends = np.flatnonzero(sizes), np.cumsum(sizes)
+    by_feature = np.argsort(col, kind="stable")
+    row_of, feature_starts = row[by_feature], np.searchsorted(col[by_feature], np.arange(used.size))
+
+    def of_rows(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        out[filled] = np.add.reduceat(values[col], (ends - sizes)[filled])
+        return out
+
+    def of_features(values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[row_of], feature_starts)
+
     # Each feature in its own scale: rare telling features would be slow otherwise.
     pace = 1 / np.sqrt(np.bincount(col, minlength=used.size) / n)
     w = v = np.zeros(used.size)
     t = u = theta
     along = np.ones(used.size)
     for _ in range(30):
-        along = np.bincount(col, weights=np.bincount(row, weights=(pace * along)[col], minlength=n)[row], minlength=used.size) * pace / n
+        along = of_features(of_rows(pace * along)) * pace / n
         steepest = float(np.linalg.norm(along))
         along /= max(steepest, 1e-12)
     step, momentum = 2 / max(steepest, 1e-12), 1.0
 
     def gradient(w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = np.bincount(row, weights=(pace * w)[col], minlength=n)
+        s = of_rows(pace * w)
         upper = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(t[None, :] - s[:, None], -60, 60))), np.zeros((n, 1))], axis=1)
         # d log P(grade) / d score is 1 - P(>= grade) - P(> grade).
         low, high = upper[np.arange(n), grades], upper[np.arange(n), grades + 1]
@@ -129,7 +142,7 @@ def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int,
         mass = np.maximum(low - high, 1e-12)
         slope = upper * (1 - upper)
         by_t = np.array([(slope[:, k + 1] * ((grades == k + 1) / mass - (grades == k) / mass)).mean() for k in range(n_grades - 1)])
-        return np.bincount(col, weights=by_score[row], minlength=used.size) * pace, by_t
+        return of_features(by_score) * pace, by_t
 
     for _ in range(steps):
         g, gt = gradient(v, u)
