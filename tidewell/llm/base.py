@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewell.sources.shared import scratch_path, shared_dir
+
 #: Rows and bytes that one Arrow batch carries to Python; long texts make a batch of few rows.
 ARROW_ROWS, ARROW_BYTES = 4096, 1 << 20
 #: Buckets whose totals running_start adds up in one window.
@@ -33,24 +31,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a local one only for a local master.
-
-    Raises ValueError where a cluster names none: each executor would write to its own disk.
-    """
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not own:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="tidewell-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
