@@ -3,7 +3,8 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewell.llm.base import in_bitmap
+from tidewell.llm import base
+from tidewell.llm.base import in_bitmap, sized_bitmap
 from tidewell.llm.words import Words, blocks, shingles
 
 TEXT = st.one_of(st.none(), st.text(alphabet=st.sampled_from("aAbé \n\t\x0b\x1c .,日"), max_size=30))
@@ -44,3 +45,10 @@ def test_bitmap(spark):
     keys = [3, -5, 1 << 40]
     bits = np.frombuffer(as_bitmap(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 12), np.uint64)
     assert in_bitmap(bits, np.array([*keys, 4], np.int64).view(np.uint64)).tolist() == [True, True, True, False]
+
+
+def test_bitmaps_grow_with_their_keys(spark, monkeypatch):
+    few = spark.range(10).selectExpr("id as k")
+    assert len(sized_bitmap(few, "k", 12)) == 1 << 9 and len(sized_bitmap(spark.range(1000).selectExpr("id as k"), "k", 12)) == 1 << 13
+    monkeypatch.setattr(base, "MOST_BITS", 14)
+    assert len(sized_bitmap(spark.range(1000).selectExpr("id as k"), "k", 12)) == 1 << 11

@@ -61,6 +61,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Most bits of a filter, as a power of two: 64 MB in each worker that has it.
+MOST_BITS = 29
+
+
+def sized_bitmap(df: DataFrame, key: str, least: int) -> bytes:
+    """as_bitmap with 64 bits for each row of df, a written table, so that one in 64 others passes; 2**least bits at least
+    and 2**MOST_BITS at most. Above eight million keys it begins to fill up, and the exact step behind it gets more rows."""
+    return as_bitmap(df, key, min(MOST_BITS, max(least, (64 * df.count()).bit_length())))
+
+
 def as_bitmap(df: DataFrame, key: str, bits: int) -> bytes:
     """A filter of 2**bits bits in which bit (key mod 2**bits) is set for every key of df, a column of longs.
 

@@ -5,7 +5,7 @@ places still gives the same hash. Hashes of all masks at all places of the train
 test items; around every hit the two texts are compared word by word on the hit's diagonal, and the best stretch with few
 enough substitutions decides. Words are runs of ASCII letters and digits and of other code points, A-Z lower-cased.
 
-Training hashes first pass a filter of fixed size that holds the test hashes; it only spares rows, the join decides.
+Training hashes first pass a filter that holds the test hashes; it only spares rows, the join decides.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_limits, as_bitmap, broadcast_if_small, in_bitmap, unused, written
+from .base import arrow_limits, broadcast_if_small, in_bitmap, sized_bitmap, unused, written
 from .words import PLAIN, Words, _mix, blocks, shingles
 
 #: Six of up to ten words each. Together they meet every stretch of 13 words with two substitutions anywhere.
@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     tests = written(tests, "test-items")
     short = sorted(r["n_words"] for r in tests.where(F.col("n_words") < min_words).select("n_words").distinct().collect())
     seeds = written(tests.select("kind", "words").mapInArrow(_item_seeds(short, percent), SEED).distinct(), "test-seeds")
-    low, high = as_bitmap(seeds, "seed", FILTER_BITS), as_bitmap(seeds.select(F.shiftrightunsigned("seed", 32).alias("seed")), "seed", FILTER_BITS)
+    low, high = sized_bitmap(seeds, "seed", FILTER_BITS), sized_bitmap(seeds.select(F.shiftrightunsigned("seed", 32).alias("seed")), "seed", FILTER_BITS)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     stretches = written(rows.mapInArrow(_stretches(short, percent, low, high, reach), STRETCH), "stretches")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import arrow_limits, as_bitmap, broadcast_if_small, in_bitmap, unused, written
+from .base import arrow_limits, as_bitmap, broadcast_if_small, in_bitmap, sized_bitmap, unused, written
 from .components import components
 from .words import Words, _mix, blocks, shingles
 
@@ -367,7 +367,7 @@ class _Join:
         heads = index().groupBy("sig").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head < last").select("sig", "head")
         heads = written(heads, "ngram-heads")
         # Only entries with two classes at least. Most entries have one: made again, few of them are shuffled a second time.
-        self.entries = written(index(as_bitmap(heads, "sig", ENTRY_BITS)).join(heads, "sig").select("sig", "class", "n", "head").distinct(), "ngram-entries")
+        self.entries = written(index(sized_bitmap(heads, "sig", ENTRY_BITS)).join(heads, "sig").select("sig", "class", "n", "head").distinct(), "ngram-entries")
 
     @staticmethod
     def frequent(scanned: DataFrame) -> DataFrame:

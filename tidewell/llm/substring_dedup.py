@@ -12,7 +12,7 @@
    shard. A tile that is found is extended to both sides along its passage, and counts if a whole window is equal. A shard
    with many passages is dealt to several automata, one with many stretches to several tasks.
 
-Filters of a fixed size keep other stretches out of the shuffles; they let some more through, the automata decide.
+Filters sized by their keys keep other stretches out of the shuffles; they let some more through, the automata decide.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_limits, as_bitmap, in_bitmap, unused, written
+from .base import arrow_limits, in_bitmap, sized_bitmap, unused, written
 from .words import Words, _mix, blocks, shingles
 
-WINDOW, GRAM, ANCHOR_BITS, HOME_BITS = 35, 8, 26, 26
+WINDOW, GRAM = 35, 8
+#: Least bits of the filters, as powers of two.
+ANCHOR_BITS, HOME_BITS = 26, 26
 #: Passages of an automaton, stretches of a task that streams them, and passages with a tile that is still extended.
 PASSAGES, STRETCHES, SHARED = 2048, 32_768, 8
 #: Values that a task gathers before it counts them and hands them on.
@@ -331,12 +333,12 @@ def recurring_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     texts = docs.select(F.col(text).alias("text"))
     anchors = texts.mapInArrow(_anchor_counts(window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     anchors = written(anchors, "recurring-anchors")
-    often = as_bitmap(anchors, "anchor", ANCHOR_BITS)
+    often = sized_bitmap(anchors, "anchor", ANCHOR_BITS)
     windows = texts.mapInArrow(_window_counts(window, gram, often), "value long, n long, home long").groupBy("value").agg(F.sum("n").alias("n"), F.min("home").alias("home")).where("n > 1")
     low = (1 << window.bit_length()) - 1
     masks = windows.groupBy(F.col("home").bitwiseAND(F.lit(~low)).alias("stretch")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(home & {low}L as int))")).alias("mask"))
     masks = written(masks, "recurring-windows")
-    homes = texts.mapInArrow(_home_texts(window, gram, often, as_bitmap(masks.select(F.shiftrightunsigned("stretch", window.bit_length()).alias("stretch")), "stretch", HOME_BITS)), "stretch long, anchor long, words binary")
+    homes = texts.mapInArrow(_home_texts(window, gram, often, sized_bitmap(masks.select(F.shiftrightunsigned("stretch", window.bit_length()).alias("stretch")), "stretch", HOME_BITS)), "stretch long, anchor long, words binary")
     passages = written(homes.join(masks, "stretch").groupBy("stretch", "anchor", "mask").agg(F.first("words").alias("words")), "passages")
 
     shards = max(1, -(-passages.count() // PASSAGES))
@@ -351,7 +353,7 @@ def recurring_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     phrases = phrases.withColumns({**nothing, "kind": F.lit(0)}).select(*columns)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    places = rows.mapInArrow(_places(window, gram, as_bitmap(passages, "anchor", ANCHOR_BITS)), PLACES).withColumn("shard", shard)
+    places = rows.mapInArrow(_places(window, gram, sized_bitmap(passages, "anchor", ANCHOR_BITS)), PLACES).withColumn("shard", shard)
     places = places.join(plan, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "start"), F.col("salts")).cast("int")).withColumn("slot", every("slots"))
     places = places.withColumns({"kind": F.lit(1), "mask": F.lit(None).cast("long")}).select(*columns)
     dealt = phrases.unionByName(places).repartition("shard", "slot", "salt").sortWithinPartitions("shard", "slot", "salt", "kind")
@@ -443,7 +445,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     spans = recurring_spans(docs, window, gram, text, key).groupBy(F.col("doc_id").alias(d), F.col("text_key").alias(t)).agg(F.collect_set(F.struct("start", "end")).alias(s))
     spans = written(spans, "recurring-spans")
     # Only texts that may have spans are shuffled to meet them. No stage has two Python steps: each is a process a task.
-    bitmap, rows = as_bitmap(spans, t, HOME_BITS), docs.withColumn(h, F.xxhash64(text))
+    bitmap, rows = sized_bitmap(spans, t, HOME_BITS), docs.withColumn(h, F.xxhash64(text))
     met = rows.where(_may_have(bitmap)(F.col(h))).join(spans, F.col(key).cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
     met = met.withColumn("dedup", _remover()(F.col(text), F.col(s))).drop(d, t, h, s)
     return met.unionByName(rows.withColumn("dedup", _without_spans(bitmap)(F.col(h), F.col(text))).where("dedup is not null").drop(h))
