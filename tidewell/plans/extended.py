@@ -53,14 +53,16 @@ PUBLISHED = {
     "demand_share": "Vadesiz Mevduat / Toplam Mevduat%",
 }
 CET1 = (12, "Çekirdek Sermaye Yeterliliği Rasyosu%")
-#: Income lines: net interest, the two that make up revenue with it, trading and exchange, fees.
+# Income lines: net interest, the two that make up revenue with it, trading and exchange, fees.
 INTEREST, REVENUE, TRADING, FEES = 24, (24, 34, 50), (46, 47), (27, 31)
-#: Parts of the return on equity and their income lines.
+# Parts of the return on equity and their income lines.
 ROE = {"NII": (24,), "Fees": (27, 31), "Trading": (46,), "Other NII": (30, 32, 33, 47, 48, 49), "OPEX": (35, 42, 43, 44), "Provisions": (25, 36, 38, 39, 40), "Other/tax": (52,)}
-#: Parts of the interest margin and their income lines; all interest income; the published yield on earning assets.
+# Parts of the interest margin and their income lines; the line of all interest income; the name of the
+# published yield on earning assets.
 NIM = {"Loans": (1, 6), "Securities": (9, 10, 11), "Banks/MM": (7, 8, 12, 13, 14), "Deposits": (16,), "Debt issued": (17, 18, 19, 20, 21, 22)}
 INTEREST_INCOME, EARNING_YIELD = 15, "Toplam Faiz Gelirleri / Faiz Getirili Aktifler Ortalaması%"
 CREDIT, EQUITY = "%Krediler%", "%TOPLAM ÖZKAYN%"
+# Weekly items by the names that tell them.
 WEEKLY_13W = {
     "total_loans": "Toplam Krediler (2+10)",
     "consumer_total": "Tüketici Kredileri ve Bireysel Kredi Kartları (3+7)",
