@@ -74,7 +74,8 @@ class Parts:
         named = rows.withColumn(PART, self.part())
         # A row of another part would be lost, since only the named parts are published.
         named = named.withColumn(PART, F.when(F.col(PART).isin(*parts), F.col(PART)).otherwise(F.raise_error(F.concat(F.lit("row of an unnamed part: "), F.coalesce(PART, F.lit("null"))))))
-        (named.repartition(PART) if parts else named.limit(0)).write.partitionBy(PART).option("maxRecordsPerFile", most_rows).parquet(f"{self.root}/{folder}")
+        # Dealt by part; a part of very many rows is split over tasks, and so over files.
+        (named.hint("rebalance", PART) if parts else named.limit(0)).write.partitionBy(PART).option("maxRecordsPerFile", most_rows).parquet(f"{self.root}/{folder}")
         files, top = self._files(), self._path(folder)
         made = {f.getPath().getName()[len(PART) + 1 :] for f in files.listStatus(top) if f.getPath().getName().startswith(f"{PART}=")}
         kept = {p: f for p, f in before["parts"].items() if p not in parts} | {p: f"{folder}/{PART}={p}" for p in sorted(made)}
