@@ -179,8 +179,8 @@ def _replayed(spark, sf, how, batches: int = 4) -> DataFrame:
         own = e.where((F.col("ts") >= F.lit(span["a"] + i * step)) & ((F.col("ts") < F.lit(span["a"] + (i + 1) * step)) | F.lit(i == batches - 1)))
         late = e.where(F.col("ts") < F.lit(span["a"] + step / 4)).withColumn("value", F.col("value") + 1e6) if i > 1 else own.limit(0)
         # One file a batch, written after the one before, which is the order that the stream takes them in.
-        own.unionByName(late).coalesce(1).write.option("timestampFormat", windows.TIME).json(f"{base}/{i}")
-    windows.closed_windows(spark, f"{base}/*", f"{base}/out", f"{base}/log", how)
+        own.unionByName(late).coalesce(1).write.option("timestampFormat", windows.TIME).json(f"{base}/in/{i}")
+    windows.closed_windows(spark, f"{base}/in/*", f"{base}/out", f"{base}/log", how)
     return spark.read.schema(how(e).schema).parquet(f"{base}/out")
 
 
