@@ -146,6 +146,12 @@ def test_one_scan_for_each_table(spark, tmp_path):
     assert scans(Store(engine.tables, CODES).long()) == 2 and scans(Store(engine.tables, CODES).long(["ldr"])) == 1
 
 
+def test_reports_list_rows_in_order(spark, tmp_path):
+    engine = Engine(facts(spark, tmp_path), CODES)
+    rows = [(r["year"], r["month"], r["bank_type_code"]) for r in engine.ordered(engine.metric("total_assets")).collect()]
+    assert rows == sorted(rows) and len(rows) == 14 * 3
+
+
 def test_bad_definitions_are_rows_of_their_own(spark, tmp_path):
     engine = Engine(facts(spark, tmp_path), CODES)
     d = B.Definitions()

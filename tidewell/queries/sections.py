@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewell.functions import expr as E
+from tidewell.operators import shapes
 from tidewell.operators.runs import signed_runs
 from tidewell.plans import catalog, panels
 from tidewell.plans import extended as X
@@ -165,6 +166,11 @@ def _(spark, sf):
     return got.select("year", "month", "bank_type_code", F.round(F.col("mean").cast("double"), 4).alias("mean"), *(F.col(c).cast("double").alias(c) for c in ("least", "most")), "n")
 
 
+@query("chart_shape", "SELECT period AS x, value AS y, entity AS series FROM m", "m")
+def _(spark, sf):
+    return shapes.charted(monthly(spark, sf), series="entity")
+
+
 # Streams with late rows.
 
 

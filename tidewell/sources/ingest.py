@@ -86,6 +86,11 @@ def fetched(get: Callable[[], bytes], tries: int = 5, wait: float = 2.0, sleep:
     raise ValueError("tries must be positive")
 
 
+def append_log(df: DataFrame, path: str) -> None:
+    """Adds rows to a log: a table that is only ever appended to, a file a call."""
+    df.coalesce(1).write.mode("append").parquet(path)
+
+
 def compacted(df: DataFrame, path: str, by: list[str], rows_per_file: int = 5_000_000) -> None:
     """Rewrites a table in files of bounded size, dealt by its keys."""
     df.repartition(*by).sortWithinPartitions(*by).write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)

@@ -8,6 +8,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.sources.ingest import append_log
+
 LOG = "run string, step string, status string, started timestamp, ended timestamp, detail string"
 
 
@@ -51,7 +53,7 @@ def run_steps(spark: SparkSession, run: str, steps: Iterable[Step], log: str, sk
                 ran.append(s.name)
             except Exception as fault:  # noqa: BLE001 - whatever it is, it is logged before it stops the run
                 status, detail = "failed", f"{type(fault).__name__}: {fault}"
-        spark.createDataFrame([(run, s.name, status, began, now(), detail)], LOG).coalesce(1).write.mode("append").parquet(log)
+        append_log(spark.createDataFrame([(run, s.name, status, began, now(), detail)], LOG), log)
         if status == "failed" and not s.optional:
             raise StepFailed(f"{s.name}: {detail}")
     return ran
