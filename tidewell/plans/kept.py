@@ -85,9 +85,9 @@ class KeptStore(Frames):
     def build(self, store: Store, mark: object = None) -> list[str]:
         """Computes all frames from the facts; the parts written. Parts of frames that have no rows any more go. mark: kept
         with the version, such as the versions of the facts."""
-        rows = self._levels(store, None)
+        rows = levels = self.parts.held(self._levels(store, None))  # the facts are read for this alone
         for d in self.derived:
-            rows = rows.unionByName(d.of(self._levels(store, [d.base])))
+            rows = rows.unionByName(d.of(levels.where(F.col("metric_id") == d.base)))
         rows = self.parts.held(rows)
         return self.parts.replace(rows, {*self.parts.manifest()["parts"], *self.parts.names(rows)}, mark)
 
