@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewell.llm import token_counts as tc
-from tidewell.llm.bpe import codec, round_trip
+from tidewell.llm.bpe import codec, decoder, encoder, round_trip
 from tidewell.llm.token_files import pack, token_files, unpack, word_encoder
 
 BPE, PATTERN, WORDS = P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("word_bpe_49k.json")
@@ -34,6 +34,18 @@ def test_round_trip(docs, pairs, empty):
     assert round_trip(empty, BPE, PATTERN).count() == 0
 
 
+def test_round_trip_is_one_python_step(docs):
+    """Each Python step of a stage is a process a task, and the processes stay."""
+    got = round_trip(docs, BPE, PATTERN)
+    got = got.select("doc_id", F.size("ids"), F.sha2(F.array_join("ids", " "), 256), F.sha2("decoded", 256))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_encoder_and_decoder(docs, pairs):
+    got = docs.select("doc_id", encoder(BPE, PATTERN)("text").alias("ids")).select("doc_id", decoder(BPE, PATTERN)("ids").alias("text"))
+    assert sorted((str(r["doc_id"]), bytes(r["text"])) for r in got.collect()) == sorted((str(i), (t or "").encode()) for i, t in pairs)
+
+
 def test_histogram(docs, pairs, empty):
     c = codec(BPE, PATTERN)
     n = [len(c.library.encode_ordinary(t or "")) for _, t in pairs]

@@ -97,6 +97,11 @@ def _encoded(texts: pa.Array, c: Codec) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
 
+def _decoded(lists: pa.Array, c: Codec) -> pa.Array:
+    flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return pa.array([c.decode(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+
+
 def encoder(path: str, pattern: str) -> Callable[[Column], Column]:
     """Text column -> array of ids. Null text: no ids, as for an empty text. path: the same on every executor."""
 
@@ -112,12 +117,23 @@ def decoder(path: str, pattern: str) -> Callable[[Column], Column]:
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            c, flat, bounds = codec(path, pattern), lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            yield pa.array([c.decode(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+            yield _decoded(lists, codec(path, pattern))
 
     return F.arrow_udf(decode, "binary")
 
 
+def both_ways(path: str, pattern: str) -> Callable[[Column], Column]:
+    """Text column -> struct of its ids and the bytes that they decode to: encoder and decoder as one Python step, since
+    two in a stage are two processes a task, and both stay for the stages that follow."""
+
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            ids = _encoded(texts, codec(path, pattern))
+            yield pa.StructArray.from_arrays([ids, _decoded(ids, codec(path, pattern))], names=["ids", "decoded"])
+
+    return F.arrow_udf(both, "struct<ids:array<int>,decoded:binary>")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, ids, decoded: one row per input row, whole texts.
 
@@ -125,5 +141,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", key
     are neither read nor returned. decoded is made from the ids alone.
     """
     arrow_limits(docs.sparkSession)
-    ids = docs.select(F.col(key).alias("doc_id"), encoder(path, pattern)(F.col(text)).alias("ids"))
-    return ids.select("doc_id", "ids", decoder(path, pattern)(F.col("ids")).alias("decoded"))
+    got = docs.select(F.col(key).alias("doc_id"), both_ways(path, pattern)(F.col(text)).alias("both"))
+    return got.select("doc_id", "both.ids", "both.decoded")
